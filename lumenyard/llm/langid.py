@@ -1,6 +1,6 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-A text is parsed greedily into the longest phrases that a language's reference text contains. The cross
+A text is parsed greedily into the longest phrases (of at most LONGEST bytes) that a language's reference text contains. The cross
 entropy is phrases times the bits that point into the reference, divided by the text's length; the
 language with the least wins. The automata are built on the workers from reference texts of bounded
 size, as tables that also hold where the next phrase begins, so many pieces of text are parsed in step.
@@ -21,6 +21,7 @@ from .shared import map_batches, starts_of
 REFERENCE_BYTES = 24_000  # labelled text of each language
 SAMPLE_DOCS = 60  # labelled documents of each language that the reference is taken from, about
 MAX_LANGUAGES = 400  # those with most labelled documents
+LONGEST = 12  # bytes in a phrase: a passage copied from a reference must not outweigh the rest of a text
 PIECE = 512  # bytes that are parsed in one run; a longer text has several
 TOGETHER = 4096  # pieces parsed in step
 SHARPNESS = 6.0  # of the score
@@ -109,15 +110,21 @@ class Parser:
             steps = int((end - begin)[part].max())
             at = begin[part][:, None] + np.arange(steps)
             codes = np.ascontiguousarray(flat[np.where(at < end[part][:, None], at, len(flat) - 1)].T)
+            real = (codes != self.pad).astype(np.int32)
             for k, root in enumerate(self.roots):
                 state = np.full(len(part), root, dtype=np.int32)
-                ended = np.zeros(len(part), dtype=np.int32)
-                for row in codes:
+                run = np.zeros(len(part), dtype=np.int32)
+                begun = np.zeros(len(part), dtype=np.int32)
+                for row, one in zip(codes, real):
+                    full = run == LONGEST
+                    state[full] = root
                     step = self.table.take((state >> 1) + row)
                     flag = step & 1
-                    ended += flag
                     state = step - flag
-                np.add.at(out[:, k], own[part], ended + 1)
+                    run *= 1 - (flag | full)
+                    begun += (run == 0) & (one == 1)
+                    run += one
+                np.add.at(out[:, k], own[part], begun)
         return out
 
 
