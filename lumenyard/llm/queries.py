@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup
+from . import decontam, langid, licenses, neardup
 from .shared import fold, table
 
 
@@ -22,6 +22,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_entropy")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("licenses", lambda d: d["base"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    rows = found.select("doc_id", "license_words", "licenses", base.alias("base"))
+    return rows.select(
+        "doc_id",
+        F.col("license_words").alias("n_words"),
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.start").cast("bigint").alias("first_word"),
+        F.array_max("base.start").cast("bigint").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"),
+        joined(F.col("licenses.label")).alias("labels"),
+        F.coalesce(F.array_max("licenses.confidence"), F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -38,6 +55,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op5_license_scans": op5_license_scans,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
