@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup
+from . import decontam, fingerprint, langid, licenses, neardup
 from .shared import fold, table
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compared_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.hexed(F.col("fp")).alias("fingerprint"),
+        fingerprint.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+        F.col("to_edited.resemblance").alias("near_edited"),
+        F.col("to_next.resemblance").alias("near_next"),
+        F.col("to_edited.containment").alias("within_edited"),
+        F.col("to_next.containment").alias("within_next"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_license_scans": op5_license_scans,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
