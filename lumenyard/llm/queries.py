@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, neardup
+from . import decontam, fingerprint, langid, licenses, neardup, sharding, urlfilter
 from .shared import fold, table
 
 
@@ -54,6 +54,16 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -71,6 +81,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_license_scans": op5_license_scans,
+    "op6_url_filters": op6_url_filters,
+    "op7_sharding": op7_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
