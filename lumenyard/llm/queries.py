@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, neardup, sharding, urlfilter
+from . import decontam, fingerprint, langid, licenses, neardup, packing, sharding, urlfilter
 from .shared import fold, table
 
 
@@ -37,6 +37,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_entropy")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"))
+    rows = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(rows)
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("licenses", lambda d: d["base"])
@@ -80,6 +86,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scans": op5_license_scans,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
