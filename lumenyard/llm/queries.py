@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, neardup, packing, sharding, urlfilter
+from . import decontam, fingerprint, langid, licenses, neardup, packing, quality, sharding, urlfilter
 from .shared import fold, table
 
 
@@ -30,6 +30,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.classify(docs, model)
+    predicted = F.when(F.col("quality_score") >= quality.THRESHOLD, 1).otherwise(0)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -85,6 +94,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scans": op5_license_scans,
