@@ -13,7 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN = 400_000  # words, and as many letter runs, kept in one worker
+KNOWN = 400_000  # words, and as many letter runs, kept in one worker, about
+TOGETHER = 1 << 20  # bytes of text whose new words are learned at once
 APART = re.compile(rb"[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
 LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-;=-@\[-`{-~]*)")
 
@@ -23,6 +24,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
     return public_tokenizers.path(name)
 
+#: Byte-level vocabularies write a byte that has no printable Latin-1 character as the next one from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
+
 
 class Subwords:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids."""
@@ -32,27 +37,23 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(self.size, dtype=bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _runs(self, runs: list[str]) -> list[bytes]:
-        """Of letter runs: each gives ids of which just the last ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != len(runs):
-            return self._whole(runs)
-        data = ids.tobytes()
-        return [data[a * 4 : z * 4] for a, z in zip([0, *cut[:-1].tolist()], cut.tolist())]
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > KNOWN:
-            self.words.clear()
+        """Of letter runs, which the tokenizer takes as one word each: straight from its model."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
+        for run in runs:
+            word = run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids += [x.id for x in tokenize(word)]
+            ends.append(4 * len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        return [data[a:z] for a, z in zip(ends, ends[1:])]
+
+    def _learn(self, missing: set[str]) -> None:
         if len(self.parts) > KNOWN:
             self.parts = {"": b""}
         split, odd, runs, tails = [], [], set(), set()
@@ -75,22 +76,21 @@ class Subwords:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Of each text its ids; A-Z are lower-cased first, as the tokenizer does itself."""
         out: list[bytes] = []
-        for text in texts:
-            low = text.lower().decode("utf-8", "replace")
-            words = low.split()
-            if APART.search(text):
-                out += self._whole([low])
-                continue
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-                continue
-            except KeyError:
-                own = dict.fromkeys(words)
-            self._learn([w for w in own if w not in self.words])
-            if all(w in self.words for w in own):
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            else:  # more words than are kept
-                out += self._whole([low])
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and size < TOGETHER:
+                size += len(texts[upto])
+                upto += 1
+            low = [t.lower().decode("utf-8", "replace") for t in texts[at:upto]]
+            split = [None if APART.search(t) else x.split() for t, x in zip(texts[at:upto], low)]
+            if len(self.words) > KNOWN:
+                self.words = {}
+            if missing := set().union(*(x for x in split if x)).difference(self.words):
+                self._learn(missing)
+            for text, words in zip(low, split):
+                out.append(self._whole([text])[0] if words is None else b"".join(map(self.words.__getitem__, words)))
+            at = upto
         return out
 
 
