@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, starts_of
+from .shared import blobs, filtered, starts_of
 
 WINDOW = 13  # words
 SHARE = 20  # contaminated: one word in so many is hit
@@ -229,5 +229,5 @@ def is_contaminated(share: int = SHARE):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with their own columns, of which less than a word in twenty stands in a benchmark window."""
-    kept = contamination(docs, benchmark).filter(~is_contaminated())
-    return kept.select(docs.columns)
+    added = ["bench_words", "bench_hit", "bench_matches"]
+    return filtered(docs, added, lambda d: contamination(d, benchmark), ~is_contaminated())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, starts_of
+from .shared import filtered, map_batches, starts_of
 
 REFERENCE_BYTES = 24_000  # labelled text of each language
 SAMPLE_DOCS = 60  # labelled documents of each language that the reference is taken from, about
@@ -185,5 +185,6 @@ def identify(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> Data
 
 def in_known_language(docs: DataFrame, training: Column) -> DataFrame:
     """The documents, with their own columns, that have a language: null texts and those without letters go."""
-    found = identify(docs, learn(docs.filter(training)))
-    return found.filter(F.col("lang_pred") != "und").select(docs.columns)
+    references = learn(docs.filter(training))
+    added = ["lang_pred", "lang_score", "lang_entropy"]
+    return filtered(docs, added, lambda d: identify(d, references), F.col("lang_pred") != "und")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, map_batches
+from .shared import blobs, filtered, map_batches
 
 SAMPLE = 4000  # labelled documents that the model is fitted on, half of them of either class where there are as many
 BUCKETS = 1 << 18  # hash buckets of each kind of feature
@@ -189,5 +189,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def good_enough(docs: DataFrame, labels: DataFrame, training: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their own columns, whose score reaches the threshold."""
-    found = classify(docs, learn(docs, labels, training))
-    return found.filter(F.col("quality_score") >= threshold).select(docs.columns)
+    model = learn(docs, labels, training)
+    return filtered(docs, ["quality_score"], lambda d: classify(d, model), F.col("quality_score") >= threshold)

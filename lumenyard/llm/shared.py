@@ -82,3 +82,13 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def filtered(docs: DataFrame, added: list[str], annotate: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
+    """The rows of docs, with just its columns, that annotate() gives columns (added) which keep holds for.
+
+    Columns of docs that bear such a name are set aside meanwhile.
+    """
+    aside = {c: f"__aside_{c}" for c in docs.columns if c in added}
+    found = annotate(docs.withColumnsRenamed(aside)).filter(keep)
+    return found.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
