@@ -64,15 +64,21 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """df with further columns, which compute() gives for each Arrow batch; names must be new."""
     schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                extra = compute(batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(n for n, _ in fields)])
+        for batch in slices(batches):
+            extra = compute(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(n for n, _ in fields)])
 
     return df.mapInArrow(run, schema)
 

@@ -13,10 +13,10 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN = 400_000  # words, and as many letter runs, kept in one worker, about
-TOGETHER = 1 << 20  # bytes of text whose new words are learned at once
-APART = re.compile(rb"[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
-LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-;=-@\[-`{-~]*)")
+KNOWN = 400_000  # words kept in one worker, about
+TOGETHER = 200  # texts whose new words are learned at once
+#: ASCII and Latin-1 lower-case letters, as UTF-8, then punctuation without an apostrophe or a less-than sign.
+LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-;=-@\[-`{-~]*)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -37,62 +37,55 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
         """Of letter runs, which the tokenizer takes as one word each: straight from its model."""
         tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
         for run in runs:
-            word = run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids += [x.id for x in tokenize(word)]
+            word = run.decode("latin-1")
+            ids += [x.id for x in tokenize(word if word.isascii() else word.translate(BYTE_CHARS))]
             ends.append(4 * len(ids))
         data = np.array(ids, dtype="<u4").tobytes()
         return [data[a:z] for a, z in zip(ends, ends[1:])]
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.parts) > KNOWN:
-            self.parts = {"": b""}
-        split, odd, runs, tails = [], [], set(), set()
-        for word in missing:
-            if m := LETTERS.fullmatch(word):
-                split.append((word, m[1], m[2]))
-                if m[1] not in self.parts:
-                    runs.add(m[1])
-                if m[2] not in self.parts:
-                    tails.add(m[2])
-            else:
-                odd.append(word)
-        for new, encode in ((sorted(runs), self._runs), (sorted(tails), self._whole)):
-            if new:
-                self.parts.update(zip(new, encode(new)))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, a, b in split)
-        if odd:
-            self.words.update(zip(odd, self._whole(odd)))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Of each text its ids; A-Z are lower-cased first, as the tokenizer does itself."""
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Of each word its ids; none of them is kept, but for punctuation."""
+        parts, match = self.parts, LETTERS.fullmatch
+        found = [match(w) for w in words]
+        split = [m.groups() for m in found if m]
+        runs = self._runs([run for run, _ in split])
+        if new := list({tail for _, tail in split}.difference(parts)):
+            if len(parts) > KNOWN:
+                parts.clear()
+                new = list({tail for _, tail in split})
+            parts.update(zip(new, self._whole(new)))
+        plain = iter([r + parts[tail] for r, (_, tail) in zip(runs, split)])
+        odd = iter(self._whole([w for w, m in zip(words, found) if not m]))
+        return [next(plain) if m else next(odd) for m in found]
+
+    def encode_words(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts that are given as lower-case (A-Z) words, split at ASCII white space."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and size < TOGETHER:
-                size += len(texts[upto])
-                upto += 1
-            low = [t.lower().decode("utf-8", "replace") for t in texts[at:upto]]
-            split = [None if APART.search(t) else x.split() for t, x in zip(texts[at:upto], low)]
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
             if len(self.words) > KNOWN:
                 self.words = {}
-            if missing := set().union(*(x for x in split if x)).difference(self.words):
-                self._learn(missing)
-            for text, words in zip(low, split):
-                out.append(self._whole([text])[0] if words is None else b"".join(map(self.words.__getitem__, words)))
-            at = upto
+            if missing := list(set().union(*some).difference(self.words)):
+                self.words.update(zip(missing, self.ids_of(missing)))
+            get = self.words.__getitem__
+            out += [b"".join(map(get, words)) for words in some]
         return out
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Of each text its ids; A-Z are lower-cased first, as the tokenizer does itself."""
+        return self.encode_words([t.lower().split() for t in texts])
+
 
 @lru_cache(maxsize=1)
 def subwords(path: str) -> Subwords:
