@@ -155,7 +155,7 @@ def test_windows_score_every_id_once():
     texts = [draw.integers(0, vocabulary.size, n) for n in (1, 16, 17, 50, 0)]
     inputs, goal, own = attention.windows(texts, vocabulary)
     assert [goal[own == i][goal[own == i] >= 0].tolist() for i in range(5)] == [t.tolist() for t in texts]
-    assert inputs.shape[1] == attention.WIDTH and (inputs[own == 3][1, : attention.STRIDE] == inputs[own == 3][0, attention.STRIDE :]).all()
+    assert inputs.shape[1] == attention.WIDTH and (inputs[own == 3][1, : attention.CONTEXT] == inputs[own == 3][0, -attention.CONTEXT :]).all()
 
 
 def test_lm_scores(spark, texts, monkeypatch):
