@@ -22,11 +22,3 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracles() -> dict[str, str]:
-    return dict(ORACLES)
