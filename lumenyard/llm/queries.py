@@ -109,4 +109,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_WINDOWS = "array_to_string(w[spot:spot + k - 1], ' ') AS window_text"
+
+#: Only decontamination has SQL; every other operator needs a hash, tokenizer, model or search that DuckDB lacks.
+ORACLES: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w, len(w) AS n FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w, len(w) AS n, least({decontam.WINDOW}, n) AS k FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND len({_WORDS}) > 0),
+    bench_windows AS (SELECT DISTINCT item_id, k, {_WINDOWS} FROM b, unnest(range(1, n - k + 2)) t(spot)),
+    doc_windows AS (SELECT doc_id, spot, k, {_WINDOWS} FROM d, (SELECT DISTINCT k FROM b), unnest(range(1, n - k + 2)) t(spot)),
+    found AS (SELECT DISTINCT doc_id, spot, k, item_id FROM doc_windows JOIN bench_windows USING (k, window_text)),
+    hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + k)) AS place FROM found) GROUP BY 1),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
+    SELECT d.doc_id AS doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit > 0 AND {decontam.SHARE} * n_hit >= n, false) AS contaminated
+    FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+}

@@ -159,7 +159,7 @@ def test_windows_score_every_id_once():
 
 
 def test_lm_scores(spark, texts, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 300)
+    monkeypatch.setattr(lm_scoring.frequent, "__defaults__", (300,))
     counts, ends = collections.Counter(), 0
     for i, t in zip(texts.doc_id, texts.text):
         if zlib.crc32(str(i).encode()) % 10:
