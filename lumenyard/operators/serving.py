@@ -141,3 +141,10 @@ INCIDENT_EDGES = [
     ("verifying_production", "resolved"),
     ("verifying_production", "rollback_or_escalate"),
 ]
+
+
+def due(collectors: DataFrame, now: Column, remaining: int, most: int, loads: int = LOADS_PER_RUN) -> DataFrame:
+    """Active collectors (collector_id, last_at, min_interval_s, active) that are due, as many as budget and tick allow, longest waiting first."""
+    waited = F.unix_timestamp(now) - F.unix_timestamp(F.to_timestamp("last_at"))
+    ready = collectors.filter("active").filter(F.coalesce(waited >= F.col("min_interval_s"), F.lit(True)))
+    return ready.orderBy(F.col("last_at").asc_nulls_first(), "collector_id").limit(max(0, min(most, remaining // loads)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenyard.functions import dates, numbers, text, urls
+from lumenyard.functions import dates, numbers, repair, text, urls
 from lumenyard.operators import gate, opportunity, pages, verdict
 from lumenyard.plans.registry import register
 from lumenyard.sources.tables import table
@@ -179,3 +179,18 @@ def p01(spark, sf):
 @register("s08_public_url", "SELECT page_id, NOT regexp_matches(url, '//(localhost|10\\.|127\\.|192\\.168\\.)') AS public FROM pages")
 def s08(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.is_public(F.col("url")).alias("public"))
+
+
+@register("sc14_unscrambled", "SELECT doc_id, md5(substring(text, 1, 200)) AS digest FROM documents WHERE regexp_matches(substring(text, 1, 200), '[éèñáíóöäüß]')")
+def sc14(spark, sf):
+    """Beginnings of texts are scrambled as a wrong decoder would, and restored."""
+    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t")).filter(F.rlike("t", F.lit("[éèñáíóöäüß]")))
+    wrong = F.decode(F.encode("t", "UTF-8"), "ISO-8859-1")
+    return rows.select("doc_id", F.md5(repair.unscrambled(wrong)).alias("digest"))
+
+
+@register("p06_lists", "SELECT p_partkey, p_brand || '/' || p_type AS parts FROM part WHERE p_brand <> p_type")
+def p06(spark, sf):
+    rows = table(spark, sf, "part").filter("p_brand <> p_type")
+    written = F.concat("p_brand", F.lit("; "), "p_type", F.lit(" ,"), "p_brand", F.lit("|"))
+    return rows.select("p_partkey", F.array_join(repair.as_list(written), "/").alias("parts"))

@@ -106,9 +106,16 @@ def v09(spark, sf):
     return verdict.classify(runs.join(found, "run_id")).select("run_id", "verdict")
 
 
-@register("v08_captured_instead", "SELECT o_orderkey AS run_id, 'price' AS path, 'status' AS other FROM orders WHERE false")
+@register("v08_captured_instead", "SELECT o_orderkey AS run_id, 'price' AS path, 'deposit' AS other FROM orders WHERE o_orderkey % 5 = 0")
 def v08(spark, sf):
-    return verdict.captured_instead(verdict.compare_fields(*_readings(spark, sf)))
+    """Every fifth run reports the deposit where the price should be: a selector that moved."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.round(F.col("o_totalprice") + 1000).cast("bigint").cast("string").alias("price"))
+    field = lambda p, v: F.struct(F.lit(p).alias("path"), v.alias("value"))
+    read = lambda price: rows.select("run_id", F.explode(F.array(field("price", price), field("deposit", F.lit("25")))).alias("f")).select("run_id", "f.*")
+    collected = read(F.when(F.col("run_id") % 5 == 0, "25").otherwise(F.col("price")))
+    witnessed = read(F.col("price")).withColumn("confidence", F.lit(0.85))
+    specs = spark.createDataFrame([("price", None, False), ("deposit", None, False)], "path string, shape string, required_on_page boolean")
+    return verdict.captured_instead(verdict.compare_fields(specs, collected, witnessed))
 
 
 @register(
@@ -185,3 +192,40 @@ def sc47(spark, sf):
     text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/*0\nDisallow: /en/*5\nDisallow: /fr/*0 # zero\nDisallow: /fr/*5\nAllow: /en/*5.html\n"
     files = urls.select(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("origin")).distinct().withColumn("text", F.lit(text))
     return pages.robots_allowed(urls, pages.robots_rules(files)).select("url", "allowed")
+
+
+@register(
+    "st08_recovered",
+    """SELECT e.event_id AS incident_id, min(p.ts) AS resolved_at FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts > e.ts WHERE e.event_type = 'error' GROUP BY 1""",
+)
+def st08(spark, sf):
+    """Errors as incidents of users, closed by the user's next purchase."""
+    events = table(spark, sf, "events")
+    incidents = events.filter("event_type = 'error'").select(F.col("event_id").alias("incident_id"), F.col("user_id").alias("url"), F.col("ts").alias("created_at"))
+    runs = events.select(F.col("user_id").alias("url"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("publishable"))
+    return verdict.recovered(incidents, runs).select("incident_id", "resolved_at")
+
+
+@register("v21_corroborated", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'text_only' WHEN 1 THEN 'confirmed' ELSE 'conflicting' END AS kind FROM orders")
+def v21(spark, sf):
+    k, price = F.col("o_orderkey") % 3, F.round(F.col("o_totalprice") + 1000).cast("bigint")
+    fact = F.when(k == 1, F.concat(F.lit("$"), price)).when(k == 2, F.concat(F.lit("$"), price * 2))
+    return table(spark, sf, "orders").select("o_orderkey", verdict.corroborated(price.cast("string"), fact).alias("kind"))
+
+
+@register("sc38_alignment", "SELECT event_id, (event_id % 3 = 1)::INT + (event_id % 5 = 0)::INT AS differences FROM events")
+def sc38(spark, sf):
+    """Two contexts of each event: one in three seen from another country, one in five ten minutes later."""
+    at = F.col("ts").cast("timestamp")
+    side = lambda country, t: F.struct(F.lit("u").alias("url"), country.alias("country"), F.lit(None).cast("string").alias("locale"), F.lit("USD").alias("currency"), F.lit("desktop").alias("device"), F.array(F.lit("a")).alias("markers"), t.alias("observed_at"))
+    other = F.when(F.col("event_id") % 3 == 1, "DE").otherwise("US")
+    late = F.when(F.col("event_id") % 5 == 0, at + F.expr("interval 10 minutes")).otherwise(at)
+    rows = table(spark, sf, "events").select("event_id", side(F.lit("US"), at).alias("a"), side(other, late).alias("b"))
+    return rows.select("event_id", F.size(verdict.mismatches("a", "b")).alias("differences"))
+
+
+@register("t11_due", "SELECT c_custkey AS collector_id FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey >= 12 ORDER BY c_nationkey DESC, c_custkey LIMIT 20")
+def t11(spark, sf):
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("collector_id"), F.timestamp_seconds(F.unix_timestamp(now) - F.col("c_nationkey") * 3600).alias("last_at"), F.lit(12 * 3600).alias("min_interval_s"), (F.col("c_custkey") % 2 == 0).alias("active"))
+    return serving.due(rows, now, remaining=90, most=20).select("collector_id")
