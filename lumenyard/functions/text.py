@@ -80,15 +80,15 @@ def agreement(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """
 
     def judge(pair: Column) -> Column:
-        x, y = pair["x"], pair["y"]
-        other = (x["m"]["currency"] != y["m"]["currency"]) & x["m"]["currency"].isNotNull() & y["m"]["currency"].isNotNull()
-        numeric = F.when(F.coalesce(other, F.lit(False)), "disagree").when(near(x["m"]["value"], y["m"]["value"], tolerance), "agree").otherwise("disagree")
-        within = F.contains(x["k"], y["k"]) | F.contains(y["k"], x["k"])
-        text = F.when((x["k"] == "") | (y["k"] == ""), "incomparable").when(within, "agree").otherwise("disagree")
-        return F.when(x["m"].isNotNull() & y["m"].isNotNull(), numeric).otherwise(text)
-
-    side = lambda c: F.struct(money(c).alias("m"), comparison_key(without_echo(c)).alias("k"))
-    both = let(F.struct(side(a).alias("x"), side(b).alias("y")), judge)
+        m, n = pair["m"], pair["n"]
+        other = (m["currency"] != n["currency"]) & m["currency"].isNotNull() & n["currency"].isNotNull()
+        numeric = F.when(F.coalesce(other, F.lit(False)), "disagree").when(near(m["value"], n["value"], tolerance), "agree").otherwise("disagree")
+        keys = F.struct(comparison_key(without_echo(a)).alias("x"), comparison_key(without_echo(b)).alias("y"))
+        within = lambda k: F.contains(k["x"], k["y"]) | F.contains(k["y"], k["x"])
+        text = let(keys, lambda k: F.when((k["x"] == "") | (k["y"] == ""), "incomparable").when(within(k), "agree").otherwise("disagree"))
+        return F.when(m.isNotNull() & n.isNotNull(), numeric).otherwise(text)  # keys are found only where they are needed
+
+    both = let(F.struct(money(a).alias("m"), money(b).alias("n")), judge)
     return F.when(a.isNull() | b.isNull(), "incomparable").otherwise(both)
 
 

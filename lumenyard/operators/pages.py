@@ -95,13 +95,12 @@ def extract(markdown: Column, url: Column, spec: Field) -> Column:
     keys = [comparison_key(F.lit(x)) for x in spec.labels]
     outs = [comparison_key(F.lit(x)) for x in spec.exclude]
 
-    def labelled(text: Column) -> Column:
-        k = comparison_key(text)
+    def named(key: Column) -> Column:
         hit, no = F.lit(False), F.lit(False)
         for x in keys:
-            hit = hit | F.contains(k, x)
+            hit = hit | F.contains(key, x)
         for x in outs:
-            no = no | F.contains(k, x)
+            no = no | F.contains(key, x)
         return hit & ~no
 
     names = "|".join([*(x.replace(" ", "[ _]?") for x in spec.labels), spec.path.split(".")[-1]])
@@ -114,34 +113,49 @@ def extract(markdown: Column, url: Column, spec: Field) -> Column:
         return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
     if spec.shape == "url":
-        found = F.filter(F.regexp_extract_all(markdown, F.lit(link), F.lit(0)), lambda m: labelled(F.regexp_extract(m, link, 1)))
+        found = F.filter(F.regexp_extract_all(markdown, F.lit(link), F.lit(0)), lambda m: named(comparison_key(F.regexp_extract(m, link, 1))))
         links = first(F.transform(found, lambda m: _fits(resolve(F.regexp_extract(m, link, 2), url), spec)))
     else:
         links = F.lit(None).cast("string")
 
+    pair = "^([^:\\x{FF1A}]{1,60})[:\\x{FF1A}]\\s*(.*)$"
+
+    def told(raw: Column) -> Column:
+        """What a line is, found once: its plain text, what stands before and after a colon, and whether these name the field."""
+        plain = strip_markdown(raw)
+
+        def parts(p: Column) -> Column:
+            name = F.regexp_extract(p, pair, 1)
+            row, head = F.startswith(raw, F.lit("|")), F.startswith(raw, F.lit("#"))
+            return F.struct(
+                raw.alias("raw"),
+                p.alias("plain"),
+                F.trim(F.regexp_extract(p, pair, 2)).alias("rest"),
+                F.when(row, False).when(name != "", named(comparison_key(name))).otherwise(False).alias("pair"),
+                F.when(row | head | (F.length(p) > 60) | F.contains(p, F.lit(":")), False).otherwise(named(comparison_key(p))).alias("alone"),
+                row.alias("row"),
+                F.when(head, named(comparison_key(p))).otherwise(False).alias("head"),
+                head.alias("any_head"),
+            )
+
+        return let(plain, parts)
+
     def lined(lines: Column) -> Column:
         at = lambda i: F.get(lines, i)
-        plain = lambda i: strip_markdown(at(i))
-        pair = "^([^:\\x{FF1A}]{1,60})[:\\x{FF1A}]\\s*(.*)$"
-        table = lambda i: F.startswith(at(i), F.lit("|"))
         every = F.sequence(F.lit(0), F.size(lines) - 1)
 
         def line_value(i: Column) -> Column:
-            rest = F.trim(F.regexp_extract(plain(i), pair, 2))
-            own = F.when(F.rlike(plain(i), F.lit(pair)), F.when(rest == "", plain(i + 1)).otherwise(rest))
-            name = F.regexp_extract(plain(i), pair, 1)
-            alone = (F.length(plain(i)) <= 60) & ~F.contains(plain(i), F.lit(":")) & ~F.startswith(at(i), F.lit("#"))
-            bare = F.when(alone, plain(i + 1))
-            return F.when(table(i), None).when(labelled(name) & (name != ""), _fits(own, spec)).when((name == "") & labelled(plain(i)), _fits(bare, spec))
+            own = F.when(at(i)["rest"] == "", at(i + 1)["plain"]).otherwise(at(i)["rest"])
+            return F.when(at(i)["pair"], _fits(own, spec)).when(at(i)["alone"], _fits(at(i + 1)["plain"], spec))
 
         def row_value(i: Column) -> Column:
-            cells = F.filter(F.transform(F.split(at(i), "\\|"), lambda c: F.trim(c)), lambda c: c != "")
-            others = F.transform(F.slice(cells, 2, 20), lambda c: _fits(c, spec))
-            return F.when(table(i) & labelled(F.get(cells, F.lit(0))), first(others))
+            cells = F.filter(F.transform(F.split(at(i)["raw"], "\\|"), lambda c: F.trim(c)), lambda c: c != "")
+            fit = lambda c: F.when(named(comparison_key(F.get(c, F.lit(0)))), first(F.transform(F.slice(c, 2, 20), lambda x: _fits(x, spec))))
+            return F.when(at(i)["row"], let(cells, fit))
 
         def heading_value(i: Column) -> Column:
-            below = F.array(*(_fits(F.when(~F.startswith(at(i + k), F.lit("#")), plain(i + k)), spec) for k in (1, 2, 3)))
-            return F.when(F.startswith(at(i), F.lit("#")) & labelled(plain(i)), first(below))
+            below = F.array(*(_fits(F.when(~at(i + k)["any_head"], at(i + k)["plain"]), spec) for k in (1, 2, 3)))
+            return F.when(at(i)["head"], first(below))
 
         return F.struct(*(first(F.transform(every, f)).alias(n) for n, f in [("line", line_value), ("row", row_value), ("heading", heading_value)]))
 
@@ -153,7 +167,8 @@ def extract(markdown: Column, url: Column, spec: Field) -> Column:
         ways = [("json-ld", json_ld), ("markdown-link", links), ("labelled-line", found["line"]), ("table-row", found["row"]), ("heading-adjacent", found["heading"]), ("bare-currency", bare)]
         return F.coalesce(*(F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(CONFIDENCE[n]).alias("confidence"), F.lit(n).alias("strategy"))) for n, v in ways))
 
-    return let(let(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))), lined), chosen)
+    whole = F.transform(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))), told)
+    return let(let(whole, lined), chosen)
 
 
 def structured_facts(html: Column) -> Column:
