@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenyard.operators import contract, gate, pages, serving, verdict
+from lumenyard.operators import contract, drafts, gate, pages, serving, verdict
 from lumenyard.operators.contract import Invariant
 from lumenyard.plans.registry import register
 from lumenyard.sources.tables import table
@@ -229,3 +229,11 @@ def t11(spark, sf):
     now = F.lit("2026-01-02 00:00:00").cast("timestamp")
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("collector_id"), F.timestamp_seconds(F.unix_timestamp(now) - F.col("c_nationkey") * 3600).alias("last_at"), F.lit(12 * 3600).alias("min_interval_s"), (F.col("c_custkey") % 2 == 0).alias("active"))
     return serving.due(rows, now, remaining=90, most=20).select("collector_id")
+
+
+@register("v22_deadline_scan", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Deadline: ' || d WHEN 1 THEN d WHEN 2 THEN d || ' Applications close' END AS found FROM (SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') d FROM orders)")
+def v22(spark, sf):
+    """Closing dates written into pages in line, below, above, or as the date of something else."""
+    d, k = F.date_format("o_orderdate", "d MMMM yyyy"), F.col("o_orderkey") % 4
+    page = F.when(k == 0, F.concat(F.lit("# Call\n- **Deadline:** "), d)).when(k == 1, F.concat(F.lit("Closing date\n\n"), d)).when(k == 2, F.concat(d, F.lit("\nApplications close\n"))).otherwise(F.concat(F.lit("Results announced before "), d))
+    return table(spark, sf, "orders").select("o_orderkey", drafts.scan_for_deadline(page).alias("found"))

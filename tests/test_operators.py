@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from lumenyard.operators import contract, gate, opportunity, pages, ranking, serving, stats, verdict
+from lumenyard.operators import contract, drafts, gate, opportunity, pages, ranking, serving, stats, verdict
 from lumenyard.operators.contract import Invariant
 from pyspark.sql import functions as F
 
@@ -221,7 +221,7 @@ def test_lifecycle(spark):
     cases = [
         ("Applications closed", None, "1 January 2030", None, "closed"),
         (None, "Applications are now closed.", "1 January 2030", None, "closed"),
-        (None, "Applications are closed and will open in May", None, None, "unknown"),
+        (None, "Applications are closed, applications will open in May", None, None, "unknown"),
         (None, None, "7 Nov 2025", None, "closed"),
         ("rolling", None, None, None, "rolling"),
         (None, "Apply now!", None, None, "open"),
@@ -231,3 +231,41 @@ def test_lifecycle(spark):
     ]
     df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, s string, p string, d string, x string")
     assert [r["v"] for r in df.select("i", opportunity.lifecycle(F.col("s"), F.col("p"), F.col("d"), F.col("x"), now).alias("v")).orderBy("i").collect()] == [c[4] for c in cases]
+
+
+DRAFT_DEADLINES = [
+    ("Deadline: 10 October 2026", "Deadline: 10 October 2026"),
+    ("Rolling until 10 October 2026", "Rolling until 10 October 2026"),
+    ("usually 10 October 2026", None),
+    ("2026", None),
+    ("see https://a.test 10 October 2026", None),
+    ("Award for work. Closing on 10 October 2026", "Closing on 10 October 2026"),
+    ("x" * 170 + " 10 October 2026", None),
+    (None, None),
+]
+
+
+def test_plausible_facts(spark):
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(DRAFT_DEADLINES)], "i int, a string")
+    assert [r["v"] for r in df.select("i", drafts.plausible_deadline(F.col("a")).alias("v")).orderBy("i").collect()] == [b for _, b in DRAFT_DEADLINES]
+    row = spark.range(1).select(drafts.plausible_funding(F.lit("INR 250,000")).alias("a"), drafts.plausible_funding(F.lit("good prospects")).alias("b"), drafts.plausible_provider(F.lit("some words in prose")).alias("c"), drafts.plausible_provider(F.lit("MIT Media Lab")).alias("d")).first()
+    assert tuple(row) == ("INR 250,000", None, None, "MIT Media Lab")
+
+
+def test_scans_and_detectors(spark):
+    pages_ = [
+        (1, "# X\n- **Deadline:** 18 September 2026"),
+        (2, "Important dates\n18 September 2026\nApplications close\n"),
+        (3, "Deadline\n\n18 September 2026"),
+        (4, "Results announced before 18 September 2026"),
+        (5, "A stipend of $500 a month"),
+        (6, None),
+    ]
+    rows = spark.createDataFrame(pages_, "i int, m string").select("i", drafts.scan_for_deadline(F.col("m")).alias("d"), drafts.scan_for_funding(F.col("m")).alias("f")).orderBy("i").collect()
+    assert [r["d"] for r in rows] == ["Deadline: 18 September 2026", "18 September 2026 Applications close", "18 September 2026", None, None, None]
+    assert [r["f"] for r in rows] == [None, None, None, None, "A stipend of $500 a month", None]
+    titles = ["Top 10 scholarships", "Nova Fellowship 2026", "Cookie policy", "Scholarships in Canada", "Home", "Grant", "", "Payment options"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    found = df.select("i", drafts.is_index(F.col("t"), F.lit("x"), F.lit("https://a.test/x")).alias("a"), drafts.is_furniture(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [r["a"] for r in found] == [True] + [False] * 7
+    assert [r["b"] for r in found] == [False, False, True, True, True, False, True, True]
