@@ -110,6 +110,9 @@ def rules() -> list[Rule]:
         extra = min(4, name.count(" ") + name.count("\\d"))
         for priority, confidence, before, after in FORMS:
             out.append(Rule(label, keyword, priority + extra, confidence, f" {before}{name}{after} "))
+        if "(?: license)?" in name:  # the anchor stands within the name: general public license version 3
+            inner = name.replace("(?: license)?", " @licen[sc]e")
+            out.append(Rule(label, keyword, 25 + extra, 0.9, f" {inner} "))
     return out + [Rule(x, k, p, c, f" {e} ") for x, k, p, c, e in SINGLE]
 
 
@@ -133,10 +136,11 @@ def _detections(words: Column, at: Column) -> Column:
     spaced = F.when(at > 0, context).otherwise(F.concat(F.lit(" "), F.ltrim(context)))
 
     def found(context: Column) -> Column:
-        hits = F.filter(table, lambda r: F.contains(context, r["keyword"]) & F.rlike(context, r["pattern"]))
+        whole = lambda r: F.call_function("regexp_extract", context, r["pattern"], F.lit(0))
+        hits = F.filter(table, lambda r: F.contains(context, r["keyword"]) & F.rlike(context, r["pattern"]) & F.contains(whole(r), F.lit("@")))
 
         def interval(r: Column) -> Column:
-            text = F.trim(F.call_function("regexp_extract", context, r["pattern"], F.lit(0)))
+            text = F.trim(whole(r))
             ahead = F.substring_index(text, "@", 1)
             start = at - (F.length(ahead) - F.length(F.replace(ahead, F.lit(" "), F.lit(""))))
             n = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
