@@ -12,7 +12,7 @@ from lumenyard.operators import contract, ranking, serving, stats
 from lumenyard.plans.registry import register
 from lumenyard.sources.tables import table
 
-Z = 1.5
+Z = 1.25
 
 
 @register("a01_median", "SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")
@@ -232,9 +232,10 @@ def j14(spark, sf):
     return a.join(b, "nationkey", "full")
 
 
-@register("j15_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@register("j15_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 350000)")
 def j15(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    dear = table(spark, sf, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(dear, "c_custkey", "left_anti")
 
 
 @register("j18_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -346,10 +347,10 @@ def u01(spark, sf):
     return a.unionByName(b).groupBy("k").agg(F.max("src").alias("src"))
 
 
-@register("u03_except", "SELECT p_brand FROM part WHERE p_size > 25 EXCEPT SELECT p_brand FROM part WHERE p_size < 3")
+@register("u03_except", "SELECT p_brand, p_type FROM part WHERE p_size > 25 EXCEPT SELECT p_brand, p_type FROM part WHERE p_size < 3")
 def u03(spark, sf):
     rows = table(spark, sf, "part")
-    return rows.filter("p_size > 25").select("p_brand").distinct().join(rows.filter("p_size < 3").select("p_brand"), "p_brand", "left_anti")
+    return rows.filter("p_size > 25").select("p_brand", "p_type").distinct().join(rows.filter("p_size < 3").select("p_brand", "p_type"), ["p_brand", "p_type"], "left_anti")
 
 
 @register("u04_intersect", "SELECT o_custkey AS user_id FROM orders INTERSECT SELECT user_id FROM events")

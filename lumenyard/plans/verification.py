@@ -59,11 +59,12 @@ def v01(spark, sf):
     return contract.validate(run, header, fields, [Invariant("range", "o_totalprice", low=1000, high=300000)])
 
 
-@register("v02_learned_words", "SELECT 'learned:enum:p_brand' AS check_id, 'p_brand' AS path, count(*) AS offenders FROM part WHERE p_partkey % 2 = 1 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 2 = 0 AND p_size < 10) AND (SELECT count(DISTINCT p_brand) FROM part WHERE p_partkey % 2 = 0 AND p_size < 10) <= 12 HAVING count(*) > 0")
+@register("v02_learned_words", "SELECT 'learned:enum:p_type' AS check_id, 'p_type' AS path, count(*) AS offenders FROM part WHERE p_partkey % 2 = 1 AND p_type LIKE 'E%' HAVING count(*) > 0")
 def v02(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    words = contract.vocabularies(rows.filter("p_partkey % 2 = 0 and p_size < 10").select("p_brand"))
-    run = rows.filter("p_partkey % 2 = 1").select("p_brand")
+    """Types of even parts, without one kind, are learned; odd parts show it."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_type")
+    words = contract.vocabularies(rows.filter("p_partkey % 2 = 0 and p_type not like 'E%'").select("p_type"))
+    run = rows.filter("p_partkey % 2 = 1").select("p_type")
     return contract.check_learned(run, contract.profile(run.limit(0)), words).filter("check_id like 'learned:enum:%'").select("check_id", "path", "offenders")
 
 
