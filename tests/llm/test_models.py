@@ -158,6 +158,20 @@ def test_windows_score_every_id_once():
     assert inputs.shape[1] == attention.WIDTH and (inputs[own == 3][1, : attention.CONTEXT] == inputs[own == 3][0, -attention.CONTEXT :]).all()
 
 
+def test_context_is_sixteen_to_thirty_one_ids_before_the_own_input():
+    params, vocabulary, draw = small_model()
+    text = draw.integers(0, vocabulary.size, 64)
+    inputs, goal, _ = attention.windows([text], vocabulary)
+    assert attention.HEADS == 2
+    for place in (32, 40, 47):
+        window, at = divmod(place, attention.STRIDE)
+        before = inputs[window, : at + attention.CONTEXT]
+        assert before.tolist() == vocabulary.input_of[text[place - 1 - len(before) : place - 1]].tolist() and 16 <= len(before) <= 31
+    other = inputs.copy()
+    other[2, 0] = (other[2, 0] + 1) % attention.KEPT  # the input 16 places before the window's first
+    assert attention.score_windows(params, vocabulary, inputs, goal)[2] != attention.score_windows(params, vocabulary, other, goal)[2]
+
+
 def test_lm_scores(spark, texts, monkeypatch):
     monkeypatch.setattr(lm_scoring.frequent, "__defaults__", (300,))
     counts, ends = collections.Counter(), 0
