@@ -45,11 +45,15 @@ def simhash(words: list[bytes], k: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id and the 64-bit fingerprint (as a signed long) of every whole text. A null text has no words."""
 
+    return _with_fingerprint(docs, k).select("doc_id", "fp")
+
+
+def _with_fingerprint(docs: DataFrame, k: int) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> list:
         values = np.array([simhash(b.lower().split(), k) for b in blobs(batch)], dtype=np.uint64)
         return [pa.array(values.view(np.int64))]
 
-    return map_batches(docs.select("doc_id", "text"), [("fp", "bigint")], compute).select("doc_id", "fp")
+    return map_batches(docs.select("doc_id", "text"), [("fp", "bigint")], compute)
 
 
 def gray_rank(x: Column) -> Column:
@@ -210,6 +214,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(prints: DataFrame, first: Column, group: int) -> DataFrame:
+    """Each fingerprint once, with the least first of its rows and the label of its component, a fingerprint too."""
+    codes = checkpointed(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    labels = components(link_forest(codes, group))
+    return codes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links; a row for each input row.
 
@@ -217,22 +228,24 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> Da
     so fingerprint 0. Rows with a null doc_id take part and never name a component that has other ids.
     """
     prints = written(fingerprints(docs, k))
-    codes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(link_forest(codes, group))
-    joined = codes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    joined = _labelled(prints, F.col("doc_id"), group)
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "label").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: the one whose doc_id is the smallest.
+def keep_one(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: the one whose doc_id is the smallest (null: the
+    largest), then whose text has the smallest MD5.
 
-    Rows that repeat that doc_id go as well, but for one.
+    Groups are told apart by their fingerprints and not by ids, so rows that share an id, or have none, stay
+    unless their texts are near-duplicates. Rows that repeat both id and text go, but for one.
     """
-    found = near_duplicates(docs, k)
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(key.alias("__first"))
-    rows = docs.withColumn("__first", key).join(first, "__first", "left_semi")
-    return rows.dropDuplicates(["__first"]).drop("__first")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    prints = written(_with_fingerprint(docs, k).select("doc_id", "fp", digest.alias("digest")))
+    found = _labelled(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"), group)
+    first = found.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__first"))
+    rows = docs.withColumn("__digest", digest)
+    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__digest"] == first["__first"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

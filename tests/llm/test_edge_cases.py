@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from lumenyard.llm import neardup
 from lumenyard.llm.queries import QUERIES
 from lumenyard.llm.shared import table
 
@@ -54,3 +55,12 @@ def test_defined_results_of_odd_rows(spark, odd):
     assert model[2]["n_tokens"] == model[3]["n_tokens"] == 1 and model[2]["score"] == model[3]["score"] < 0
     prints = {r["doc_id"]: r for r in QUERIES["op9_document_fingerprints"](spark, odd).collect()}
     assert prints[2]["fingerprint"] == "" and prints[7]["fingerprint"] == prints[8]["fingerprint"] and prints[7]["near_next"] == 1
+
+
+def test_near_dedup_keeps_different_texts_without_an_id_or_with_the_same(spark):
+    text = lambda i: " ".join(f"{w}{i}" for w in "several words that no other row has in this small table".split())
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(0)), (9, text(5)), (3, text(5)), (-(1 << 63), text(6))]
+    kept = neardup.keep_one(spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id bigint, text string, source string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "source"]
+    expected = [(8, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (-(1 << 63), text(6))]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(i), t) for i, t in expected)
