@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lumenyard.operators.serving import INCIDENT_EDGES, merge_seen
 
 PER_CALLER, WINDOW_SECONDS = 5, 3600
+OUT_ROWS = 10_000  # events that are given back at once
 
 
 def admit(stamps: list[float], asked: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
@@ -32,16 +35,28 @@ def admit(stamps: list[float], asked: list[float], limit: int, window: float) ->
 def limited(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER, window: float = WINDOW_SECONDS) -> DataFrame:
     """A batch of requests with admitted: at most limit in any window of each caller. Ties by all columns.
 
-    A caller's requests meet in one task; they are few by nature, since a caller is one visitor.
+    A caller's requests pass through one task in time order, a batch at a time; only the window's stamps are held.
     """
     schema = ", ".join(f"{n} {t}" for n, t in requests.dtypes) + ", admitted boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, *[c for c in pdf.columns if c != at]], kind="stable", ignore_index=True)
-        seconds = (pdf[at] - pd.Timestamp("1970-01-01")).dt.total_seconds().tolist()
-        return pdf.assign(admitted=admit([], seconds, limit, window)[0])
-
-    return requests.groupBy(caller).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, begun = None, [], False
+        for batch in batches:
+            stamps = batch.column(at)
+            micros = stamps.cast(pa.timestamp("us", tz=stamps.type.tz)).cast(pa.int64()).to_pylist()
+            seconds = [float("nan") if m is None else m / 1e6 for m in micros]
+            callers, admitted = batch.column(caller).to_pylist(), []
+            while len(admitted) < len(callers):
+                first = len(admitted)
+                if not begun or callers[first] != now:
+                    now, held, begun = callers[first], [], True
+                to = next((i for i in range(first, len(callers)) if callers[i] != now), len(callers))
+                ok, held = admit(held, seconds[first:to], limit, window)
+                admitted += ok
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_())], names=[*batch.schema.names, "admitted"])
+
+    order = [F.col(caller), F.col(at).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in requests.columns if c not in (caller, at))]
+    return requests.repartition(caller).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def limited_stream(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER, window: float = WINDOW_SECONDS) -> DataFrame:
@@ -62,19 +77,30 @@ def limited_stream(requests: DataFrame, caller: str, at: str, limit: int = PER_C
 
 
 def lifecycle_stream(events: DataFrame, key: str, state_column: str, edges: list[tuple[str, str]] = INCIDENT_EDGES, start: str = "observed") -> DataFrame:
-    """key, state, legal for every event of a stream; an event that may not follow leaves the state as it was."""
+    """key, state, legal for every event of a stream; an event that may not follow leaves the state as it was.
+
+    Spark hands over a large group in several chunks, in no set order, so a micro-batch's events of one key are
+    sorted together; a number and a code are held for each. Ties keep the order in which they came.
+    """
     allowed = set(edges)
 
     def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else start
-        rows = []
+        codes: dict[str, int] = {}
+        seqs, tos = [], []
         for pdf in batches:
-            for to in pdf.sort_values("seq")[state_column]:
+            seqs.append(pdf["seq"].to_numpy())
+            tos.append(np.array([codes.setdefault(to, len(codes)) for to in pdf[state_column]], dtype=np.int32))
+        names, to_code = list(codes), np.concatenate(tos)
+        to_code = to_code[np.argsort(np.concatenate(seqs), kind="stable")]
+        for at in range(0, len(to_code), OUT_ROWS):
+            rows = []
+            for to in (names[c] for c in to_code[at : at + OUT_ROWS]):
                 legal = (now, to) in allowed
                 now = to if legal else now
                 rows.append((own[0], to, legal))
+            yield pd.DataFrame(rows, columns=[key, state_column, "legal"])
         state.update((now,))
-        yield pd.DataFrame(rows, columns=[key, state_column, "legal"])
 
     kinds = dict(events.dtypes)
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {state_column} string, legal boolean", "now string", "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 """Stateful streams against plain loops, on the smallest sample."""
 
 import collections
+import random
 
 import pandas as pd
 from lumenyard.plans import streams
@@ -43,3 +44,30 @@ def test_histories(spark):
         legal[user, ok] += 1
     found = collections.Counter((r["user_id"], r["legal"]) for r in streams.st07(spark, SF).collect())
     assert found == legal
+
+
+def test_a_user_of_several_arrow_batches(spark, tmp_path):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    draw = random.Random(6)
+    kinds = [draw.choice(["view", "click", "purchase"]) for _ in range(400)]
+    rows = [(1, kind, i) for i, kind in enumerate(kinds)] + [(2, "view", 3), (2, "purchase", 4)]
+    draw.shuffle(rows)
+    spark.createDataFrame(rows, "user_id int, event_type string, seq bigint").coalesce(1).write.parquet(f"{tmp_path}/events")
+    state, expected = {}, collections.Counter()
+    for user, kind, _ in sorted(rows, key=lambda r: r[2]):
+        ok = (state.get(user, "signup"), kind) in streams.EDGES
+        state[user] = kind if ok else state.get(user, "signup")
+        expected[user, kind, ok] += 1
+    spark.conf.set(setting, "7")
+    try:
+        source = spark.readStream.schema("user_id int, event_type string, seq bigint").parquet(f"{tmp_path}/events")
+        found = streams._drained(limits.lifecycle_stream(source, "user_id", "event_type", streams.EDGES, start="signup"))
+        assert collections.Counter((r["user_id"], r["event_type"], r["legal"]) for r in found.collect()) == expected
+        start = pd.Timestamp("2024-01-01")
+        asked = [(user, (start + pd.Timedelta(seconds=97 * seq)).to_pydatetime(), seq) for user, _, seq in rows]
+        one = limits.limited(spark.createDataFrame(asked, "user_id int, ts timestamp_ntz, n bigint"), "user_id", "ts")
+        assert "FlatMapGroupsInPandas" not in one._jdf.queryExecution().toString()
+        assert collections.Counter((r["user_id"], r["admitted"]) for r in one.collect()) == admitted(sorted((u, t) for u, t, _ in asked))
+    finally:
+        spark.conf.set(setting, before)
