@@ -2,7 +2,7 @@
 
 Rows of equal text form a group; a group larger than a small share of a shard is cut into several. The
 groups are dealt into cells, each cell packs its own into as many bins as there are shards (largest
-first, each to the bin whose residual capacity has the highest dot product with it, weighed), and the bins of all
+first, each to the bin whose residual capacity has the highest dot product with it), and the bins of all
 cells are packed the same way, level by level, until one cell is left. Places in a shard add up from the
 offsets of the levels, so no shard is ever sorted as a whole.
 """
@@ -21,25 +21,61 @@ SHARDS = 24
 CELL = 20_000  # groups in one cell, about
 PIECES = 64  # a group holds at most one such part of a shard, in bytes and in rows
 OVERHEAD = 8  # bytes that each row takes besides its text
-WEIGHTS = (64.0, 1.0, 1.0)  # of bytes, tokens and rows in the dot product: sizes are the law, the others follow
+REPAIRS = 300  # exchanges that level the bytes of a cell's bins, at most
 GROUP_KEY = ["xx", "text_crc32", "size", "salt"]
 
 
 def place(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each vector (bytes, tokens, rows) and the rows that lie in that bin before it."""
-    total = sizes.sum(axis=0)
-    unit = sizes / np.maximum(total, 1) * shards  # of a bin's capacity
+    """The bin of each vector (bytes, tokens, rows) and the rows that lie in that bin before it.
+
+    Vectors count as shares of a bin's capacity in each of the three, which weigh alike; the one with the
+    largest share is placed first, where its dot product with what is left of a bin is highest.
+    """
+    unit = sizes / np.maximum(sizes.sum(axis=0), 1) * shards  # of a bin's capacity
     residual = np.ones((shards, sizes.shape[1]))
-    held = np.zeros(shards, dtype=np.int64)
-    bins, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
-    for i in np.lexsort((-sizes[:, 2], -sizes[:, 0])):
-        k = int((residual @ (unit[i] * WEIGHTS)).argmax())
-        bins[i], offsets[i] = k, held[k]
+    bins = np.empty(len(sizes), dtype=np.int64)
+    for i in np.argsort(-unit.max(axis=1), kind="stable"):
+        k = int((residual @ unit[i]).argmax())
+        bins[i] = k
         residual[k] -= unit[i]
-        held[k] += int(sizes[i, 2])
+    bins = levelled(sizes[:, 0], bins, shards)
+    by = np.argsort(bins, kind="stable")
+    upto = np.cumsum(sizes[by, 2]) - sizes[by, 2]
+    head = np.searchsorted(bins[by], bins[by])  # the first of its bin
+    offsets = np.empty(len(sizes), dtype=np.int64)
+    offsets[by] = upto - upto[head]
     return bins, offsets
 
 
+def levelled(size: np.ndarray, bins: np.ndarray, shards: int, most: int = REPAIRS) -> np.ndarray:
+    """A local repair for the law: the fullest bin gives the emptiest one an item, or swaps one with it, as long
+    as that brings the two nearer to each other."""
+    bins = bins.copy()
+    load = np.bincount(bins, weights=size, minlength=shards)
+    for _ in range(most if len(size) else 0):
+        high, low = int(load.argmax()), int(load.argmin())
+        gap = (load[high] - load[low]) / 2
+        give, back = np.flatnonzero(bins == high), np.flatnonzero(bins == low)
+        back = np.append(back[np.argsort(size[back], kind="stable")], -1)  # -1: nothing comes back
+        value = np.append(size[back[:-1]], np.inf)
+        wanted = size[give] - gap
+        at = np.searchsorted(value, wanted)
+        choice = np.stack([np.maximum(at - 1, 0), at, np.full(len(give), len(back) - 1)], axis=1)
+        got = np.where(back[choice] < 0, 0.0, size[back[choice]])
+        off = np.abs(size[give][:, None] - got - gap)
+        g, c = np.unravel_index(int(off.argmin()), off.shape)
+        if off[g, c] >= gap * (1 - 1e-9):
+            break
+        item, other = give[g], back[choice[g, c]]
+        moved = size[item] - got[g, c]
+        bins[item] = low
+        if other >= 0:
+            bins[other] = high
+        load[high] -= moved
+        load[low] += moved
+    return bins
+
+
 def _pack_cells(items: DataFrame, keys: list[str], shards: int) -> DataFrame:
     """items (keys, cell, bytes, tokens, rows) with bin and offset within their cell."""
     kinds = dict(items.dtypes)
@@ -58,7 +94,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, pieces: int =
 
     size is the text's UTF-8 bytes plus OVERHEAD; tokens are counted as words. A null text has no bytes.
     Bytes come out near equal; rows of one text share a shard unless they are too many. Repeated ids are
-    rows of their own.
+    rows of their own; among rows of one text and id, which takes which slot is not defined. Other columns
+    are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(
@@ -68,6 +105,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, pieces: int =
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("xx"),
             F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")).cast("bigint").alias("n_tokens"),
+            F.monotonically_increasing_id().alias("row"),  # written, so a row keeps its number
         )
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
@@ -76,7 +114,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, pieces: int =
     cuts = F.greatest(F.ceil(F.col("n") * F.col("size") / most_bytes), F.ceil(F.col("n") / most_rows))
     # every group in it has over a part's bytes or rows, so there are at most 2 * shards * pieces
     large = groups.filter((F.col("n") > 1) & (cuts > 1)).select("xx", "text_crc32", "size", cuts.alias("cuts"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("cuts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("cuts", F.lit(1)))
     rows = rows.join(F.broadcast(large), ["xx", "text_crc32", "size"], "left").withColumn("salt", salt).drop("cuts")
     atoms = rows.groupBy(*GROUP_KEY).agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     atoms = checkpointed(atoms)

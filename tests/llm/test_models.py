@@ -67,7 +67,38 @@ def test_genetic_steps_keep_all_pieces():
         assert sorted(i for _, own in bins for i in own) == list(range(120))
         assert all(load == sum(lengths[i] for i in own) <= 100 for load, own in bins)
     best = packing.evolve(lengths, 1, [], 100)
-    assert max(best[0]) + 1 <= len(first)
+    assert [packing.fitness(b) for b in best] == sorted(packing.fitness(b) for b in best) and len(best[0]) <= len(first)
+
+
+def longest_first(lengths, room):
+    return packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, [], room)
+
+
+def test_evolution_beats_best_fit_of_the_longest_first(monkeypatch):
+    import random
+
+    children = []
+    monkeypatch.setattr(packing, "cross", lambda *a, own=packing.cross: children.append(1) or own(*a))
+    for seed in range(3):  # bins of three pieces that fill them exactly
+        draw, lengths = random.Random(seed), []
+        for _ in range(40):
+            a = draw.randint(380, 490)
+            b = draw.randint(250, (1000 - a) // 2)
+            lengths += [a, b, 1000 - a - b]
+        assert len(packing.evolve(lengths, seed, [], 1000)[0]) <= len(longest_first(lengths, 1000)) - 2
+    assert len(children) == 3 * 2 * packing.GENERATIONS
+
+
+def test_packing_does_not_depend_on_how_rows_are_dealt(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate(draw.integers(1, 100, 500))]
+    sizes = set()
+    for parts in (1, 7):
+        found = packing.pack(spark.createDataFrame(rows, "id int, length bigint").repartition(parts), room=100, cell=200).collect()
+        assert sorted((r["id"], r["length"]) for r in found) == rows
+        check_packing(found, 100, slack=8)
+        sizes.add(len({r["sequence_id"] for r in found}))
+    assert max(sizes) - min(sizes) <= 3
 
 
 def test_shards(spark):
@@ -85,6 +116,24 @@ def test_shards(spark):
         assert once.groupby("shard").size().max() < 400  # the large group is cut
 
 
+def test_shards_balance_bytes_tokens_and_rows_jointly():
+    draw = np.random.default_rng(1)
+    sizes = np.stack([draw.exponential(2000, 6000) + 8, draw.exponential(300, 6000), draw.integers(1, 4, 6000)], axis=1).round()
+    bins, _ = sharding.place(sizes, 24)
+    total = np.stack([np.bincount(bins, weights=sizes[:, k], minlength=24) for k in range(3)], axis=1)
+    spread = (total.max(axis=0) - total.min(axis=0)) / total.mean(axis=0)
+    assert spread[0] < 1e-4 and spread[1] < 0.03 and spread[2] < 0.05, spread
+
+
+def test_shard_query_keeps_its_law(spark, texts):
+    rows = QUERIES["op7_sharding"](spark, SF).toPandas()
+    text = dict(zip(texts.doc_id, texts.text))
+    assert sorted(rows.doc_id) == sorted(text)
+    assert all(r["size"] == len((text[r.doc_id] or "").encode()) + 8 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for _, r in rows.iterrows())
+    assert set(rows.law) == {"bytes"} and rows.grown_shard.isna().all() and set(rows["shard"]) <= set(range(24))
+    assert all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard").slot)
+
+
 def test_personalised_pagerank(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "d", 1)], "src string, dst string, n bigint")
     seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
