@@ -22,6 +22,7 @@ CELL = 20_000  # groups in one cell, about
 PIECES = 64  # a group holds at most one such part of a shard, in bytes and in rows
 OVERHEAD = 8  # bytes that each row takes besides its text
 REPAIRS = 300  # exchanges that level the bytes of a cell's bins, at most
+ASIDE = 0.05  # what an exchange of tokens and rows costs beside one of bytes
 GROUP_KEY = ["xx", "text_crc32", "size", "salt"]
 
 
@@ -38,7 +39,7 @@ def place(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         k = int((residual @ unit[i]).argmax())
         bins[i] = k
         residual[k] -= unit[i]
-    bins = levelled(sizes[:, 0], bins, shards)
+    bins = levelled(unit, bins, shards)
     by = np.argsort(bins, kind="stable")
     upto = np.cumsum(sizes[by, 2]) - sizes[by, 2]
     head = np.searchsorted(bins[by], bins[by])  # the first of its bin
@@ -47,32 +48,31 @@ def place(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def levelled(size: np.ndarray, bins: np.ndarray, shards: int, most: int = REPAIRS) -> np.ndarray:
+def levelled(unit: np.ndarray, bins: np.ndarray, shards: int, most: int = REPAIRS) -> np.ndarray:
     """A local repair for the law: the fullest bin gives the emptiest one an item, or swaps one with it, as long
-    as that brings the two nearer to each other."""
+    as that brings their bytes nearer to each other; among exchanges those that leave tokens and rows alone."""
     bins = bins.copy()
+    size = unit[:, 0]
     load = np.bincount(bins, weights=size, minlength=shards)
+    padded = np.append(unit, np.zeros((1, unit.shape[1])), axis=0)  # the last one: nothing comes back
     for _ in range(most if len(size) else 0):
         high, low = int(load.argmax()), int(load.argmin())
         gap = (load[high] - load[low]) / 2
         give, back = np.flatnonzero(bins == high), np.flatnonzero(bins == low)
-        back = np.append(back[np.argsort(size[back], kind="stable")], -1)  # -1: nothing comes back
-        value = np.append(size[back[:-1]], np.inf)
-        wanted = size[give] - gap
-        at = np.searchsorted(value, wanted)
-        choice = np.stack([np.maximum(at - 1, 0), at, np.full(len(give), len(back) - 1)], axis=1)
-        got = np.where(back[choice] < 0, 0.0, size[back[choice]])
-        off = np.abs(size[give][:, None] - got - gap)
-        g, c = np.unravel_index(int(off.argmin()), off.shape)
-        if off[g, c] >= gap * (1 - 1e-9):
+        back = back[np.argsort(size[back], kind="stable")]
+        near = np.searchsorted(size[back], size[give] - gap)[:, None] + np.arange(-2, 2)
+        choice = np.append(np.append(back, -1)[np.where((near >= 0) & (near < len(back)), near, -1)], np.full((len(give), 1), -1), axis=1)
+        moved = unit[give][:, None] - padded[choice]
+        off = np.abs(moved[..., 0] - gap)
+        cost = np.where(off < gap * 0.999, off + ASIDE * np.abs(moved[..., 1:]).sum(axis=-1), np.inf)
+        g, c = np.unravel_index(int(cost.argmin()), cost.shape)
+        if not np.isfinite(cost[g, c]):
             break
-        item, other = give[g], back[choice[g, c]]
-        moved = size[item] - got[g, c]
-        bins[item] = low
-        if other >= 0:
-            bins[other] = high
-        load[high] -= moved
-        load[low] += moved
+        bins[give[g]] = low
+        if choice[g, c] >= 0:
+            bins[choice[g, c]] = high
+        load[high] -= moved[g, c, 0]
+        load[low] += moved[g, c, 0]
     return bins
 
 
