@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of texts of any
-length can be merged and compared; where fewer than FLOOR lie below it, the FLOOR smallest are kept
-instead (all of them, if a text has no more). Two sketches are compared below the lower of their cutoffs,
-where both are complete.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, and where none lies below it
+the smallest hash, so only a text without words has an empty one. Both are properties of the set of
+hashes: the sketch of several texts together is found from their sketches (merged), and what two sketches
+share tells how much of either text lies in the other, however unequal they are.
 """
 
 from __future__ import annotations
@@ -12,20 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenyard.functions.text import let
+
 SHINGLE = 5  # words
-FRACTION = 8  # one hash in so many is kept
-FLOOR = 16  # hashes that a sketch has at least, if the text has as many
-RANGE_ROWS = 4000  # documents in one range of ids
-RANGES = 1 << 14  # at most
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+FRACTION = 4  # one hash in so many is kept
+RANGE_ROWS = 4000  # documents in one range of ids, about
+RANGES = 1 << 14  # at most; larger ranges spill while they are sorted
+LEAST = -(1 << 63)
 CUTOFF = LEAST + (1 << 64) // FRACTION
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once a row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     """XXH64 of all runs of k words (of the words' own hashes); a text of fewer words, but not none, is one run."""
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -38,40 +34,43 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
-def sketch(text: Column) -> Column:
-    """The sorted distinct hashes that the sketch of a text keeps; null counts as empty."""
+def scaled(hashes: Column) -> Column:
+    """The sketch of a set of hashes (or of sketches laid end to end): sorted, distinct."""
 
-    def kept(hashes: Column) -> Column:
-        low = F.array_distinct(F.filter(hashes, lambda h: h < F.lit(CUTOFF)))
-        return let(low, lambda x: F.when(F.size(x) >= FLOOR, F.array_sort(x)).otherwise(F.slice(F.array_sort(F.array_distinct(hashes)), 1, FLOOR)))
+    def kept(low: Column) -> Column:
+        least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(least)
 
-    return let(shingle_hashes(F.coalesce(text, F.lit(""))), kept)
+    return let(F.filter(hashes, lambda h: h < F.lit(CUTOFF)), kept)
 
 
-def cutoff(sk: Column) -> Column:
-    """Up to where a sketch holds all hashes of its text."""
-    whole = F.size(sk) < FLOOR
-    return F.when(whole, F.lit(MOST)).when(F.element_at(sk, -1) < F.lit(CUTOFF), F.lit(CUTOFF - 1)).otherwise(F.element_at(sk, -1))
+def sketch(text: Column) -> Column:
+    """The sketch of a text; null counts as empty."""
+    return let(shingle_hashes(F.coalesce(text, F.lit(""))), scaled)
+
+
+def merged(*sketches: Column) -> Column:
+    """The sketch of all shingles of several texts, from their sketches alone."""
+    return let(F.concat(*sketches), scaled)
 
 
 def compared(a: Column, b: Column) -> Column:
     """resemblance (shared among all hashes) and containment (shared among those of the smaller), both 0 to 1.
 
-    Equal sketches give 1, also empty ones; otherwise nothing to compare gives 0.
+    Equal sketches give 1, also empty ones; an empty one has nothing in common with any other.
     """
+    one = F.struct(F.lit(1.0).alias("resemblance"), F.lit(1.0).alias("containment"))
 
-    def below(top: Column) -> Column:
-        x, y = F.filter(a, lambda h: h <= top), F.filter(b, lambda h: h <= top)
-        return F.struct(F.size(F.array_intersect(x, y)).alias("both"), F.size(x).alias("x"), F.size(y).alias("y"))
+    def measures(both: Column) -> Column:
+        ratio = lambda d: F.when(d > 0, both / d).otherwise(F.lit(0.0))
+        return F.struct(ratio(F.size(a) + F.size(b) - both).alias("resemblance"), ratio(F.least(F.size(a), F.size(b))).alias("containment"))
 
-    def measures(n: Column) -> Column:
-        either, least = n["x"] + n["y"] - n["both"], F.least(n["x"], n["y"])
-        ratio = lambda d: F.when(d > 0, n["both"] / d).otherwise(F.lit(0.0))
-        return F.struct(ratio(either).alias("resemblance"), ratio(least).alias("containment"))
+    return F.when(a == b, one).otherwise(let(F.size(F.array_intersect(a, b)), measures))
 
-    one = F.struct(F.lit(1.0).alias("resemblance"), F.lit(1.0).alias("containment"))
-    whole = F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(MOST)).otherwise(F.least(cutoff(a), cutoff(b)))
-    return F.when(a == b, one).otherwise(let(let(whole, below), measures))
+
+def contained(a: Column, b: Column) -> Column:
+    """The share of a's text that lies in b's, by their sketches; null if a's text has no words."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
 
 
 def hexed(sk: Column) -> Column:
@@ -80,58 +79,72 @@ def hexed(sk: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with fp (the sketch of text) for every row."""
+    """docs with fp (the sketch of text) for every row; a column of that name is replaced."""
     return docs.withColumn("fp", sketch(F.col("text")))
 
 
-def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], dict[int, int]]:
-    """Bounds that cut the ids into ranges of about so many rows, and the least id of each range that has rows."""
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("id")).filter("id is not null")
-    n = min(RANGES, -(-ids.count() // rows))
-    if n == 0:
-        return [], {}
-    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []
-    bounds = sorted(set(cuts))
-    return bounds, {r["range"]: r["least"] for r in ids.groupBy(_range_of(F.col("id"), bounds).alias("range")).agg(F.min("id").alias("least")).collect()}
-
-
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below an id, found in two steps; a null id is in the first range."""
-    step = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not blocks:
-        return F.lit(0)
-    heads = F.array(*(F.lit(b[0]).cast("bigint") for b in blocks))
-    nested = F.array(*(F.array(*(F.lit(x).cast("bigint") for x in b)) for b in blocks))
-    upto = lambda bs: F.size(F.filter(bs, lambda b: b <= doc_id))
-    found = let(upto(heads), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + upto(F.get(nested, k - 1))))
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(found)
-
-
-def with_next(docs: DataFrame, columns: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+def _bounds(docs: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]]:
+    """Parts for null ids, and ids that cut the others into ranges of about so many rows, each with how many such
+    ranges the id's own rows would fill."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"))
+    sums = ids.agg(F.count("id").alias("own"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    n = min(RANGES, -(-sums["own"] // rows))
+    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] if n > 1 else []
+    parts: dict[int, int] = {}
+    for c in cuts:
+        parts[c] = parts.get(c, 0) + 1
+    return min(RANGES, -(-sums["none"] // rows)), sorted(parts.items())
+
+
+def _range_of(doc_id: Column, tie: Column, none: int, bounds: list[tuple[int, int]]) -> Column:
+    """The number of a row's range. Ranges follow doc_id, null first, and within one id that fills several, the tie."""
+    unit = lambda parts: F.least(parts - 1, F.floor((tie / F.lit(float(1 << 64)) + 0.5) * parts)).cast("int")
+    number, cells = 0, [(LEAST, 1, 0)]  # id, its parts, number of the first of them; what follows the id comes after
+    for c, parts in bounds:
+        number += 1 if cells[-1][1] == 1 else cells[-1][1] + 1
+        cells.append((c, parts, number))
+    step = max(1, int(len(cells) ** 0.5))
+    blocks = [cells[i : i + step] for i in range(0, len(cells), step)]
+    heads = F.array(*(F.lit(b[0][0]).cast("bigint") for b in blocks))
+    nested = F.array(*(F.array(*(F.struct(F.lit(c).cast("bigint").alias("id"), F.lit(p).alias("parts"), F.lit(n).alias("number")) for c, p, n in b)) for b in blocks))
+    last = lambda xs, at: F.element_at(F.filter(xs, lambda x: at(x) <= doc_id), -1)
+    block = F.get(nested, F.size(F.filter(heads, lambda h: h <= doc_id)) - 1)
+
+    def within(x: Column) -> Column:
+        one, own = x["parts"] == 1, doc_id == x["id"]
+        return x["number"] + F.when(one, 0).when(own, unit(x["parts"])).otherwise(x["parts"])
+
+    found = let(last(block, lambda x: x["id"]), within)
+    return F.when(doc_id.isNull(), unit(F.lit(max(1, none))) - max(1, none)).otherwise(found)
+
+
+def with_next(docs: DataFrame, columns: list[str], add=lambda rows: rows, rows: int = RANGE_ROWS) -> DataFrame:
     """docs with next_<column> of the row that follows by ascending doc_id; the first follows the last.
 
     Rows are dealt by ranges of ids, and each range also gets the first row of the one after, so no task
-    sees all rows. Null ids come first; rows of one id are ordered by their text's hash.
+    sees all rows. add() may give the rows further columns once they are dealt, so that these are not
+    shuffled. Null ids come first; rows of one id are ordered by their text's hash. Columns of docs
+    named next_<column> are replaced.
     """
-    bounds, least = _ranges(docs, rows)
-    order = sorted(least)
+    none, bounds = _bounds(docs, rows)
     key = F.col("doc_id").cast("bigint")
-    base = docs.withColumns({"__range": _range_of(key, bounds), "__tie": F.xxhash64("text")})
-    if docs.filter(key.isNull()).limit(1).count():  # then a null id is the first of all
-        least[0] = None
-        order = sorted(least)
+    base = docs.withColumn("__tie", F.xxhash64("text"))
+    base = base.withColumn("__range", _range_of(key, F.col("__tie"), none, bounds))
+    place = F.struct(key.isNotNull().alias("known"), key.alias("id"), F.col("__tie").alias("tie"))
+    least = {r["__range"]: r["least"] for r in base.groupBy("__range").agg(F.min(place).alias("least")).collect()}
+    order = sorted(least)
     if not order:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
+        return add(docs).withColumns({f"next_{c}": F.col(c) for c in columns})
     home = F.struct(F.col("__range").alias("range"), F.lit(0).alias("copy"))
     before = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, order[i - 1])))
-    heads = F.create_map(*(x for r in order for x in (F.lit(r), F.lit(least[r]).cast("bigint"))))
-    first = key.eqNullSafe(F.try_element_at(heads, F.col("__range")))
+    heads = F.create_map(*(x for r in order for x in (F.lit(r), F.struct(F.lit(least[r]["known"]).alias("known"), F.lit(least[r]["id"]).cast("bigint").alias("id"), F.lit(least[r]["tie"]).cast("bigint").alias("tie")))))
+    first = place.eqNullSafe(F.try_element_at(heads, F.col("__range")))
     copy = F.struct(F.try_element_at(before, F.col("__range")).alias("range"), F.when(F.col("__range") == order[0], 2).otherwise(1).alias("copy"))
     dealt = base.withColumn("__at", F.explode(F.when(first, F.array(home, copy)).otherwise(F.array(home))))
-    window = Window.partitionBy("__at.range").orderBy(F.col("__at.copy"), key.asc_nulls_first(), F.col("__tie"))
+    dealt = add(dealt.select(*docs.columns, "__tie", F.col("__at.range").alias("__range"), F.col("__at.copy").alias("__copy")).repartition("__range"))
+    window = Window.partitionBy("__range").orderBy("__copy", key.asc_nulls_first(), "__tie")
     found = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
-    return found.filter(F.col("__at.copy") == 0).drop("__range", "__tie", "__at")
+    return found.filter("__copy = 0").drop("__range", "__tie", "__copy")
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -143,8 +156,8 @@ def edited(text: Column, after: Column) -> Column:
 
 def compared_with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, text, fp and those of the edited text and the next document, with both comparisons. Null text: empty."""
-    rows = fingerprints(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    rows = with_next(rows, ["text", "fp"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, ["text", "fp"], fingerprints)
     rows = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     rows = rows.withColumn("edited_fp", sketch(F.col("edited_text")))
     return rows.withColumns({"to_edited": compared(F.col("fp"), F.col("edited_fp")), "to_next": compared(F.col("fp"), F.col("next_fp"))})

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from lumenyard.llm import decontam, fingerprint, langid, licenses, neardup
 from lumenyard.llm.queries import QUERIES
+from pyspark.sql import functions as F
 
 from .conftest import SF
 
@@ -129,13 +130,12 @@ def sketch(t):
         return []
     runs = [chain(h)] if len(h) < 5 else [chain(h[i : i + 5]) for i in range(len(h) - 4)]
     runs = sorted({r - (1 << 64) if r >> 63 else r for r in runs})
-    low = [r for r in runs if r < fingerprint.CUTOFF]
-    return low if len(low) >= fingerprint.FLOOR else runs[: fingerprint.FLOOR]
+    return [r for r in runs if r < fingerprint.CUTOFF] or runs[:1]
 
 
 @pytest.mark.parametrize("rows", [4000, 17])
 def test_fingerprints(spark, texts, rows, monkeypatch):
-    monkeypatch.setattr(fingerprint.with_next, "__defaults__", (rows,))
+    monkeypatch.setattr(fingerprint.with_next, "__defaults__", (lambda rows: rows, rows))
     d = texts.sort_values("doc_id")
     ids, own = d.doc_id.tolist(), d.text.tolist()
     sketches = [sketch(t) for t in own]
@@ -156,6 +156,41 @@ def test_fingerprints(spark, texts, rows, monkeypatch):
     assert np.mean(gaps) < 0.08
 
 
+def test_merged_sketches_and_containment(spark):
+    draw = random.Random(2)
+    parts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(n)) for n in (60, 8000, 3, 0, 900)]
+    rows = spark.createDataFrame([(parts[0], parts[1] + " " + parts[0] + " " + parts[4], parts[2], parts[3])], "short string, long string, three string, none string")
+    sk = {c: fingerprint.sketch(F.col(c)) for c in rows.columns}
+    found = rows.select(
+        sk["three"].alias("of_three"),
+        sk["none"].alias("of_none"),
+        fingerprint.merged(sk["short"], sk["long"], sk["three"]).alias("all"),
+        fingerprint.merged(sk["three"], sk["none"]).alias("few"),
+        fingerprint.contained(sk["short"], sk["long"]).alias("within"),
+        fingerprint.contained(sk["long"], sk["short"]).alias("back"),
+        fingerprint.compared(sk["short"], sk["long"]).alias("pair"),
+        fingerprint.contained(sk["none"], sk["long"]).alias("nothing"),
+    ).first()
+    every = set(sketch(parts[0])) | set(sketch(rows.first()["long"])) | set(sketch(parts[2]))
+    assert found["all"] == sorted(h for h in every if h < fingerprint.CUTOFF)
+    assert found["few"] == found["of_three"] == sketch(parts[2]) and len(found["of_three"]) == 1 and found["of_none"] == []
+    assert found["within"] == found["pair"]["containment"] == 1 and found["back"] < 0.05 and found["nothing"] is None
+
+
+def test_next_documents_where_one_id_fills_many_ranges(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice([None, 7, 7, i]), f"text {draw.randint(0, 60)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = fingerprint.with_next(df, ["text", "doc_id"], rows=20)
+    assert found.columns == ["doc_id", "text", "next_text", "next_doc_id"]
+    got = found.collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in rows)
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    expected = sorted((str(a), str(b)) for a, b in zip(order, order[1:] + order[:1]))
+    assert sorted((str((r["doc_id"], r["text"])), str((r["next_doc_id"], r["next_text"]))) for r in got) == expected
+
+
 def components(codes, limit=2):
     label = list(range(len(codes)))
 
