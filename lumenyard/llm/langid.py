@@ -1,14 +1,15 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-A text is parsed greedily into the longest phrases (of at most LONGEST bytes) that a language's reference text contains. The cross
+A text is parsed greedily into the longest phrases that a language's reference text contains. The cross
 entropy is phrases times the bits that point into the reference, divided by the text's length; the
 language with the least wins. The automata are built on the workers from reference texts of bounded
 size, as tables that also hold where the next phrase begins, so many pieces of text are parsed in step.
+A reference is made of many short passages of different texts, so a passage that is copied all over the
+corpus makes up little of it.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filtered, map_batches, starts_of
+from .shared import filtered, replaced_batches, starts_of, written
 
-REFERENCE_BYTES = 24_000  # labelled text of each language
-SAMPLE_DOCS = 60  # labelled documents of each language that the reference is taken from, about
-MAX_LANGUAGES = 400  # those with most labelled documents
-LONGEST = 12  # bytes in a phrase: a passage copied from a reference must not outweigh the rest of a text
-PIECE = 512  # bytes that are parsed in one run; a longer text has several
+PASSAGE = 160  # code points that a drawn document gives to its language's reference text, at most
+SAMPLE_DOCS = 300  # labelled documents that are drawn for each language, about
+TOGETHER_LANGUAGES = 32  # in one pass over the texts
+PIECE = 2048  # bytes that are parsed in one run; a longer text has several
 TOGETHER = 4096  # pieces parsed in step
 SHARPNESS = 6.0  # of the score
-LETTER = re.compile(r"[^\W\d_]")
+CONFIDENT = 0.5  # score from which a document counts as written in a known language
 #: Letters and all that is not ASCII stay, the rest becomes a space.
 TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,12 +72,10 @@ class Parser:
         self.langs = [lang for lang, _ in references]
         self.bits = np.array([np.log2(len(r) + 2) for _, r in references])
         used = sorted({b for _, r in references for b in r})
-        self.code = np.full(256, len(used), dtype=np.int32)  # all unseen bytes share a class that never matches
+        self.code = np.full(256, len(used), dtype=np.int64)  # all unseen bytes share a class that never matches
         self.code[used] = np.arange(len(used))
-        self.pad = len(used) + 1
-        width = self.pad + 1
-        tables, base = [], 0
-        self.roots = []
+        width = len(used) + 1
+        self.tables = []
         for _, reference in references:
             states = suffix_automaton(reference)
             dead = len(states)  # after a byte that the reference lacks: it is a phrase of its own
@@ -88,43 +86,35 @@ class Parser:
             again = np.where(own[0] >= 0, own[0], dead) * 2 * width + 1
             own[0] = np.where(own[0] >= 0, own[0], dead)
             own = np.where(own >= 0, own * 2 * width, again)
-            own[:, self.pad] = np.arange(dead + 1) * 2 * width
-            tables.append((own + 2 * base * width).astype(np.int32))
-            self.roots.append(2 * base * width)
-            base += dead + 1
-        self.table = np.concatenate(tables).reshape(-1)
+            if own.max() >= 1 << 31:
+                raise ValueError("a reference text is too long for 32-bit states")
+            self.tables.append(own.astype(np.int32).reshape(-1))
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """For each text and language, the phrases; every piece of a text begins a new one."""
         n = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = np.append(self.code[np.frombuffer(b"".join(texts), dtype=np.uint8)], self.pad).astype(np.int32)
+        flat = self.code[np.frombuffer(b"".join(texts), dtype=np.uint8)].astype(np.int32)
         pieces = -(-n // PIECE)
         own = np.repeat(np.arange(len(texts)), pieces)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = starts_of(n)[:-1][own] + within * PIECE
-        end = np.minimum(begin + PIECE, starts_of(n)[1:][own])
+        size = np.minimum(begin + PIECE, starts_of(n)[1:][own]) - begin
+        by = np.argsort(-size, kind="stable")
+        own, begin, size = own[by], begin[by], size[by]
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        by = np.argsort(end - begin, kind="stable")
         for a in range(0, len(by), TOGETHER):
-            part = by[a : a + TOGETHER]
-            steps = int((end - begin)[part].max())
-            at = begin[part][:, None] + np.arange(steps)
-            codes = np.ascontiguousarray(flat[np.where(at < end[part][:, None], at, len(flat) - 1)].T)
-            real = (codes != self.pad).astype(np.int32)
-            for k, root in enumerate(self.roots):
-                state = np.full(len(part), root, dtype=np.int32)
-                run = np.zeros(len(part), dtype=np.int32)
-                begun = np.zeros(len(part), dtype=np.int32)
-                for row, one in zip(codes, real):
-                    full = run == LONGEST
-                    state[full] = root
-                    step = self.table.take((state >> 1) + row)
-                    flag = step & 1
-                    state = step - flag
-                    run *= 1 - (flag | full)
-                    begun += (run == 0) & (one == 1)
-                    run += one
-                np.add.at(out[:, k], own[part], begun)
+            at, long = begin[a : a + TOGETHER], size[a : a + TOGETHER]
+            live = np.searchsorted(-long, -np.arange(int(long[0])), "left").tolist()  # pieces that reach a step
+            begun = np.ones((len(self.langs), len(at)), dtype=np.int32)
+            state = np.zeros((len(self.langs), len(at)), dtype=np.int32)
+            for step, k in enumerate(live):
+                row = flat[at[:k] + step]
+                for table, s, count in zip(self.tables, state, begun):
+                    to = table.take((s[:k] >> 1) + row)
+                    flag = to & 1
+                    count[:k] += flag
+                    np.subtract(to, flag, out=s[:k])
+            np.add.at(out, own[a : a + TOGETHER], begun.T)
         return out
 
 
@@ -133,58 +123,71 @@ def parser(references: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(references)
 
 
-def learn(labelled: DataFrame, reference_bytes: int = REFERENCE_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[tuple[str, bytes], ...]:
-    """Reference texts from columns doc_id, text, lang; rows with a null among text and lang teach nothing.
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
 
-    About sample_docs whole documents of each language are drawn by a hash of id and text, and whole
-    ones are joined in hash order up to reference_bytes (the last is cut there).
+
+def learn(labelled: DataFrame, passage: int = PASSAGE, sample_docs: int = SAMPLE_DOCS) -> tuple[tuple[str, bytes], ...]:
+    """Reference texts from columns text and lang; rows with a null among them teach nothing.
+
+    Of each language about sample_docs different texts are drawn by a hash of the text, and from each of
+    them one passage at a place that the hash gives; equal texts count once.
     """
-    rows = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = labelled.select("text", "lang").dropna()
+    sizes = rows.groupBy("lang").count().collect()  # one row a language
     if not sizes:
         return ()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    code = F.xxhash64("text")
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["count"]))))
-    drawn = rows.filter(draw < F.try_element_at(share, F.col("lang"))).select("lang", "text", draw.alias("at"))
+    drawn = rows.filter(F.pmod(code, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.try_element_at(share, F.col("lang")))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - passage + 1)).cast("int") + 1
+    drawn = drawn.select("lang", code.alias("code"), F.substring(F.col("text"), place, F.lit(passage)).alias("passage")).distinct()
     held: dict[str, list[bytes]] = {}
-    full: dict[str, int] = {}
-    for row in sorted(drawn.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
-        if full.get(row["lang"], 0) < reference_bytes and len(text := normal(row["text"])) > 2:
-            held.setdefault(row["lang"], []).append(text[: reference_bytes - full.get(row["lang"], 0)])
-            full[row["lang"]] = full.get(row["lang"], 0) + len(text)
+    for row in sorted(drawn.collect(), key=lambda r: (r["lang"], r["code"], r["passage"])):
+        if len(text := normal(row["passage"])) > 2:
+            held.setdefault(row["lang"], []).append(text)
     return tuple(sorted((lang, b"".join(texts)) for lang, texts in held.items()))
 
 
-def identify(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataFrame:
+def identify(docs: DataFrame, references: tuple[tuple[str, bytes], ...], together: int = TOGETHER_LANGUAGES) -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1) and lang_entropy (bits a byte) for every whole text.
 
     A text that is null or has no letter, and every text where no language was learned, is ``und`` with
-    score 0. Equal entropies: the language that sorts first.
+    score 0. Equal entropies: the language that sorts first. Many languages take several passes, each
+    over so many of them that a worker can hold their automata. Columns of docs with these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(references)
-
-    def compute(batch: pa.RecordBatch) -> list:
-        texts = batch.column("text").to_pylist()
-        read = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if shared.value else []
-        lang, score, bits = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
-        if read:
-            own = parser(shared.value)
-            clean = [normal(texts[i]) for i in read]
-            size = np.array([len(c) for c in clean])[:, None]
-            entropy = own.phrases(clean) * own.bits / size
-            best = entropy.argmin(axis=1)
-            least = entropy[np.arange(len(read)), best]
-            score[read] = 1 / np.exp(-SHARPNESS * (entropy - least[:, None])).sum(axis=1)
-            bits[read] = least
-            for i, k in zip(read, best):
-                lang[i] = own.langs[k]
-        return [pa.array(lang, pa.string()), pa.array(score), pa.array(bits, from_pandas=True)]
-
-    return map_batches(docs, [("lang_pred", "string"), ("lang_score", "double"), ("lang_entropy", "double")], compute)
-
-
-def in_known_language(docs: DataFrame, training: Column) -> DataFrame:
-    """The documents, with their own columns, that have a language: null texts and those without letters go."""
+    fields = [("lang_pred", "string"), ("lang_entropy", "double"), ("__mass", "double")]
+    out = docs.drop(*(n for n, _ in fields), "lang_score")
+    for at in range(0, max(1, len(references)), together):
+        shared = docs.sparkSession.sparkContext.broadcast(references[at : at + together])
+
+        def compute(batch: pa.RecordBatch, shared=shared, first=at == 0) -> list:
+            texts = batch.column("text").to_pylist()
+            read = [i for i, t in enumerate(texts) if has_letter(t)] if shared.value else []
+            if first:
+                lang, bits, mass = ["und"] * len(texts), np.full(len(texts), np.nan), np.zeros(len(texts))
+            else:
+                lang = batch.column("lang_pred").to_pylist()
+                bits, mass = (np.array(batch.column(c).to_pandas(), dtype=float) for c in ("lang_entropy", "__mass"))
+            if read:
+                own = parser(shared.value)
+                clean = [normal(texts[i]) for i in read]
+                size = np.array([len(c) for c in clean])[:, None]
+                entropy = own.phrases(clean) * own.bits / size
+                mass[read] += np.exp(-SHARPNESS * entropy).sum(axis=1)
+                for i, k, least in zip(read, entropy.argmin(axis=1), entropy.min(axis=1)):
+                    if not bits[i] <= least:
+                        lang[i], bits[i] = own.langs[k], least
+            return [pa.array(lang, pa.string()), pa.array(bits, from_pandas=True), pa.array(mass)]
+
+        out = replaced_batches(written(out) if at else out, fields, compute)
+    score = F.coalesce(F.exp(-SHARPNESS * F.col("lang_entropy")) / F.nullif(F.col("__mass"), F.lit(0.0)), F.lit(0.0))
+    return out.withColumn("lang_score", score).drop("__mass")
+
+
+def in_known_language(docs: DataFrame, training: Column, least: float = CONFIDENT) -> DataFrame:
+    """The documents, with their own columns, that are likelier written in one of the learned languages than in all
+    the others together; so null texts, those without letters, and those that every language explains alike go."""
     references = learn(docs.filter(training))
-    added = ["lang_pred", "lang_score", "lang_entropy"]
-    return filtered(docs, added, lambda d: identify(d, references), F.col("lang_pred") != "und")
+    added = ["lang_pred", "lang_score", "lang_entropy", "__mass"]
+    return filtered(docs, added, lambda d: identify(d, references), (F.col("lang_pred") != "und") & (F.col("lang_score") >= least))

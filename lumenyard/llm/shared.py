@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,21 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenyard.sources.tables import shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, by a path that only Spark needs to open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lumenyard-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+__all__ = ["blobs", "checkpointed", "filtered", "fold", "map_batches", "replaced_batches", "shared_folder", "slices", "small_batches", "starts_of", "table", "written"]
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -85,13 +72,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def map_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with further columns, which compute() gives for each Arrow batch; names must be new."""
-    schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    """df with further columns, which compute() gives for each Arrow batch; columns of these names are replaced."""
+    return replaced_batches(df.drop(*(n for n, _ in fields)), fields, compute)
+
+
+def replaced_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """df with the columns that compute() gives for each Arrow batch in place of those of these names."""
+    names = [n for n, _ in fields]
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            extra = compute(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(n for n, _ in fields)])
+            own = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*own, *compute(batch)], names=[*(f.name for f in kept), *names])
 
     return df.mapInArrow(run, schema)
 

@@ -66,7 +66,7 @@ def test_phrases_are_greedy_parses():
         i = n = 0
         while i < len(t):
             j = i + 1
-            while j < len(t) and j - i < langid.LONGEST and t[i : j + 1] in ref:
+            while j < len(t) and t[i : j + 1] in ref:
                 j += 1
             n, i = n + 1, j if t[i : i + 1] in ref else i + 1
         return n
@@ -76,6 +76,28 @@ def test_phrases_are_greedy_parses():
         assert parser.phrases([t])[0].tolist() == [greedy(reference, t), greedy(b" xyz ", t)]
 
 
+def test_a_copied_passage_is_one_phrase():
+    reference = b" one passage of many words that a text copies whole and another has not "
+    parser = langid.Parser((("a", reference), ("b", reference[::-1])))
+    assert parser.phrases([reference, reference[5:40] * 2])[:, 0].tolist() == [1, 2]
+
+
+def test_languages_in_several_passes(spark, texts):
+    draw = random.Random(6)
+    references = tuple((f"l{k}", langid.normal(" ".join(draw.choice(texts.text.tolist()[k].split() or ["x"]) for _ in range(80)))) for k in range(7))
+    docs = spark.createDataFrame([(i, t, "own") for i, t in zip(texts.doc_id.tolist(), texts.text)] + [(-1, None, "own"), (-2, "\u00b2 \u2167 \u2460 12", "own")], "doc_id bigint, text string, lang_pred string")
+    one = {r["doc_id"]: r for r in langid.identify(docs, references).collect()}
+    two = {r["doc_id"]: r for r in langid.identify(docs, references, together=3).collect()}
+    assert all(one[i]["lang_pred"] == two[i]["lang_pred"] and abs(one[i]["lang_score"] - two[i]["lang_score"]) < 1e-9 for i in one)
+    assert [one[i]["lang_pred"] for i in (-1, -2)] == ["und", "und"]
+    parser = langid.Parser(references)
+    for i, t in zip(texts.doc_id.tolist(), texts.text):  # brute force
+        if langid.has_letter(t):
+            clean = langid.normal(t)
+            bits = [n * b / len(clean) for n, b in zip(parser.phrases([clean])[0], parser.bits)]
+            assert one[i]["lang_pred"] == parser.langs[int(np.argmin(bits))] and abs(one[i]["lang_entropy"] - min(bits)) < 1e-9
+
+
 def test_language_held_out_accuracy(spark):
     truth = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id").lang
     rows = [r for r in QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
