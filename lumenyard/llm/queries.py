@@ -74,7 +74,7 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +112,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = "list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _WINDOWS = "array_to_string(w[spot:spot + k - 1], ' ') AS window_text"
 
-#: Only decontamination has SQL; every other operator needs a hash, tokenizer, model or search that DuckDB lacks.
+
+
+def _url_sql() -> str:
+    """Rules, and as many unrolled steps of trust and distrust as the operator takes."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lower.format("regexp_extract(coalesce(url, ''), '^((?s:.*?))://([^/?#]*)', 2)")
+    link = urlfilter.LINK.replace("'", "''")
+    fits = {r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in sorted(urlfilter.RULES, key=lambda r: -len(r.name))}
+    case = lambda value: "CASE " + " ".join(f"WHEN {test} THEN '{value(r)}'" for r, test in fits.items()) + " END"
+    steps = []
+    for k in range(1, urlfilter.STEPS + 1):
+        steps.append(
+            f"""moving{k} AS MATERIALIZED (SELECT kind, dst AS host, mass * share * {urlfilter.DAMPING} AS got FROM mass{k - 1} JOIN steps_of USING (kind, host)),
+            mass{k} AS MATERIALIZED (SELECT kind, host, sum(got) AS mass FROM (SELECT * FROM moving{k} UNION ALL
+            SELECT kind, host, seed * (1 - coalesce(kept, 0)) FROM seeds LEFT JOIN (SELECT kind, sum(got) AS kept FROM moving{k} GROUP BY 1) USING (kind)) GROUP BY 1, 2)"""
+        )
+    return f"""
+    WITH p AS MATERIALIZED (SELECT page_id, html, {host} AS host, regexp_extract(coalesce(url, ''), '^((?s:.*?))://[^/?#]*([^?#]*)', 2) AS path FROM pages),
+    j AS MATERIALIZED (SELECT page_id, host, path, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS own FROM p),
+    hosts AS MATERIALIZED (SELECT host, count(*) FILTER (own = 'allow') AS allowed, count(*) FILTER (own = 'block') AS blocked FROM j WHERE host <> '' GROUP BY 1),
+    sums AS (SELECT coalesce(sum(allowed), 0) AS a, coalesce(sum(blocked), 0) AS b FROM hosts),
+    seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed / a AS seed FROM hosts, sums WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / b FROM hosts, sums WHERE blocked > 0),
+    links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower.format("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS dst FROM p) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+    edges AS (SELECT 'trust' AS kind, src AS host, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+    steps_of AS MATERIALIZED (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM edges),
+    mass0 AS (SELECT kind, host, seed AS mass FROM seeds),
+    {", ".join(steps)},
+    scored AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) * any_value(a) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) * any_value(b) AS distrust FROM mass{urlfilter.STEPS}, sums GROUP BY 1)
+    SELECT page_id, j.host AS host, path, rule, coalesce(own, CASE WHEN distrust / (trust + distrust) >= {urlfilter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM j LEFT JOIN scored ON scored.host = j.host"""
+
+
+#: The other operators need a hash, tokenizer, model or search that DuckDB lacks.
 ORACLES: dict[str, str] = {
+    "op6_url_filters": _url_sql(),
     "op8_benchmark_decontamination": f"""
     WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w, len(w) AS n FROM documents),
     b AS (SELECT item_id, {_WORDS} AS w, len(w) AS n, least({decontam.WINDOW}, n) AS k FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND len({_WORDS}) > 0),

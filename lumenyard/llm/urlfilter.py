@@ -7,6 +7,7 @@ no rule fits a page, its host is blocked if its share of distrust reaches a thre
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import checkpointed
 
 DAMPING = 0.85
-STEPS = 12
+LEFT = 0.01  # share of a walk that may still be under way when the steps end
+STEPS = math.ceil(math.log(LEFT) / math.log(DAMPING))
 THRESHOLD = 0.5  # share of distrust from which a host is blocked
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -66,26 +68,29 @@ def rule_for(host: Column, path: Column, rules: list[Rule] = RULES) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, n: how many absolute links the pages of one host have to another."""
+    """src, dst, n: how many absolute links the pages of one host have to another. Hosts are read as host_of() reads
+    them, with user and port."""
     found = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
-    found = found.select("src", ascii_lower(F.regexp_replace("dst", "^[^@]*@|:\\d*$", "")).alias("dst"))
+    found = found.select("src", ascii_lower(F.col("dst")).alias("dst"))
     return found.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def personalised(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """host and mass: PageRank whose walks restart at the seeds (host, seed; the seeds sum to 1).
+    """kind, host and mass: PageRank whose walks restart at their kind's seeds (kind, host, seed; a kind's seeds sum to 1).
 
-    A walk at a host without links restarts too. Links (src, dst, n) weigh by their number.
+    A walk at a host without links restarts too. Links (kind, src, dst, n) weigh by their number. After
+    the steps no more than damping ** steps of a walk is still under way.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps_of = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    mass = seeds.select("host", F.col("seed").alias("mass"))
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    steps_of = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")))
+    seeds = checkpointed(seeds.select("kind", "host", "seed"))
+    mass = seeds.select("kind", "host", F.col("seed").alias("mass"))
     for _ in range(steps if not steps_of.isEmpty() else 0):
-        moved = mass.join(steps_of, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("got"))
-        moved = checkpointed(moved)
-        kept = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
-        start = seeds.select("host", (F.col("seed") * (1 - kept)).alias("got"))
-        mass = checkpointed(moved.unionByName(start).groupBy("host").agg(F.sum("got").alias("mass")))
+        # what a walk does not carry over a link restarts: one number for each kind
+        moving = mass.join(steps_of, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("got"))
+        kept = moving.groupBy("kind").agg(F.sum("got").alias("kept"))
+        start = seeds.join(kept, "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("got"))
+        mass = checkpointed(moving.unionByName(start).groupBy("kind", "host").agg(F.sum("got").alias("mass")))
     return mass
 
 
@@ -100,13 +105,15 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, threshold: float = THRESH
     tally = lambda v: F.count_if(F.col("found.verdict") == v)
     hosts = checkpointed(rows.filter("host <> ''").groupBy("host").agg(tally("allow").alias("allowed"), tally("block").alias("blocked")))
     sums = hosts.agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("a"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
-    edges = checkpointed(host_links(rows))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = personalised(edges, hosts.filter("allowed > 0").select("host", (F.col("allowed") / max(1, sums["a"])).alias("seed")))
-    distrust = personalised(back, hosts.filter("blocked > 0").select("host", (F.col("blocked") / max(1, sums["b"])).alias("seed")))
+    # trust runs along the links, distrust against them
+    links = host_links(rows)
+    edges = checkpointed(links.withColumn("kind", F.lit("trust")).unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("kind"))))
+    trusted = hosts.filter("allowed > 0").select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / max(1, sums["a"])).alias("seed"))
+    blocked = hosts.filter("blocked > 0").select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / max(1, sums["b"])).alias("seed"))
+    mass = personalised(edges, trusted.unionByName(blocked))
     # both are weighed by how many pages their seeds were, so a page counts the same on either side
-    scored = trust.select("host", (F.col("mass") * sums["a"]).alias("trust")).join(distrust.select("host", (F.col("mass") * sums["b"]).alias("distrust")), "host", "full")
-    scored = scored.na.fill(0.0, ["trust", "distrust"])
+    of = lambda kind, pages: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))) * pages, F.lit(0.0)).alias(kind)
+    scored = mass.groupBy("host").agg(of("trust", sums["a"]), of("distrust", sums["b"]))
     suspect = F.coalesce(F.col("distrust") / (F.col("trust") + F.col("distrust")) >= threshold, F.lit(False))
     own = F.coalesce(F.col("found.verdict"), F.when(suspect, F.lit("block")).otherwise(F.lit("allow")))
     return rows.drop("html", "url").join(scored, "host", "left").select("page_id", "host", "path", F.col("found.name").alias("rule"), own.alias("verdict"), "trust", "distrust")

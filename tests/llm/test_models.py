@@ -135,8 +135,9 @@ def test_shard_query_keeps_its_law(spark, texts):
 
 
 def test_personalised_pagerank(spark):
-    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "d", 1)], "src string, dst string, n bigint")
-    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    links = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "d", 1)]
+    edges = spark.createDataFrame([("t", *x) for x in links] + [("other", "d", "a", 5)], "kind string, src string, dst string, n bigint")
+    seeds = spark.createDataFrame([("t", "a", 1.0), ("other", "b", 1.0)], "kind string, host string, seed double")
     step = np.zeros((4, 4))
     step[0, 1] = step[2, 3] = 1
     step[1, 2], step[1, 0] = 2 / 3, 1 / 3
@@ -144,8 +145,27 @@ def test_personalised_pagerank(spark):
     for _ in range(urlfilter.STEPS):
         moved = 0.85 * mass @ step
         mass = moved + (1 - moved.sum()) * start
-    found = {r["host"]: r["mass"] for r in urlfilter.personalised(edges, seeds).collect()}
-    assert np.allclose([found[h] for h in "abcd"], mass)
+    found = {(r["kind"], r["host"]): r["mass"] for r in urlfilter.personalised(edges, seeds).collect()}
+    assert np.allclose([found["t", h] for h in "abcd"], mass) and 0.85**urlfilter.STEPS <= urlfilter.LEFT
+    assert found["other", "b"] == 1 and len(found) == 5  # a walk that finds no link stays at its seeds
+
+
+def test_links_between_hosts_with_a_port_meet(spark):
+    pages = [(1, "http://Bad.com:8080/en/1", ""), (2, "http://u@odd.io:81/", '<a href="https://bad.COM:8080/en/1">x</a>'), (3, "http://third.io", "<a href='//u@odd.io:81'>y</a>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {(r["src"], r["dst"]) for r in urlfilter.host_links(df).collect()} == {("u@odd.io:81", "bad.com:8080"), ("third.io", "u@odd.io:81")}
+
+
+def test_url_query_matches_its_sql(spark):
+    import duckdb
+    from lumenyard.llm.queries import ORACLES
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    rel = c.execute(ORACLES["op6_url_filters"])
+    names = [d[0] for d in rel.description]
+    expected = sorted(map(str, ({n: r[names.index(n)] for n in sorted(names)} for r in rel.fetchall())))
+    assert sorted(str({n: r[n] for n in sorted(names)}) for r in QUERIES["op6_url_filters"](spark, SF).collect()) == expected
 
 
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
