@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     one; on a cluster that is an error, since every machine would have its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lumenyard-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
