@@ -42,19 +42,64 @@ def test_license_base_phrases(spark, texts):
     "text, labels",
     [
         ("Licensed under the Apache License, Version 2.0.", {"apache", "apache-2.0"}),
-        ("under the terms of the GNU Lesser General Public License version 2.1", {"gpl", "lgpl-2.1"}),
+        ("under the terms of the GNU Lesser General Public License version 2.1", {"gpl", "lgpl", "lgpl-2.1"}),
         ("SPDX-License-Identifier: MIT", {"mit"}),
         ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}),
         ("released into the public domain", {"public-domain"}),
         ("MIT License", {"mit"}),
         ("general public license " * 300, {"gpl"}),
+        ("distributed under the terms of the GNU Lesser General Public License", {"gpl", "lgpl"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", {"mit"}),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+        ("It is public-\ndomain text, released into the public\n domain.", {"public-domain"}),
+        ("under the GPL license; licensed under the LGPL; AGPLv3", {"gpl", "lgpl", "agpl-3.0"}),
+        ("you may not use this file except in compliance with the License", {"apache-2.0"}),
+        ("either version 3 of the License, or (at your option) any later version", {"gpl-3.0-or-later"}),
+        ("Creative Commons Attribution-ShareAlike 4.0", {"cc-by-sa"}),
         ("no such words", set()),
     ],
 )
 def test_license_suppression(spark, text, labels):
     row = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
     assert {d["label"] for d in row["licenses"]} == labels
-    assert len(licenses.rules()) > 200
+    assert len(licenses.SIGNATURES) > 150 and len(licenses.rules()) > 400
+
+
+def brute_scan(text):
+    """Every rule at every anchor word over the whole text, and suppression among all detections."""
+    w = words(text)
+    found, base = [], []
+    for at, word in enumerate(w):
+        for label, ahead in licenses.BASE:
+            if word == "license" and w[max(0, at - len(ahead)) : at] == ahead:
+                base.append((label, at - len(ahead), at + 1))
+        context = "".join(f" {'@' if i == at else ''}{x}" for i, x in enumerate(w)) + " "
+        for r in licenses.rules():
+            if word.startswith(r.anchor) and (m := re.search(r.pattern, context)):
+                start = context[: m.start()].count(" ")
+                found.append((r.label, start, start + len(m[0].split()), r.priority))
+    over = lambda e, d: e[1] <= d[1] and e[2] >= d[2] and (e[3] > d[3] or (e[3] == d[3] and e[2] - e[1] > d[2] - d[1]))
+    return base, [d[:3] for d in found if not any(over(e, d) for e in found)]
+
+
+def test_license_scan_against_brute_force(spark, texts):
+    draw = random.Random(8)
+    pieces = [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "GNU Lesser General Public License version 2.1, GPLv3 or LGPL 3.0; all rights reserved, Copyright (c) 2019 by Some One",
+        "SPDX-License-Identifier: BSD-3-Clause MIT License the MIT license public domain Creative Commons Attribution-NonCommercial 4.0",
+        "without warranty of any kind, express or implied; in no event shall the authors be liable",
+        "license license licensed copyright gpl agpl commons domain permission",
+    ]
+    own = [" ".join(draw.choice([*pieces, "some plain words", "und auch"]) for _ in range(draw.randint(1, 12))) for _ in range(40)]
+    own += [t for t in texts.text if re.search("(?i)licen", t)][:20]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id int, text string").repartition(4)
+    for r in licenses.scan(df).collect():
+        base, rest = brute_scan(own[r["doc_id"]])
+        got = [(d["label"], d["start"], d["end"], d["base"]) for d in r["licenses"]]
+        assert sorted(x[:3] for x in got if x[3]) == sorted(base)
+        assert sorted(x[:3] for x in got if not x[3]) == sorted(rest), own[r["doc_id"]]
 
 
 def test_phrases_are_greedy_parses():
