@@ -3,7 +3,8 @@
 Each Arrow batch of documents is a shard with a suffix array of its own. All suffixes of the benchmark
 texts are looked up in it at once by binary search on one word after another; where a whole window is
 found, its places are read off the array, and windows in step with each other merge into the longest
-verbatim matches. Benchmark texts come in blocks of bounded size, so neither grows a broadcast.
+verbatim matches. Benchmark texts come in blocks of bounded size, one for each pass over the documents, so
+no more than one of them is ever held.
 
 Words that no benchmark text has cannot be part of a match. They break the shard's text up, and the
 pieces too short to hold a window are left out of the array.
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, filtered, starts_of
+from .shared import blobs, filtered, replaced_batches, starts_of, written
 
 WINDOW = 13  # words
 SHARE = 20  # contaminated: one word in so many is hit
-BLOCK_BYTES = 8 << 20  # benchmark text in one broadcast block
+BLOCK_BYTES = 8 << 20  # benchmark text in one block, about
 SHARD_WORDS = 2_000_000  # words in one suffix array; a longer document has one alone
+SHARD_ROWS = 10_000  # documents in one, at most
 #: A-Z to lower case; all of ASCII but digits and letters to a space.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = "array<struct<item_id:string,item_pos:bigint,doc_pos:bigint,length:bigint>>"
@@ -171,56 +173,54 @@ def _shards(docs: list[list[bytes]], most: int) -> Iterator[tuple[int, int]]:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items as lists of bounded size, read from the table one after another; null ids and texts are left out."""
+    """The items as lists of about so many bytes, dealt by a hash; each is read when it is asked for. Null ids and
+    texts are left out."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).dropna()
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        if block and size + len(row.text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, bytes(row.text)))
-        size += len(row.text)
-    if block:
-        yield block
+    n = -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes)
+    for k in range(n):
+        own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        found = own.toArrow()
+        yield list(zip(found["item_id"].to_pylist(), found["text"].to_pylist()))
+
+
+def _matched(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, shard_words: int, first: bool) -> DataFrame:
+    """docs with bench_words, and bench_matches lengthened by those of one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("length", pa.int64())]))
+    held: dict[str, Block | None] = {}
+
+    def compute(batch: pa.RecordBatch) -> list:
+        if "block" not in held:  # once in a task
+            held["block"] = block_of(shared.value, window)
+        block = held["block"]
+        words = [words_of(b) for b in blobs(batch)]
+        matches: list[list[dict]] = [[] for _ in words] if first else batch.column("bench_matches").to_pylist()
+        for a, z in _shards(words, shard_words) if block else ():
+            for d, i, p, at, n in zip(*(x.tolist() for x in matches_in(words[a:z], block))):
+                matches[a + d].append({"item_id": block.items[i], "item_pos": p, "doc_pos": at, "length": n})
+        return [pa.array([len(w) for w in words], pa.int64()), pa.array(matches, kind)]
+
+    return replaced_batches(docs, [("bench_words", "bigint"), ("bench_matches", MATCH)], compute, rows=SHARD_ROWS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with bench_words, bench_hit (words inside a window that a benchmark text has) and bench_matches.
 
     bench_matches lists the longest verbatim matches with their places in item and document. A null or
-    empty text has no words and no match; an empty benchmark hits nothing. Texts are judged whole.
+    empty text has no words and no match; an empty benchmark hits nothing. Texts are judged whole. Columns
+    of docs with these names are replaced.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(rows) for rows in benchmark_blocks(benchmark, block_bytes)]
-    fields = [("bench_words", "bigint"), ("bench_hit", "bigint"), ("bench_matches", MATCH)]
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("length", pa.int64())]))
-    schema = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(n) for n, t in fields)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[Block] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if len(shared) == 1 and ready is None:
-                ready = [b for b in [block_of(shared[0].value, window)] if b]
-            words = [words_of(b) for b in blobs(batch)]
-            hit = np.zeros(batch.num_rows, dtype=np.int64)
-            matches: list[list[dict]] = [[] for _ in words]
-            spans: list[list[tuple[int, int]]] = [[] for _ in words]
-            for block in ready if ready is not None else (b for s in shared if (b := block_of(s.value, window))):
-                for a, z in _shards(words, shard_words):
-                    for d, i, p, at, n in zip(*(x.tolist() for x in matches_in(words[a:z], block))):
-                        matches[a + d].append({"item_id": block.items[i], "item_pos": p, "doc_pos": at, "length": n})
-                        spans[a + d].append((at, at + n))
-            for d, s in enumerate(spans):
-                end = 0
-                for x, y in sorted(s):
-                    hit[d] += max(0, y - max(x, end))
-                    end = max(end, y)
-            extra = [pa.array([len(w) for w in words], pa.int64()), pa.array(hit), pa.array(matches, kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(n for n, _ in fields)])
-
-    return docs.mapInArrow(run, schema)
+    out, first = docs.drop("bench_hit", "bench_words", "bench_matches"), True
+    for rows in benchmark_blocks(benchmark, block_bytes):
+        out, first = _matched(out if first else written(out), rows, window, shard_words, first), False
+    if first:
+        out = _matched(out, [], window, shard_words, True)
+    # spans in order of their places; each adds what lies behind the end of those before it
+    span = lambda m: F.struct(m["doc_pos"].alias("at"), (m["doc_pos"] + m["length"]).alias("to"))
+    none = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("end"))
+    step = lambda s, x: F.struct((s["hit"] + F.greatest(F.lit(0).cast("bigint"), x["to"] - F.greatest(x["at"], s["end"]))).alias("hit"), F.greatest(s["end"], x["to"]).alias("end"))
+    hit = F.aggregate(F.array_sort(F.transform("bench_matches", span)), none, step, lambda s: s["hit"])
+    return out.withColumn("bench_hit", hit)
 
 
 def is_contaminated(share: int = SHARE):

@@ -76,14 +76,14 @@ def map_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[
     return replaced_batches(df.drop(*(n for n, _ in fields)), fields, compute)
 
 
-def replaced_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with the columns that compute() gives for each Arrow batch in place of those of these names."""
+def replaced_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list], rows: int = 1000) -> DataFrame:
+    """df with the columns that compute() gives for batches of so many rows in place of those of these names."""
     names = [n for n, _ in fields]
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows):
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, *compute(batch)], names=[*(f.name for f in kept), *names])
 
