@@ -25,6 +25,7 @@ SHINGLE = 3  # words
 GROUP = 1000  # fingerprints in one search group
 LEVELS = 4  # cuts at most; a part then leaves 12 bits open, so 4096 fingerprints
 FANOUT = 8  # children of an index node
+HOT = 1000  # fingerprints whose rows are not shuffled
 FRONTIER = 1_000_000  # pairs of query and node held at once
 ALL = (1 << 64) - 1
 
@@ -215,10 +216,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(prints: DataFrame, first: Column, group: int) -> DataFrame:
-    """Each fingerprint once, with the least first of its rows and the label of its component, a fingerprint too."""
-    codes = checkpointed(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    """Each fingerprint once, with the number and the least first of its rows and the label of its component, a fingerprint too."""
+    codes = checkpointed(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))
     labels = components(link_forest(codes, group))
-    return codes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    return codes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> DataFrame:
@@ -230,9 +231,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> Da
     prints = written(fingerprints(docs, k))
     joined = _labelled(prints, F.col("doc_id"), group)
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "label").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    named = checkpointed(joined.join(least, "label").select("fp", "n", "component_id"))
+    # fingerprints of most rows, HOT of them, do not go through the shuffle
+    hot = F.broadcast(named.orderBy(F.desc("n"), "fp").limit(HOT).select("fp", "component_id"))
+    rare = prints.join(hot.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
+    found = prints.join(hot, "fp").unionByName(rare)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> DataFrame:
