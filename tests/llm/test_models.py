@@ -257,10 +257,37 @@ def test_lm_scores(spark, texts, monkeypatch):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, 1 + sum(counts[x] > 0 for x in w), n)
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0) and r["score"] < 0
-    held = [r for r in rows.values() if r["held_out"]]
+
+
+def test_model_beats_the_word_counts_held_out(spark):
+    held = [r for r in QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_every_text_trains_in_every_round():
+    draw = np.random.default_rng(3)
+    texts = [np.zeros(n, np.uint16) for n in (0, 1, 16, 17, 500, 16 * 640, 0, 3000)]
+    m = [-(-len(t) // attention.STRIDE) for t in texts]
+    first = np.cumsum(m) - m
+    for _ in range(20):
+        got = attention.share_of(texts, draw.integers(0, 1 << 32, len(texts)), 32)
+        own = np.searchsorted(first, got, "right") - 1
+        assert len(set(got)) == len(got) and all(np.diff(got) > 0)
+        per = np.bincount(own, minlength=len(texts))
+        assert all(p == 0 if not k else k // 32 <= p <= -(-k // 32) or p == 1 for p, k in zip(per, m)) and per[5] == 20
+
+
+def test_window_scores_match_a_plain_forward_pass():
+    """score_windows against the loss of the separate forward pass that training differentiates, text by text."""
+    params, vocabulary, draw = small_model(3)
+    for n in (1, 15, 16, 40, 200):
+        text = draw.integers(0, vocabulary.size, n)
+        inputs, goal, _ = attention.windows([text], vocabulary)
+        loss, _ = attention.gradients(params, vocabulary, inputs, goal)
+        rest = vocabulary.rest[text].sum()  # constant in training, so not a part of its loss
+        assert abs(attention.score_windows(params, vocabulary, inputs, goal).sum() - (rest - loss * n)) < 1e-3 * n
+
+
 def test_pipeline_stages_filter_as_their_operators_judge(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
