@@ -265,8 +265,8 @@ def test_model_beats_the_word_counts_held_out(spark):
 
 
 def test_every_text_trains_in_every_round():
-    draw = np.random.default_rng(3)
-    texts = [np.zeros(n, np.uint16) for n in (0, 1, 16, 17, 500, 16 * 640, 0, 3000)]
+    _, vocabulary, draw = small_model(3)
+    texts = [draw.integers(0, vocabulary.size, n) for n in (0, 1, 16, 17, 500, 16 * 640, 0, 3000)]
     m = [-(-len(t) // attention.STRIDE) for t in texts]
     first = np.cumsum(m) - m
     for _ in range(20):
@@ -274,6 +274,8 @@ def test_every_text_trains_in_every_round():
         own = np.searchsorted(first, got, "right") - 1
         assert len(set(got)) == len(got) and all(np.diff(got) > 0)
         per = np.bincount(own, minlength=len(texts))
+        some, every = attention.windows(texts, vocabulary, got), attention.windows(texts, vocabulary)
+        assert all((x == y[got]).all() for x, y in zip(some, every))
         assert all(p == 0 if not k else k // 32 <= p <= -(-k // 32) or p == 1 for p, k in zip(per, m)) and per[5] == 20
 
 
