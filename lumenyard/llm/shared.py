@@ -53,7 +53,7 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it holds, jobs hand Python tasks batches of fewer rows, so executors keep less outside their heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
