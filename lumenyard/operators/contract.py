@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 from lumenyard.functions.numbers import loose_number, money
 from lumenyard.functions.text import character_shape
+from lumenyard.operators import stats
 from lumenyard.operators.stats import MAD_SCALE, sample_confidence
+from lumenyard.sources.tables import shared_folder
 
 ENUM_LIMIT = 12
+PRESENCE, NULL_RATE = 0.98, 0.02  # of a required field
 
 # How grave a failed check is.
 SEVERITY = {
@@ -92,30 +95,35 @@ def long_form(rows: DataFrame, paths: list[str] | None = None, keys: list[str] |
 
 
 def profile(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """One row for each field: n, present, null_rate, distinct, and numeric centre, spread, quantiles and extremes.
+    """One row for each field: n, present, null_rate, distinct, types, text lengths, and numeric centre, spread,
+    quantiles and extremes.
 
-    Numbers written in text count as numbers. Median and deviation need two passes over the long form.
+    Numbers written in text count as numbers. rows are read once, into how often each field has each value;
+    all else comes from these counts.
     """
-    cells = long_form(rows, paths)
+    shared_folder(rows.sparkSession)
+    cells = long_form(rows, paths).groupBy("path", "kind", "text", "number").agg(F.count("*").alias("c"))
     number = F.coalesce("number", loose_number(F.when(F.col("kind") == "string", F.col("text"))))
-    cells = cells.withColumn("x", number)
+    cells = cells.withColumn("x", number).checkpoint()
+    there = F.col("text").isNotNull()
+    size = F.when(F.col("kind") == "string", F.length("text"))
     first = cells.groupBy("path").agg(
         F.first("kind").alias("kind"),
-        F.count("*").alias("n"),
-        F.count("text").alias("present"),
-        F.count_distinct("text").alias("distinct"),
-        F.count("x").alias("numbers"),
-        F.median("x").alias("med"),
-        F.percentile("x", 0.05).alias("p05"),
-        F.percentile("x", 0.95).alias("p95"),
+        F.sum("c").alias("n"),
+        F.coalesce(F.sum(F.when(there, F.col("c"))), F.lit(0)).alias("present"),
+        F.coalesce(F.sum(F.when(there & (F.col("text") == ""), F.col("c"))), F.lit(0)).alias("blank"),
+        F.count("text").alias("distinct"),
+        F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("c"))), F.lit(0)).alias("numbers"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
+        F.min(size).alias("shortest"),
+        F.max(size).alias("longest"),
     )
-    spread = cells.join(first.select("path", "med"), "path").groupBy("path").agg((F.median(F.abs(F.col("x") - F.col("med"))) * MAD_SCALE).alias("mad"))
-    out = first.join(spread, "path").withColumn("null_rate", 1 - F.col("present") / F.col("n"))
-    for c in ("med", "mad", "p05", "p95", "low", "high"):
-        out = out.withColumn(c, F.when(F.col("numbers") >= 2, F.col(c)))
-    return out
+    counts = cells.filter("x is not null").groupBy("path", "x").agg(F.sum("c").alias("c"))
+    middle = stats.quantiles(counts, ["path"], {"med": 0.5, "p05": 0.05, "p95": 0.95})
+    spread = stats.deviations(counts, ["path"], middle)
+    out = first.join(middle.drop("n"), "path", "left").join(spread, "path", "left").withColumn("null_rate", 1 - F.col("present") / F.col("n"))
+    return out.withColumns({c: F.when(F.col("numbers") >= 2, F.col(c)) for c in ("med", "mad", "p05", "p95", "low", "high")})
 
 
 def vocabularies(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
@@ -129,11 +137,16 @@ def vocabularies(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
 
 
 def learn(rows: DataFrame, run: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """A contract: its header (runs, confidence, row counts) and its field profiles with required marked."""
+    """A contract: its header (runs, confidence, row counts) and its field profiles with required marked.
+
+    A field is required where nearly every row has it, and with something in it.
+    """
     sizes = rows.groupBy(run).agg(F.count("*").alias("c"))
-    header = sizes.agg(F.count("*").alias("runs"), F.median("c").alias("rows_med"), F.min("c").alias("rows_min")).withColumn("confidence", sample_confidence(F.col("runs")))
+    middle = stats.quantiles(stats.counted(sizes, [], F.col("c")), [], {"rows_med": 0.5}).drop("n")  # one row
+    header = sizes.agg(F.count("*").alias("runs"), F.min("c").alias("rows_min")).join(middle).withColumn("confidence", sample_confidence(F.col("runs")))
     fields = profile(rows.drop(run), paths)
-    return header, fields.withColumn("required", (F.col("n") > 0) & (F.col("null_rate") <= 0.02))
+    filled = (F.col("present") - F.col("blank")) / F.col("n")
+    return header.select("runs", "rows_med", "rows_min", "confidence"), fields.withColumn("required", (F.col("n") > 0) & (F.col("null_rate") <= NULL_RATE) & (filled >= PRESENCE))
 
 
 def _number_at(rows: DataFrame, path: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def html_links(pages: DataFrame) -> DataFrame:
 
 
 def harvest(pages: DataFrame, limit: int = 200) -> DataFrame:
-    """page_id, url, priority: links of a markdown page that are worth reading, each once, the first limit of a page."""
+    """page_id, url, text, pos: the promising links of a markdown page, each once and in its order, the first limit of them."""
     pattern = "(?<!!)\\[([^\\]]*)\\]\\(([^)\\s]+)[^)]*\\)"
     links = F.transform(F.regexp_extract_all("markdown", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("text"), resolve(F.regexp_extract(m, pattern, 2), F.col("url")).alias("to")))
 
@@ -51,11 +53,14 @@ def harvest(pages: DataFrame, limit: int = 200) -> DataFrame:
         to = x["to"]
         return to.isNotNull() & host(to).isNotNull() & ~F.rlike(host(to), F.lit(NEVER_HOSTS)) & ~F.rlike(to, F.lit(NEVER_PATHS)) & ~F.rlike(to, F.lit(NEVER_FILES)) & (to != F.col("url"))
 
-    kept = F.slice(F.filter(links, worth), 1, limit)
-    rows = pages.select("page_id", F.posexplode(kept).alias("pos", "x"))
-    first = rows.groupBy("page_id", F.col("x.to").alias("url")).agg(F.min_by("x.text", "pos").alias("text"), F.min("pos").alias("pos"))
-    priority = F.when(F.rlike("text", F.lit(PROMISING)) | F.rlike("url", F.lit(PROMISING)), 1).otherwise(0)
-    return first.select("page_id", "url", "pos", priority.alias("priority"))
+    def once(xs: Column) -> Column:
+        to = F.transform(xs, lambda x: x["to"])
+        first = F.filter(F.transform(xs, lambda x, i: F.struct(x["text"].alias("text"), x["to"].alias("to"), (F.array_position(to, x["to"]) == i + 1).alias("new"))), lambda x: x["new"])
+        return F.slice(first, 1, limit)
+
+    promising = lambda x: F.rlike(x["text"], F.lit(PROMISING)) | F.rlike(x["to"], F.lit(PROMISING))
+    kept = let(F.filter(links, lambda x: worth(x) & promising(x)), once)
+    return pages.select("page_id", F.posexplode(kept).alias("pos", "x")).select("page_id", F.col("x.to").alias("url"), F.col("x.text").alias("text"), "pos")
 
 
 @dataclass(frozen=True)
@@ -96,16 +101,16 @@ def extract(markdown: Column, url: Column, spec: Field) -> Column:
     outs = [comparison_key(F.lit(x)) for x in spec.exclude]
 
     def named(key: Column) -> Column:
-        hit, no = F.lit(False), F.lit(False)
-        for x in keys:
-            hit = hit | F.contains(key, x)
-        for x in outs:
-            no = no | F.contains(key, x)
-        return hit & ~no
-
-    names = "|".join([*(x.replace(" ", "[ _]?") for x in spec.labels), spec.path.split(".")[-1]])
+        """Whether a line's key names the field; a label without Latin letters or digits has no key and names nothing."""
+        within = lambda xs: reduce(Column.__or__, (F.contains(key, x) & (x != "") for x in xs), F.lit(False))
+        return within(keys) & ~within(outs)
+
+    names = "|".join([*("[ _]?".join(map(re.escape, x.split(" "))) for x in spec.labels), re.escape(spec.path.split(".")[-1])])
     fact = f"(?i)\"(?:{names})\"\\s*:\\s*\"?([^\",}}\\]]+)"
-    json_ld = _fits(F.nullif(F.trim(F.regexp_extract(markdown, fact, 1)), F.lit("")), spec)
+    # only what stands in a JSON object counts as a fact
+    blocks = F.filter(F.regexp_extract_all(markdown, F.lit("(?s)\\{.*?\\}"), F.lit(0)), lambda b: F.try_parse_json(b).isNotNull())
+    facts = F.array_join(blocks, "\n")
+    json_ld = F.when(F.contains(markdown, F.lit("{")), _fits(F.nullif(F.trim(F.regexp_extract(facts, fact, 1)), F.lit("")), spec))
 
     link = "\\[([^\\]]*)\\]\\(([^)\\s]+)[^)]*\\)"
 
@@ -216,12 +221,15 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
     own = own.join(best, ["origin", "rank", "grp"]).select("origin", "verb", "pattern")
     body = F.regexp_replace(F.regexp_replace("pattern", "\\$$", ""), "([.+?^${}()|\\[\\]\\\\])", "\\\\$1")
     regex = F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.endswith("pattern", F.lit("$")), "$").otherwise(""))
+    rule = F.when(F.col("pattern").isNotNull(), F.struct((F.col("verb") == "allow").alias("allow"), F.length("pattern").alias("length"), regex.alias("regex")))
+    # a robots file's rules are one row of its origin: urls are joined with that and never multiply
+    held = own.groupBy("origin").agg(F.array_distinct(F.collect_list(rule)).alias("rules"))
     asked = urls.select("url", F.regexp_extract("url", "^((?i:https?)://[^/?#]+)", 1).alias("origin"), F.regexp_extract("url", "^(?i:https?)://[^/?#]+([^#]*)", 1).alias("path"))
     asked = asked.withColumn("path", F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
-    fit = F.when(F.col("pattern").isNotNull() & F.rlike("path", regex), F.length("pattern"))
-    longest = lambda v: F.max(F.when(F.col("verb") == v, fit))
-    found = asked.join(own, "origin", "left").groupBy("url").agg(longest("disallow").alias("no"), longest("allow").alias("yes"), F.count("verb").alias("n"))
-    reason = F.when(F.col("n") == 0, "no_rules").when(F.col("no").isNull(), "not_disallowed").when(F.col("yes") >= F.col("no"), "explicitly_allowed").otherwise("disallowed")
+    found = asked.join(held, "origin", "left")
+    longest = lambda allow: F.array_max(F.transform(F.filter("rules", lambda r: (r["allow"] == allow) & F.rlike(F.col("path"), r["regex"])), lambda r: r["length"]))
+    found = found.withColumns({"yes": longest(True), "no": longest(False), "n": F.coalesce(F.size("rules"), F.lit(0))})
+    reason = F.when(F.col("n") <= 0, "no_rules").when(F.col("no").isNull(), "not_disallowed").when(F.col("yes") >= F.col("no"), "explicitly_allowed").otherwise("disallowed")
     return found.select("url", (reason != "disallowed").alias("allowed"), reason.alias("reason"))
 
 

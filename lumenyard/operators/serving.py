@@ -24,12 +24,20 @@ def feed(snapshots: DataFrame, incidents: DataFrame, now: Column, max_age_hours:
 
     snapshots: collector_id, url, data, verified_at, confirmed_by. incidents: incident_id, collector_id,
     url (null: any), verdict, confidence, created_at, resolved_at, quarantined. The newest open incident
-    about the url withholds fresh data: the last good value is served as stale.
+    about the url withholds fresh data: the last good value is served as stale; without one (data or
+    verified_at null) the value is unavailable. Of each collector and url, and of each collector, only the
+    newest incident is joined, so rows never multiply.
     """
-    open_ = incidents.filter("quarantined and resolved_at is null").select("incident_id", "collector_id", F.col("url").alias("about"), "verdict", F.col("confidence").alias("sure"), "created_at")
-    found = snapshots.join(open_, (snapshots["collector_id"] == open_["collector_id"]) & (open_["about"].isNull() | (open_["about"] == snapshots["url"])), "left").drop(open_["collector_id"])
-    newest = Window.partitionBy("collector_id", "url").orderBy(F.desc_nulls_last("created_at"), F.desc("incident_id"))
-    found = found.withColumn("place", F.row_number().over(newest)).filter("place = 1")
+    open_ = incidents.filter("quarantined and resolved_at is null")
+    place = F.struct(F.col("created_at").isNotNull().alias("dated"), "created_at", "incident_id")
+    newest = lambda name: F.max_by(F.struct("incident_id", "verdict", F.col("confidence").alias("sure"), place.alias("place")), place).alias(name)
+    own = open_.filter("url is not null").groupBy("collector_id", "url").agg(newest("own"))
+    whole = open_.filter("url is null").groupBy("collector_id").agg(newest("whole"))
+    found = snapshots.join(own, ["collector_id", "url"], "left").join(whole, "collector_id", "left")
+    later = F.col("own").isNull() | (F.col("whole.place") > F.col("own.place"))
+    found = found.withColumn("incident", F.when(F.col("whole").isNotNull() & later, F.col("whole")).otherwise(F.col("own")))
+    found = found.select("*", "incident.incident_id", "incident.verdict", "incident.sure")
+    none = F.col("data").isNull() | F.col("verified_at").isNull()
     old = F.unix_millis(now) - F.unix_millis(F.to_timestamp("verified_at")) > max_age_hours * 3_600_000
     fresh = F.when(F.col("confirmed_by") == "two_sensors", FRESH["two_sensors"]).otherwise(FRESH["contract_only"])
     held = F.col("incident_id").isNotNull()
@@ -44,11 +52,11 @@ def feed(snapshots: DataFrame, incidents: DataFrame, now: Column, max_age_hours:
         "collector_id",
         "url",
         "data",
-        F.when(held, "quarantined").when(old, "stale").otherwise("verified").alias("status"),
-        F.when(held, F.greatest(F.lit(0.0), 1 - F.col("sure"))).when(old, fresh / 2).otherwise(fresh).alias("confidence"),
-        (held | old).alias("stale"),
+        F.when(none, "unavailable").when(held, "quarantined").when(old, "stale").otherwise("verified").alias("status"),
+        F.when(none, 0.0).when(held, F.greatest(F.lit(0.0), 1 - F.col("sure"))).when(old, fresh / 2).otherwise(fresh).alias("confidence"),
+        (none | held | old).alias("stale"),
         "incident_id",
-        F.when(held, reason).when(old, "last confirmed too long ago").alias("reason"),
+        F.when(held, reason).when(none, "nothing was ever confirmed").when(old, "last confirmed too long ago").alias("reason"),
     )
 
 
@@ -92,13 +100,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return latest(rows, keys, F.col(order), F.col("__new")).drop("__new")
 
 
+SEEN = ["first_seen", "last_seen", "times_seen"]
+
+
+def merge_indexes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Two indexes (first_seen, last_seen, times_seen) as one: the earliest sight, the latest one, and the sum; newest fields win."""
+    fields = [c for c in new.columns if c not in (*keys, *SEEN)]
+    rows = old.select(*keys, *fields, *SEEN).unionByName(new.select(*keys, *fields, *SEEN))
+    newest = F.max_by(F.struct(*fields), F.struct("last_seen", *fields)).alias("r")
+    return rows.groupBy(*keys).agg(newest, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen")).select(*keys, "r.*", *SEEN)
+
+
 def merge_seen(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Index rows (first_seen, last_seen, times_seen) with a new batch (seen_at): first kept, count raised, newest fields win."""
-    fields = [c for c in new.columns if c not in (*keys, "seen_at")]
+    """An index with a new batch of sights (seen_at)."""
     fresh = new.withColumns({"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "times_seen": F.lit(1).cast("bigint")}).drop("seen_at")
-    rows = old.select(*keys, *fields, "first_seen", "last_seen", "times_seen").unionByName(fresh.select(*keys, *fields, "first_seen", "last_seen", "times_seen"))
-    newest = F.max_by(F.struct(*fields), F.struct("last_seen", *fields)).alias("r")
-    return rows.groupBy(*keys).agg(newest, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen")).select(*keys, "r.*", "first_seen", "last_seen", "times_seen")
+    return merge_indexes(old, fresh, keys)
 
 
 def illegal_transitions(events: DataFrame, key: str, state: str, at: list[str], edges: list[tuple[str, str]], start: str | None = None) -> DataFrame:

@@ -4,13 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lumenyard.sources.tables import shared_folder
 
 MAD_SCALE = 1.4826
 
 
-def quantile(value: Column, q: float) -> Column:
-    """Exact, with linear interpolation; q is held between 0 and 1."""
-    return F.percentile(value, min(1.0, max(0.0, q)))
+def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, x, c: how often each group has each value; nulls do not count."""
+    return rows.select(*keys, value.cast("double").alias("x")).filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
+
+
+def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """keys, n and exact quantiles (with linear interpolation, by name) of values that are counted (keys, x, c).
+
+    Distinct values are dealt by ranges of (keys, x), so a group of any size spreads over tasks: each range
+    adds up its counts, ranges that hold a wanted rank are known from those sums, and only there the rank
+    is looked up.
+    """
+    shared_folder(counts.sparkSession)
+    ranged = counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("size"))  # one row for each group in each range
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = sums.withColumns({"before": F.sum("size").over(own.orderBy("part")) - F.col("size"), "n": F.sum("size").over(own)})
+    place = {name: (F.col("n") - 1) * min(1.0, max(0.0, q)) for name, q in wanted.items()}
+    ranks = F.array(*(f(p).cast("bigint") for p in place.values() for f in (F.floor, F.ceil)))
+    sums = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))))
+    held = sums.filter(F.size("ranks") > 0).select(*keys, "part", "before", "ranks", "n")
+    # ranges with a wanted rank: two for each quantile of a group at most
+    inside = ranged.join(held, [*keys, "part"])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x"))
+    inside = inside.withColumn("upto", upto).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))))
+    at = inside.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform("ranks", lambda r: F.struct(r, F.col("x"))))))).alias("at"))
+
+    def value(p: Column) -> Column:
+        low, high = (F.try_element_at("at", f(p).cast("bigint")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (p - F.floor(p))
+
+    return at.select(*keys, "n", *(value(p).alias(name) for name, p in place.items()))
 
 
 def sample_confidence(n: Column) -> Column:
@@ -18,14 +50,20 @@ def sample_confidence(n: Column) -> Column:
     return F.when(n <= 1, 0.0).otherwise(F.least(F.lit(0.95), 1 - 5 / (n + 4)))
 
 
+def deviations(counts: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
+    """keys and mad: the scaled median distance of counted values (keys, x, c) from their group's med."""
+    known = centres.select(*keys, "med")  # one row a group
+    both = counts.join(known, keys) if keys else counts.join(F.broadcast(known))
+    away = both.groupBy(*keys, F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("c").alias("c"))
+    return quantiles(away, keys, {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE).drop("n")
+
+
 def centre_and_spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, med and mad (scaled median absolute deviation) of a numeric column; nulls do not count."""
-    rows = rows.select(*keys, F.col(value).cast("double").alias("x")).filter("x is not null")
-    centre = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median("x").alias("med"))
-    if not keys:
-        both = rows.join(F.broadcast(centre))  # one row
-        return both.groupBy("n", "med").agg((F.median(F.abs(F.col("x") - F.col("med"))) * MAD_SCALE).alias("mad"))
-    return rows.join(centre, keys).groupBy(*keys, "n", "med").agg((F.median(F.abs(F.col("x") - F.col("med"))) * MAD_SCALE).alias("mad"))
+    counts = counted(rows, keys, F.col(value))
+    centre = quantiles(counts, keys, {"med": 0.5})
+    mad = deviations(counts, keys, centre)
+    return (centre.join(mad, keys) if keys else centre.join(F.broadcast(mad))).select(*keys, "n", "med", "mad")
 
 
 def robust_z(value: Column, med: Column, mad: Column) -> Column:

@@ -17,7 +17,8 @@ Z = 1.25
 
 @register("a01_median", "SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")
 def a01(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("med"))
+    counts = stats.counted(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"))
+    return stats.quantiles(counts, ["l_returnflag"], {"med": 0.5}).select("l_returnflag", "med")
 
 
 @register("a02_mad", "SELECT l_returnflag, count(*) AS n, median(l_extendedprice) AS med, mad(l_extendedprice) * 1.4826 AS mad FROM lineitem GROUP BY 1")
@@ -28,7 +29,7 @@ def a02(spark, sf):
 @register("a03_quantiles", "SELECT l_shipmode_key, quantile_cont(l_quantity, 0.05) AS p05, quantile_cont(l_quantity, 0.95) AS p95 FROM (SELECT l_linenumber AS l_shipmode_key, l_quantity FROM lineitem) GROUP BY 1")
 def a03(spark, sf):
     rows = table(spark, sf, "lineitem").withColumnRenamed("l_linenumber", "l_shipmode_key")
-    return rows.groupBy("l_shipmode_key").agg(stats.quantile(F.col("l_quantity"), 0.05).alias("p05"), stats.quantile(F.col("l_quantity"), 0.95).alias("p95"))
+    return stats.quantiles(stats.counted(rows, ["l_shipmode_key"], F.col("l_quantity")), ["l_shipmode_key"], {"p05": 0.05, "p95": 0.95}).drop("n")
 
 
 @register(

@@ -50,7 +50,7 @@ def st07(spark, sf):
     return _drained(limits.lifecycle_stream(rows, "user_id", "event_type", EDGES, start="signup"))
 
 
-@register("st09_merge_stream", "SELECT user_id, event_type, max(ts) AS last_seen FROM events GROUP BY 1, 2")
+@register("st09_merge_stream", "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times_seen FROM events GROUP BY 1, 2")
 def st09(spark, sf):
     """An index of users and event kinds, merged batch by batch."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -63,7 +63,7 @@ def st09(spark, sf):
         last["epoch"] = epoch
 
     rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/index/v{last['epoch']}").select("user_id", "event_type", "last_seen")
+    return spark.read.parquet(f"{folder}/index/v{last['epoch']}").select("user_id", "event_type", "first_seen", "last_seen", "times_seen")
 
 
 @register("st04_tumbling_stream", "SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenyard.operators.serving import INCIDENT_EDGES, merge_seen
+from lumenyard.operators.serving import INCIDENT_EDGES, merge_indexes
 
 PER_CALLER, WINDOW_SECONDS = 5, 3600
 OUT_ROWS = 10_000  # events that are given back at once
@@ -112,11 +112,9 @@ def merge_into(path: str, keys: list[str]):
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fields = [c for c in batch.columns if c not in (*keys, "seen_at")]
-        fresh = batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct("seen_at", *fields)).alias("r"), F.max("seen_at").alias("seen_at")).select(*keys, "r.*", "seen_at")
-        if epoch == 0:
-            out = fresh.withColumns({"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "times_seen": F.lit(1).cast("bigint")}).drop("seen_at")
-        else:
-            out = merge_seen(spark.read.parquet(f"{path}/v{epoch - 1}"), fresh, keys)
+        newest = F.max_by(F.struct(*fields), F.struct("seen_at", *fields)).alias("r")
+        fresh = batch.groupBy(*keys).agg(newest, F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("times_seen")).select(*keys, "r.*", "first_seen", "last_seen", "times_seen")
+        out = fresh if epoch == 0 else merge_indexes(spark.read.parquet(f"{path}/v{epoch - 1}"), fresh, keys)
         out.write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return run

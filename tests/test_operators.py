@@ -163,10 +163,66 @@ def test_extraction(spark, name):
         assert (r["r"] and (r["r"]["value"], r["r"]["strategy"])) == (value and (value, strategy)), READ[r["i"]]
 
 
+def test_labels_are_no_patterns_and_need_a_key(spark):
+    read = lambda body, spec: spark.range(1).select(pages.extract(F.lit(body), F.lit("https://a.test/"), spec).alias("r")).first()["r"]
+    assert read("Weight (kg): 12", pages.Field("w", ("Weight (kg",), "number"))["value"] == "12"
+    assert read("Weight: 12", pages.Field("p", ("\u4fa1\u683c",), "number")) is None
+    assert read('the "price": 25 stands in prose', pages.Field("price", ("price",), "number"))["strategy"] == "labelled-line"
+
+
+def test_robots_keep_repeated_urls(spark):
+    rules = pages.robots_rules(spark.createDataFrame([("https://a.test", "User-agent: *\nDisallow: /x")], "origin string, text string"))
+    urls = spark.createDataFrame([("https://a.test/x",), ("https://a.test/x",), ("https://a.test/y",)], "url string")
+    assert sorted(r["allowed"] for r in pages.robots_allowed(urls, rules).collect()) == [False, False, True]
+
+
+def test_quantiles_over_ranges(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    rows = [(k, None if v > 95 else float(v)) for k, n in (("a", 1), ("b", 2), ("c", 700)) for v in draw.integers(0, 100, n)] + [("d", None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    found = {r["k"]: r for r in stats.quantiles(stats.counted(df, ["k"], F.col("v")), ["k"], {"low": 0.05, "med": 0.5, "top": 1.0}).collect()}
+    spread = {r["k"]: r["mad"] for r in stats.centre_and_spread(df, ["k"], "v").collect()}
+    for k in ("a", "b", "c"):
+        own = np.array([v for x, v in rows if x == k and v is not None])
+        if len(own):
+            assert found[k]["n"] == len(own) and [found[k][c] for c in ("low", "med", "top")] == pytest.approx([np.quantile(own, q) for q in (0.05, 0.5, 1)])
+            assert spread[k] == pytest.approx(np.median(np.abs(own - np.median(own))) * 1.4826)
+    assert "d" not in found
+    whole = stats.centre_and_spread(df, [], "v").first()
+    assert whole["med"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_feed_takes_the_newest_incident_about_the_url_or_the_collector(spark):
+    t = lambda h: datetime.datetime(2026, 1, 1, h)
+    shots = spark.createDataFrame([("c", "u", "v", t(9), "two_sensors"), ("c", "w", "v", t(9), "two_sensors"), ("d", "u", "v", t(9), "two_sensors"), ("c", "x", None, None, None)], "collector_id string, url string, data string, verified_at timestamp, confirmed_by string")
+    incidents = [(1, "c", "u", t(1), True), (2, "c", None, t(2), True), (3, "c", "u", t(3), True), (4, "c", None, t(4), False), (5, "d", "other", t(5), True)]
+    df = spark.createDataFrame([(i, c, u, "extractor_drift", 0.75, at, None, q) for i, c, u, at, q in incidents], "incident_id int, collector_id string, url string, verdict string, confidence double, created_at timestamp, resolved_at timestamp, quarantined boolean")
+    rows = {(r["collector_id"], r["url"]): (r["status"], r["incident_id"]) for r in serving.feed(shots, df, F.lit("2026-01-01 12:00:00").cast("timestamp")).collect()}
+    assert rows == {("c", "u"): ("quarantined", 3), ("c", "w"): ("quarantined", 2), ("d", "u"): ("verified", None), ("c", "x"): ("unavailable", 2)}
+
+
+def test_recovery_is_the_next_good_run(spark):
+    at = lambda d: datetime.datetime(2026, 1, d)
+    incidents = spark.createDataFrame([(1, "u", at(2)), (2, "u", at(5)), (3, "w", at(1))], "incident_id int, url string, created_at timestamp")
+    runs = spark.createDataFrame([("u", at(2), True), ("u", at(3), False), ("u", at(4), True), ("u", at(9), True), ("v", at(9), True)], "url string, at timestamp, publishable boolean")
+    assert {r["incident_id"]: r["resolved_at"] for r in verdict.recovered(incidents, runs).collect()} == {1: at(4), 2: at(9), 3: None}
+
+
+def test_titles_of_lists_and_of_furniture(spark):
+    df = spark.createDataFrame([(t,) for t in ("2,431 AI internships", "Accept all cookies", "Online", "Full-time", "Register for an upcoming hackathon", "Nova Research Fellowship 2026")], "t string")
+    got = df.select("t", drafts.is_index(F.col("t"), F.lit(""), F.lit("https://a.test/x")).alias("a"), drafts.is_furniture(F.col("t")).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(True, False), (False, True), (False, True), (False, True), (True, False), (False, False)]
+
+
 def test_links_and_robots(spark):
     md = "[Scholarship](https://a.test/x?utm_source=news&id=7) [again](https://a.test/x?id=7) ![pic](/p.png) [login](/login) [pdf](/f.pdf) [fb](https://www.facebook.com/x) [rel](more/y)"
     rows = pages.harvest(spark.createDataFrame([(1, "https://a.test/d/i", md)], "page_id int, url string, markdown string")).orderBy("pos").collect()
-    assert [(r["url"], r["priority"]) for r in rows] == [("https://a.test/x?id=7", 1), ("https://a.test/d/more/y", 0)]
+    assert [(r["url"], r["text"]) for r in rows] == [("https://a.test/x?id=7", "Scholarship")]  # [rel] promises nothing
+    many = "[grant](/same) " * 200 + "[award](/other)"
+    rows = pages.harvest(spark.createDataFrame([(1, "https://a.test/d/i", many)], "page_id int, url string, markdown string"), limit=2).orderBy("pos").collect()
+    assert [r["url"] for r in rows] == ["https://a.test/same", "https://a.test/other"]
     text = "User-agent: bot\nUser-agent: crawler\nDisallow: /\n\nUser-agent: *\nDisallow: /private # no\nAllow: /private/open\nDisallow: /*.php$\n"
     rules = pages.robots_rules(spark.createDataFrame([("https://a.test", text)], "origin string, text string"))
     urls = spark.createDataFrame([(u,) for u in ("https://a.test/private/x", "https://a.test/private/open/1", "https://a.test/a.php", "https://a.test/a.php?x", "https://a.test", "https://b.test/x")], "url string")
