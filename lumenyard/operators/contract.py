@@ -18,7 +18,7 @@ from lumenyard.functions.numbers import loose_number, money
 from lumenyard.functions.text import character_shape
 from lumenyard.operators import stats
 from lumenyard.operators.stats import MAD_SCALE, sample_confidence
-from lumenyard.sources.tables import shared_folder
+from lumenyard.sources.tables import kept
 
 ENUM_LIMIT = 12
 PRESENCE, NULL_RATE = 0.98, 0.02  # of a required field
@@ -101,10 +101,9 @@ def profile(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
     Numbers written in text count as numbers. rows are read once, into how often each field has each value;
     all else comes from these counts.
     """
-    shared_folder(rows.sparkSession)
     cells = long_form(rows, paths).groupBy("path", "kind", "text", "number").agg(F.count("*").alias("c"))
     number = F.coalesce("number", loose_number(F.when(F.col("kind") == "string", F.col("text"))))
-    cells = cells.withColumn("x", number).checkpoint()
+    cells = kept(cells.withColumn("x", number))
     there = F.col("text").isNotNull()
     size = F.when(F.col("kind") == "string", F.length("text"))
     first = cells.groupBy("path").agg(

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenyard.sources.tables import shared_folder
+from lumenyard.sources.tables import kept
 
 MAD_SCALE = 1.4826
+HELD = 2_000_000  # distinct values of a group that one task may hold
 
 
 def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -16,24 +17,28 @@ def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.select(*keys, value.cast("double").alias("x")).filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
 
 
-def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], held: int = HELD) -> DataFrame:
     """keys, n and exact quantiles (with linear interpolation, by name) of values that are counted (keys, x, c).
 
-    Distinct values are dealt by ranges of (keys, x), so a group of any size spreads over tasks: each range
-    adds up its counts, ranges that hold a wanted rank are known from those sums, and only there the rank
-    is looked up.
+    As long as no group has more than HELD distinct values, one task can hold a group. Beyond that distinct
+    values are dealt by ranges of (keys, x), so a group of any size spreads over tasks: each range adds up
+    its counts, ranges that hold a wanted rank are known from those sums, and only there the rank is looked up.
     """
-    shared_folder(counts.sparkSession)
-    ranged = counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    counts = kept(counts.select(*keys, "x", "c"))
+    most = counts.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if most <= held:
+        found = counts.groupBy(*keys).agg(F.sum("c").alias("n"), *(F.percentile("x", min(1.0, max(0.0, q)), F.col("c")).alias(name) for name, q in wanted.items()))
+        return found.filter("n > 0")
+    ranged = kept(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("size"))  # one row for each group in each range
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sums = sums.withColumns({"before": F.sum("size").over(own.orderBy("part")) - F.col("size"), "n": F.sum("size").over(own)})
     place = {name: (F.col("n") - 1) * min(1.0, max(0.0, q)) for name, q in wanted.items()}
     ranks = F.array(*(f(p).cast("bigint") for p in place.values() for f in (F.floor, F.ceil)))
     sums = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))))
-    held = sums.filter(F.size("ranks") > 0).select(*keys, "part", "before", "ranks", "n")
+    asked = sums.filter(F.size("ranks") > 0).select(*keys, "part", "before", "ranks", "n")
     # ranges with a wanted rank: two for each quantile of a group at most
-    inside = ranged.join(held, [*keys, "part"])
+    inside = ranged.join(asked, [*keys, "part"])
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x"))
     inside = inside.withColumn("upto", upto).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))))
     at = inside.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform("ranks", lambda r: F.struct(r, F.col("x"))))))).alias("at"))
@@ -42,7 +47,7 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> D
         low, high = (F.try_element_at("at", f(p).cast("bigint")) for f in (F.floor, F.ceil))
         return low + (high - low) * (p - F.floor(p))
 
-    return at.select(*keys, "n", *(value(p).alias(name) for name, p in place.items()))
+    return kept(at.select(*keys, "n", *(value(p).alias(name) for name, p in place.items())))
 
 
 def sample_confidence(n: Column) -> Column:

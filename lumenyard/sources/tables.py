@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session has not ended before the interpreter
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder; they are deleted when the interpreter ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    atexit.register(_delete, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def variants(text: Column) -> Column:
     """Rows of a JSON text as an array of variants: an array's members, or a single object as the one row; null if unreadable."""
     parsed = F.try_parse_json(text)
