@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import filtered, replaced_batches, starts_of, written
 
 PASSAGE = 160  # code points that a drawn document gives to its language's reference text, at most
-SAMPLE_DOCS = 300  # labelled documents that are drawn for each language, about
+SAMPLE_DOCS = 150  # labelled documents that are drawn for each language, about
 TOGETHER_LANGUAGES = 32  # in one pass over the texts
 PIECE = 2048  # bytes that are parsed in one run; a longer text has several
 TOGETHER = 4096  # pieces parsed in step
@@ -79,16 +79,19 @@ class Parser:
         for _, reference in references:
             states = suffix_automaton(reference)
             dead = len(states)  # after a byte that the reference lacks: it is a phrase of its own
-            own = np.full((dead + 1, width), -1, dtype=np.int64)
+            if (dead + 1) * 2 * width >= 1 << 31:
+                raise ValueError("a reference text is too long for 32-bit states")
+            own = np.full((dead + 1, width), -1, dtype=np.int32)
             for s, to in enumerate(states):
                 own[s, self.code[list(to)]] = list(to.values())
             # where no longer match exists, a phrase ends and the next begins with this byte; low bit: it did
-            again = np.where(own[0] >= 0, own[0], dead) * 2 * width + 1
-            own[0] = np.where(own[0] >= 0, own[0], dead)
-            own = np.where(own >= 0, own * 2 * width, again)
-            if own.max() >= 1 << 31:
-                raise ValueError("a reference text is too long for 32-bit states")
-            self.tables.append(own.astype(np.int32).reshape(-1))
+            begin = np.where(own[0] >= 0, own[0], dead)
+            none = own < 0
+            none[0] = False
+            own[0] = begin
+            own *= 2 * width
+            np.copyto(own, begin * 2 * width + 1, where=none, casting="same_kind")
+            self.tables.append(own.reshape(-1))
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """For each text and language, the phrases; every piece of a text begins a new one."""
@@ -118,7 +121,7 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(references: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(references)
 

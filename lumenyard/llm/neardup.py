@@ -250,6 +250,8 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> DataFrame
     prints = written(_with_fingerprint(docs, k).select("doc_id", "fp", digest.alias("digest")))
     found = _labelled(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"), group)
     first = found.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__first"))
-    rows = docs.withColumn("__digest", digest)
-    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__digest"] == first["__first"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    # one key for the join and for what repeats, so rows are shuffled once
+    key = lambda i, d: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("none")), d)
+    kept = first.select(key(F.col("__id"), F.col("__first")).alias("__key"))
+    rows = docs.withColumn("__key", key(F.col("doc_id"), digest)).join(kept, "__key", "left_semi")
+    return rows.dropDuplicates(["__key"]).drop("__key")

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN = 400_000  # words kept in one worker, about
+KNOWN = 250_000  # words kept in one worker, about
 TOGETHER = 200  # texts whose new words are learned at once
 #: ASCII and Latin-1 lower-case letters, as UTF-8, then punctuation without an apostrophe or a less-than sign.
 LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-;=-@\[-`{-~]*)")
