@@ -63,7 +63,7 @@ def mentions(haystack: Column, interest: str) -> Column:
     term = interest.strip().lower()
     out = F.contains(haystack, F.lit(term)) if term else F.lit(False)
     for alias in ALIASES.get(term, []):
-        out = out | F.rlike(haystack, F.lit(f"\\b{alias}\\b"))
+        out = out | F.rlike(haystack, F.lit(f"(?:^|[^A-Za-z0-9_]){alias}(?:$|[^A-Za-z0-9_])"))
     return out
 
 

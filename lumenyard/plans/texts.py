@@ -47,10 +47,12 @@ def sc04(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count_if(numbers.near(p, p * (1 + F.col("l_tax") / 10))).alias("agree"))
 
 
-@register("sc09_normal_text", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+_BLANK = text.BLANK.replace("[\\s", "[\\s\\x0B")
+
+
+@register("sc09_normal_text", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '{_BLANK}', ' ', 'g'))) AS digest FROM documents")
 def sc09(spark, sf):
-    rows = table(spark, sf, "documents").filter(F.rlike("text", F.lit("^[\\x00-\\x7F]*$")))
-    return rows.select("doc_id", F.md5(text.normal_text(F.col("text"))).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.normal_text(F.col("text"))).alias("digest"))
 
 
 @register("sc10_comparison_key", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(trim(regexp_replace(t, '\\s+', ' ', 'g')))), '[^a-z0-9 ]', '', 'g')) AS key FROM (SELECT doc_id, substring(text, 1, 80) t FROM documents WHERE lang IN ('fr', 'es'))")
@@ -151,10 +153,10 @@ _COUNT = "len(regexp_extract_all({}, '{}'))"
 
 @register(
     "sc36_page_shape",
-    "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS lines, len(regexp_extract_all(text, '\\S+'))::INT AS words, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^#{1,6}\\s+\\S')))::INT AS headings FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')",
+    "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS lines, len(regexp_extract_all(text, '\\S+'))::INT AS words, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^#{1,6}\\s+\\S')))::INT AS headings FROM documents",
 )
 def sc36(spark, sf):
-    rows = table(spark, sf, "documents").filter(F.rlike("text", F.lit("^[\\x00-\\x7F]*$"))).select("doc_id", verdict.page_shape(F.col("text")).alias("s"))
+    rows = table(spark, sf, "documents").select("doc_id", verdict.page_shape(F.col("text")).alias("s"))
     return rows.select("doc_id", "s.lines", F.col("s.words").alias("words"), F.size("s.headings").alias("headings"))
 
 
