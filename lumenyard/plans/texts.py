@@ -23,10 +23,10 @@ def _amounts(spark, sf):
         .when(way == 3, F.concat(group(","), F.lit(" total")))
         .otherwise(F.lit("in stock"))
     )
-    return table(spark, sf, "orders").filter("o_totalprice >= 1000").select("o_orderkey", cents.alias("cents")).select("o_orderkey", "cents", written.alias("written"))
+    return table(spark, sf, "orders").select("o_orderkey", cents.alias("cents")).select("o_orderkey", "cents", written.alias("written"))
 
 
-_CENTS = "SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders WHERE o_totalprice >= 1000"
+_CENTS = "SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders"
 
 
 @register("sc01_loose_number", f"SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN floor(cents / 100)::DOUBLE WHEN 4 THEN NULL ELSE cents / 100.0::DOUBLE END AS number FROM ({_CENTS})")
