@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, lm_scoring, neardup, packing, quality, sharding, urlfilter
+from . import alignment, bytebpe, decontam, fingerprint, langid, lexical, licenses, lm_scoring, neardup, packing, quality, sharding, urlfilter
 from .shared import fold, table
 
 
@@ -97,6 +97,27 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return alignment.scored(found.withColumn("groups_sha256", digest).drop("text", "groups"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, corpus = lexical.index(table(spark, sf_dir, "documents"))
+    return lexical.search(blocks, corpus, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id",
+        F.size("bpe_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("bpe_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bpe_bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_classifier": op2_quality_classifier,
@@ -108,12 +129,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 _WORDS = "list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_TERMS = "list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _WINDOWS = "array_to_string(w[spot:spot + k - 1], ' ') AS window_text"
 
 
-
 def _url_sql() -> str:
     """Rules, and as many unrolled steps of trust and distrust as the operator takes."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,4 +182,14 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id AS doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
     coalesce(n_hit > 0 AND {decontam.SHARE} * n_hit >= n, false) AS contaminated
     FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op12_ranked_lexical_search": f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+    total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+    postings AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, row_number() OVER () AS own, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, own, n, term),
+    weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM postings, total GROUP BY term),
+    items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    scored AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM items JOIN weights USING (term) JOIN postings USING (term), total GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}""",
 }

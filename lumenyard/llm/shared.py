@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +76,13 @@ def map_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[
     return replaced_batches(df.drop(*(n for n, _ in fields)), fields, compute)
 
 
-def replaced_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list], rows: int = 1000) -> DataFrame:
-    """df with the columns that compute() gives for batches of so many rows in place of those of these names."""
+def replaced_batches(df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list], rows: int = 1000, without: Sequence[str] = ()) -> DataFrame:
+    """df with the columns that compute() gives for batches of so many rows in place of those of these names.
+
+    compute() also sees the columns named in without, which are left out of the result.
+    """
     names = [n for n, _ in fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and f.name not in without]
     schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from lumenyard.llm import neardup
 from lumenyard.llm.queries import QUERIES
 from lumenyard.llm.shared import table
 
-ROWS = {"op6_url_filters": 6}
+ROWS = {"op6_url_filters": 6, "op12_ranked_lexical_search": 10}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -64,3 +64,16 @@ def test_near_dedup_keeps_different_texts_without_an_id_or_with_the_same(spark):
     assert kept.columns == ["doc_id", "text", "source"]
     expected = [(8, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (-(1 << 63), text(6))]
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(i), t) for i, t in expected)
+
+
+def test_defined_results_of_tokens_and_search(spark, odd):
+    coded = {r["doc_id"]: r for r in QUERIES["op13_byte_bpe"](spark, odd).collect()}
+    empty_sha = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert all((coded[i]["n_tokens"], coded[i]["ids_sha256"], coded[i]["decoded_sha256"]) == (0, empty_sha, empty_sha) for i in (2, 3))
+    assert coded[7]["ids_sha256"] == coded[8]["ids_sha256"] and coded[10]["n_tokens"] > 10
+    links = {r["doc_id"]: r for r in QUERIES["op11_cross_tokenizer_alignment"](spark, odd).collect()}
+    assert all(tuple(links[i])[1:] == (0,) * 7 + ("",) or (links[i]["n_a"], links[i]["groups_sha256"]) == (0, "") for i in (2, 3))
+    assert links[7]["count_sum"] == links[8]["count_sum"] > 0 and links[5]["n_links"] > 25_000
+    ranked = [(r["item_id"], r["rank"], r["doc_id"]) for r in QUERIES["op12_ranked_lexical_search"](spark, odd).collect()]
+    assert [d for i, k, d in sorted(ranked, key=str) if i == 1 and k < 3] == [7, 8] and (None, 1, 9) in ranked
+    assert sorted((k, d) for i, k, d in ranked if i == 4) == [(1, 1), (1, 1), (2, 1), (2, 1)]
