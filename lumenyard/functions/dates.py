@@ -2,61 +2,83 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_DAY = "(\\d{1,2})(?:st|nd|rd|th)?"
-_NAME = "([A-Za-z]{3,9})"
-_YEAR = "((?:19|20)\\d{2})\\b"
-_DASH = "\\s*[-\\x{2013}\\x{2014}]\\s*"
-#: Ways of writing a date: pattern, and which of its groups are year, month and last day.
-FAMILIES = [
-    (f"\\b{_NAME}\\.?\\s+{_DAY}{_DASH}{_DAY},?\\s+{_YEAR}", 4, 1, 3),
-    (f"\\b{_DAY}{_DASH}{_DAY}\\s+{_NAME}\\.?,?\\s+{_YEAR}", 4, 3, 2),
-    (f"\\b{_DAY}\\s+{_NAME}\\.?,?\\s+{_YEAR}", 3, 2, 1),
-    (f"\\b{_NAME}\\.?\\s+{_DAY},?\\s+{_YEAR}", 3, 1, 2),
-    ("\\b((?:19|20)\\d{2})-(\\d{1,2})-(\\d{1,2})(?![\\d-])", 1, 2, 3),
-]
-SLASH = f"\\b(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-]{_YEAR}"
-
-
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """A date of the years 1990 to 2100, or null; no day rolls over."""
-    real = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    return F.when(year.between(1990, 2100) & month.between(1, 12) & day.between(1, 31), real)
+from .text import let
 
+# Months by the first letters of their names, the endings of ordinals, and the years that count.
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+ORDINALS = ["st", "nd", "rd", "th"]
+YEARS = (1990, 2100)
+LONGEST_MONTH = 9  # letters
 
-def _number(text: Column) -> Column:
-    return text.try_cast("int")
+#: Digits, letters or one other sign, with the blanks before it.
+TOKEN = "\\s*(?:[0-9]+|[A-Za-z]+|[^0-9A-Za-z\\s])"
+#: Token sequences up to a year, and where they hold month and last day: small numbers n, month names m, dashes -.
+NAMED = [("m n - n y", -4, -1), ("n - n m y", -1, -2), ("n m y", -1, -2), ("m n y", -2, -1)]
 
 
-def _named_month(name: Column) -> Column:
-    at = F.call_function("instr", F.lit(MONTHS), F.lower(F.substring(name, 1, 3)))
-    return F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3).cast("int"))
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """A date of the years that count, or null; no day rolls over."""
+    real = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return F.when(year.between(*YEARS) & month.between(1, 12) & day.between(1, 31), real)
+
+
+def _token(text: Column, before: Column) -> Column:
+    """struct<kind, value, glued> of a token and the one before it; kind is empty for what a date may leave out."""
+    plain, last = F.ltrim(text, F.lit(" \t\r\n\f\x0b")), F.coalesce(F.ltrim(before, F.lit(" \t\r\n\f\x0b")), F.lit(""))
+    glued = before.isNotNull() & (plain == text)
+    is_word = lambda t: F.substring(F.lower(t), 1, 1).between("a", "z")
+    is_number = lambda t: F.substring(t, 1, 1).between("0", "9")
+    size, number = F.length(plain), plain.try_cast("int")
+    table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    month = F.when(size.between(3, LONGEST_MONTH), F.try_element_at(table, F.lower(F.substring(plain, 1, 3))))
+    digits = F.when(glued & is_word(last), "other").when(size <= 2, "n").when((size == 4) & number.between(1900, 2099), "y").otherwise("other")
+    letters = F.when(glued & is_number(last), F.when(F.lower(plain).isin(ORDINALS), "").otherwise("other")).when(month.isNotNull(), "m").otherwise("other")
+    sign = F.when(plain.isin("-", "\u2013", "\u2014"), "-").when(plain == "/", "/").when(plain == ",", "").when(plain == ".", F.when(is_word(last), "").otherwise(".")).otherwise("other")
+    kind = F.when(is_number(plain), digits).when(is_word(plain), letters).otherwise(sign)
+    return F.struct(kind.alias("kind"), F.when(is_word(plain), month).otherwise(number).alias("value"), glued.alias("glued"), (plain == "-").alias("hyphen"))
+
+
+def _dates(tokens: Column, day_first: bool) -> Column:
+    """The dates that stand around the years among the tokens."""
+
+    def at(i: Column) -> Column:
+        token = lambda k: F.get(tokens, i + k)
+        value = lambda k: token(k)["value"]
+        reads = lambda kinds, first: reduce(Column.__and__, (token(first + k)["kind"] == kind for k, kind in enumerate(kinds) if kind != "y"))
+        tight = lambda *ks: reduce(Column.__and__, (token(k)["glued"] for k in ks))
+        found = F.lit(None).cast("date")
+        for line, m, d in NAMED:
+            kinds = line.split()
+            found = F.coalesce(found, F.when(reads(kinds, 1 - len(kinds)), _day(value(0), value(m), value(d))))
+        more = F.coalesce(token(5)["hyphen"] & token(5)["glued"], F.lit(False))
+        iso = reads(["y", "-", "n", "-", "n"], 0) & token(1)["hyphen"] & token(3)["hyphen"] & tight(1, 2, 3, 4) & ~more
+        stroke = lambda k: token(k)["kind"].isin("/", ".") | token(k)["hyphen"]
+        numeric = (token(-4)["kind"] == "n") & stroke(-3) & (token(-2)["kind"] == "n") & stroke(-1) & tight(-3, -2, -1, 0)
+        swapped = F.lit(day_first) | (value(-4) > 12)
+        read = F.when(swapped, _day(value(0), value(-2), value(-4))).otherwise(_day(value(0), value(-4), value(-2)))
+        return F.array(found, F.when(iso, _day(value(0), value(2), value(4))), F.when(numeric, read))
+
+    years = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i)["kind"] == "y")
+    return F.flatten(F.transform(years, at))
 
 
 def parse_deadline(raw: Column, slash_order: str = "month_first") -> Column:
     """The latest date that a text names, or null.
 
-    In numbers with strokes the first is the month unless it exceeds 12; slash_order="day_first" reads
-    it as the day.
+    The text is cut into tokens, and dates are runs of them: a day, a month's name and a year in the usual
+    orders, a range of days (its end counts), or numbers. In numbers with strokes the first is the month unless
+    it exceeds 12; slash_order="day_first" reads it as the day.
     """
-    def read(pattern: str, y: int, m: int, d: int) -> Column:
-        part = lambda x, k: F.regexp_extract(x, pattern, k)
-        month = (lambda x: _named_month(part(x, m))) if _NAME in pattern else (lambda x: _number(part(x, m)))
-        found = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))
-        return F.transform(found, lambda x: _day(_number(part(x, y)), month(x), _number(part(x, d))))
-
-    dates = [read(*family) for family in FAMILIES]
-
-    def stroke(x: Column) -> Column:
-        a, b, y = (_number(F.regexp_extract(x, SLASH, k)) for k in (1, 2, 3))
-        day_first = F.lit(slash_order == "day_first") | (a > 12)
-        return F.when(day_first, _day(y, b, a)).otherwise(_day(y, a, b))
-
-    dates.append(F.transform(F.regexp_extract_all(raw, F.lit(SLASH), F.lit(0)), stroke))
-    return F.array_max(F.concat(*dates))
+    dated = F.when(F.rlike(raw, F.lit("(?:19|20)[0-9]{2}")), raw)  # no year, no date
+    parts = F.regexp_extract_all(dated, F.lit(TOKEN), F.lit(0))
+    typed = let(parts, lambda own: F.transform(own, lambda t, i: _token(t, F.get(own, i - 1))))
+    tokens = F.filter(typed, lambda t: t["kind"] != "")
+    return F.when(dated.isNotNull(), let(tokens, lambda own: F.array_max(F.when(F.size(own) > 0, _dates(own, slash_order == "day_first")))))
 
 
 def has_passed(deadline: Column, now: Column) -> Column:

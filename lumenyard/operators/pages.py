@@ -176,20 +176,6 @@ def extract(markdown: Column, url: Column, spec: Field) -> Column:
     return let(let(whole, lined), chosen)
 
 
-def structured_facts(html: Column) -> Column:
-    """struct<deadline, amount, currency, title> from a page's JSON-LD and meta tags; nulls where it has none."""
-    blocks = F.array_join(F.regexp_extract_all(html, F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    text = lambda names: F.coalesce(*(F.nullif(F.regexp_extract(blocks, f"\"{n}\"\\s*:\\s*\"([^\"]*)\"", 1), F.lit("")) for n in names))
-    number = F.regexp_extract(blocks, "\"(?:value|amount|price)\"\\s*:\\s*\"?([0-9][0-9.]*)", 1).try_cast("double")
-    meta = F.nullif(F.regexp_extract(html, "(?is)<meta[^>]*(?:property|name)=[\"']og:title[\"'][^>]*content=[\"']([^\"']*)", 1), F.lit(""))
-    return F.struct(
-        parse_deadline(text(["registrationDeadline", "applicationDeadline", "validThrough", "deadline"])).alias("deadline"),
-        number.alias("amount"),
-        text(["currency", "priceCurrency"]).alias("currency"),
-        F.coalesce(text(["headline", "name"]), meta).alias("title"),
-    )
-
-
 def robots_rules(files: DataFrame) -> DataFrame:
     """origin, agent, verb (allow, disallow), pattern of robots files (origin, text), one row a rule and agent.
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenyard.sources.tables import kept
-
 MAD_SCALE = 1.4826
-HELD = 2_000_000  # distinct values of a group that one task may hold
+SPLITS = 32  # ranges over which the values of a group are spread
 
 
 def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -17,28 +17,39 @@ def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.select(*keys, value.cast("double").alias("x")).filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
 
 
-def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], held: int = HELD) -> DataFrame:
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group, of which groups has one row; a null key is a group, no keys are one."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    renamed = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return rows.join(renamed, same).drop(*(f"__{k}" for k in keys))
+
+
+def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], splits: int = SPLITS) -> DataFrame:
     """keys, n and exact quantiles (with linear interpolation, by name) of values that are counted (keys, x, c).
 
-    As long as no group has more than HELD distinct values, one task can hold a group. Beyond that distinct
-    values are dealt by ranges of (keys, x), so a group of any size spreads over tasks: each range adds up
-    its counts, ranges that hold a wanted rank are known from those sums, and only there the rank is looked up.
+    A group's values are dealt to ranges at approximate quantiles, which only have to be near enough to share
+    the work. The ranges' exact sums tell which of them hold the wanted ranks, and only their values are put
+    in order, one task for a range. What lies below a range is taken from the same sums as its bounds, so a
+    plan that is run again in part stays right.
     """
-    counts = kept(counts.select(*keys, "x", "c"))
-    most = counts.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
-    if most <= held:
-        found = counts.groupBy(*keys).agg(F.sum("c").alias("n"), *(F.percentile("x", min(1.0, max(0.0, q)), F.col("c")).alias(name) for name, q in wanted.items()))
-        return found.filter("n > 0")
-    ranged = kept(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()))
-    sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("size"))  # one row for each group in each range
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counts = counts.select(*keys, "x", "c")
+    cuts = [k / splits for k in range(1, splits)]
+    edges = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", cuts, F.lit(20 * splits))).alias("edges"))
+    dealt = beside(counts, edges, keys).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
+    low, high = F.try_element_at("edges", F.col("part")), F.get("edges", F.col("part"))
+    low = F.when(F.col("part") > 0, low)
+    sums = dealt.groupBy(*keys, "part").agg(F.sum("c").alias("size"), F.first("edges").alias("edges")).select(*keys, "part", "size", low.alias("low"), high.alias("high"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # as many rows as splits in a group
     sums = sums.withColumns({"before": F.sum("size").over(own.orderBy("part")) - F.col("size"), "n": F.sum("size").over(own)})
     place = {name: (F.col("n") - 1) * min(1.0, max(0.0, q)) for name, q in wanted.items()}
     ranks = F.array(*(f(p).cast("bigint") for p in place.values() for f in (F.floor, F.ceil)))
     sums = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))))
-    asked = sums.filter(F.size("ranks") > 0).select(*keys, "part", "before", "ranks", "n")
-    # ranges with a wanted rank: two for each quantile of a group at most
-    inside = ranged.join(asked, [*keys, "part"])
+    # two ranges for each quantile of a group at most
+    asked = sums.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.collect_list(F.struct("part", "low", "high", "before", "ranks", "n")).alias("asked"))
+    holds = lambda r: (r["low"].isNull() | (r["low"] <= F.col("x"))) & (r["high"].isNull() | (F.col("x") < r["high"]))
+    inside = beside(counts, asked, keys).select(*keys, "x", "c", F.explode(F.filter("asked", holds)).alias("r")).select(*keys, "x", "c", "r.*")
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x"))
     inside = inside.withColumn("upto", upto).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))))
     at = inside.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform("ranks", lambda r: F.struct(r, F.col("x"))))))).alias("at"))
@@ -47,7 +58,8 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], held
         low, high = (F.try_element_at("at", f(p).cast("bigint")) for f in (F.floor, F.ceil))
         return low + (high - low) * (p - F.floor(p))
 
-    return kept(at.select(*keys, "n", *(value(p).alias(name) for name, p in place.items())))
+    found = at.select(*keys, "n", *(value(p).alias(name) for name, p in place.items()))
+    return found if keys else found.filter("n is not null")
 
 
 def sample_confidence(n: Column) -> Column:
@@ -57,9 +69,7 @@ def sample_confidence(n: Column) -> Column:
 
 def deviations(counts: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
     """keys and mad: the scaled median distance of counted values (keys, x, c) from their group's med."""
-    known = centres.select(*keys, "med")  # one row a group
-    both = counts.join(known, keys) if keys else counts.join(F.broadcast(known))
-    away = both.groupBy(*keys, F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("c").alias("c"))
+    away = beside(counts, centres.select(*keys, "med"), keys).groupBy(*keys, F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("c").alias("c"))
     return quantiles(away, keys, {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE).drop("n")
 
 
@@ -68,7 +78,7 @@ def centre_and_spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame
     counts = counted(rows, keys, F.col(value))
     centre = quantiles(counts, keys, {"med": 0.5})
     mad = deviations(counts, keys, centre)
-    return (centre.join(mad, keys) if keys else centre.join(F.broadcast(mad))).select(*keys, "n", "med", "mad")
+    return beside(centre, mad, keys).select(*keys, "n", "med", "mad")
 
 
 def robust_z(value: Column, med: Column, mad: Column) -> Column:

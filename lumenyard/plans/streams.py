@@ -26,6 +26,9 @@ def _drained(rows: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
+OVERALL = limits.Limits(overall=20)  # few enough for the sample's events to meet it
+
+
 @register("st03_limited")
 def st03(spark, sf):
     """Events as requests: at most five an hour of each user are let through. What is let through depends on
@@ -39,6 +42,19 @@ def st03_stream(spark, sf):
     return _drained(limits.limited_stream(_stream(spark, sf, "events").select("user_id", "ts"), "user_id", "ts"))
 
 
+@register("st03_limited_overall")
+def st03_overall(spark, sf):
+    """The same with a limit for all users together, so that one user's requests may cost another its place."""
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "ts", "event_id")
+    return limits.limited_overall(rows, "user_id", "ts", OVERALL)
+
+
+@register("st03_limited_overall_stream")
+def st03_overall_stream(spark, sf):
+    rows = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "ts")
+    return _drained(limits.limited_overall_stream(rows, "user_id", "ts", OVERALL))
+
+
 EDGES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"), ("purchase", "view")]
 
 

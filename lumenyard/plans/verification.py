@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenyard.operators import contract, drafts, gate, pages, serving, verdict
+from lumenyard.operators import contract, drafts, gate, markup, pages, serving, verdict
 from lumenyard.operators.contract import Invariant
 from lumenyard.plans.registry import register
 from lumenyard.sources.tables import table
@@ -183,7 +183,7 @@ def v03(spark, sf):
 @register("sc32_structured", "SELECT o_orderkey, o_orderdate::DATE AS deadline, 'USD' AS currency FROM orders")
 def sc32(spark, sf):
     html = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"Event","registrationDeadline":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","offers":{"price":"9","priceCurrency":"USD"}}</script></html>'))
-    return table(spark, sf, "orders").select("o_orderkey", pages.structured_facts(html).alias("f")).select("o_orderkey", "f.deadline", "f.currency")
+    return table(spark, sf, "orders").select("o_orderkey", markup.structured_facts(html).alias("f")).select("o_orderkey", "f.deadline", "f.currency")
 
 
 @register("sc47_robots", "SELECT url, NOT regexp_matches(path, '^/(en|fr)/.*[05]') OR regexp_matches(path, '^/en/.*5\\.html') AS allowed FROM (SELECT DISTINCT url, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) path FROM pages WHERE url IS NOT NULL)")

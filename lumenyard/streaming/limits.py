@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from math import isnan
 
 import numpy as np
 import pandas as pd
@@ -10,20 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as SqlWindow
 
 from lumenyard.operators.serving import INCIDENT_EDGES, merge_indexes
 
-PER_CALLER, WINDOW_SECONDS = 5, 3600
+PER_CALLER, OVERALL, WINDOW_SECONDS = 5, 120, 3600
 OUT_ROWS = 10_000  # events that are given back at once
 
 
 def admit(stamps: list[float], asked: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
     """Which requests (in time order) a sliding window lets through, and the stamps that it then holds.
 
-    A request that is refused takes no place in the window.
+    A request that is refused takes no place in the window. One without a time (NaN) is refused.
     """
     held, out = list(stamps), []
     for at in asked:
+        if isnan(at):
+            out.append(False)
+            continue
         held = [s for s in held if s > at - window]
         ok = len(held) < limit
         out.append(ok)
@@ -32,19 +39,57 @@ def admit(stamps: list[float], asked: list[float], limit: int, window: float) ->
     return out, held
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How many requests one caller and all callers together may make in any window."""
+
+    per_caller: int = PER_CALLER
+    overall: int = OVERALL
+    window: float = WINDOW_SECONDS
+
+
+class Window:
+    """The admitted requests of the last window, at most as many as are allowed overall, with their callers."""
+
+    def __init__(self, limits: Limits, held: Iterable[tuple[float, object]] = ()):
+        self.limits, self.held = limits, deque(held)
+        self.own = Counter(caller for _, caller in self.held)
+
+    def take(self, caller: object, at: float) -> str:
+        """Admits the request and takes its place, or says why not; asking and taking are one step.
+
+        admitted, busy (all callers' places are taken), caller (this one's are) or undated.
+        """
+        if isnan(at):
+            return "undated"
+        while self.held and self.held[0][0] <= at - self.limits.window:
+            self.own[self.held.popleft()[1]] -= 1
+        if len(self.held) >= self.limits.overall:
+            return "busy"
+        if self.own[caller] >= self.limits.per_caller:
+            return "caller"
+        self.held.append((at, caller))
+        self.own[caller] += 1
+        return "admitted"
+
+
+def _seconds(stamps: pa.Array) -> list[float]:
+    micros = stamps.cast(pa.timestamp("us", tz=stamps.type.tz)).cast(pa.int64()).to_pylist()
+    return [float("nan") if m is None else m / 1e6 for m in micros]
+
+
 def limited(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER, window: float = WINDOW_SECONDS) -> DataFrame:
     """A batch of requests with admitted: at most limit in any window of each caller. Ties by all columns.
 
-    A caller's requests pass through one task in time order, a batch at a time; only the window's stamps are held.
+    A caller's requests pass through one task in time order, a batch at a time, since each depends on those
+    before it; only the window's stamps are held. A request without a time is refused.
     """
     schema = ", ".join(f"{n} {t}" for n, t in requests.dtypes) + ", admitted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, begun = None, [], False
         for batch in batches:
-            stamps = batch.column(at)
-            micros = stamps.cast(pa.timestamp("us", tz=stamps.type.tz)).cast(pa.int64()).to_pylist()
-            seconds = [float("nan") if m is None else m / 1e6 for m in micros]
+            seconds = _seconds(batch.column(at))
             callers, admitted = batch.column(caller).to_pylist(), []
             while len(admitted) < len(callers):
                 first = len(admitted)
@@ -59,23 +104,90 @@ def limited(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER,
     return requests.repartition(caller).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def limited_overall(requests: DataFrame, caller: str, at: str, limits: Limits = Limits()) -> DataFrame:
+    """A batch of requests with ruling (see Window.take), by a limit for each caller and one for all together.
+
+    A request is admitted or refused in time order (ties by caller, then by all columns), and a place is taken
+    only by what is admitted. After a whole window without a request nothing is left of what was before, so the
+    busy spells between such pauses are dealt to tasks; within a spell requests depend on each other and pass
+    through one task, which holds no more than the places that are taken. Requests without a time are refused.
+    Columns named ruling and __spell are replaced.
+    """
+    requests = requests.drop("ruling", "__spell")
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+    bucket = F.floor(seconds / limits.window)
+    # as many rows as windows of time in which anything was asked
+    buckets = requests.filter(F.col(at).isNotNull()).select(bucket.alias("__bucket")).distinct()
+    order = SqlWindow.partitionBy(F.lit(0)).orderBy("__bucket")
+    begins = F.coalesce(F.col("__bucket") - F.lag("__bucket").over(order) > 1, F.lit(True))
+    spells = buckets.withColumn("begins", begins.cast("bigint")).select("__bucket", F.sum("begins").over(order).alias("__spell"))
+    rows = requests.withColumn("__bucket", bucket).join(spells, "__bucket", "left").drop("__bucket")
+    rows = rows.select(*requests.columns, F.coalesce("__spell", F.lit(0)).alias("__spell"))
+    schema = ", ".join(f"{n} {t}" for n, t in requests.dtypes) + ", ruling string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell, places = None, Window(limits)
+        for batch in batches:
+            rulings = []
+            for own, name, when in zip(batch.column("__spell").to_pylist(), batch.column(caller).to_pylist(), _seconds(batch.column(at))):
+                if own != spell:
+                    spell, places = own, Window(limits)
+                rulings.append(places.take(name, when))
+            kept = [n for n in batch.schema.names if n != "__spell"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rulings, pa.string())], names=[*kept, "ruling"])
+
+    order = [F.col("__spell"), F.col(at).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in (caller, *(c for c in requests.columns if c not in (caller, at))))]
+    return rows.repartition("__spell").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
 def limited_stream(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER, window: float = WINDOW_SECONDS) -> DataFrame:
-    """The same over a stream (caller, at): the window's stamps are the state. Requests that come late by the
-    watermark are dropped by Spark before they get here; that is an addition of this engine."""
+    """The same as limited() over a stream (caller, at): the window's stamps are the state. Requests that come late by
+    the watermark are dropped by Spark before they get here; that is an addition of this engine.
+
+    Of a micro-batch's requests of one caller a number each is held, which puts the chunks in one order.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stamps = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(at)
-        seconds = (rows[at] - pd.Timestamp("1970-01-01")).dt.total_seconds().tolist()
-        ok, stamps = admit(stamps, seconds, limit, window)
+        times = np.sort(np.concatenate([pdf[at].to_numpy("datetime64[us]") for pdf in batches]))  # those without a time last
+        for begin in range(0, len(times), OUT_ROWS):
+            some = times[begin : begin + OUT_ROWS]
+            ok, stamps = admit(stamps, _as_seconds(some), limit, window)
+            yield pd.DataFrame({caller: [key[0]] * len(some), at: some, "admitted": ok})
         state.update((stamps,))
-        yield pd.DataFrame({caller: [key[0]] * len(rows), at: rows[at].tolist(), "admitted": ok})
 
     kinds = dict(requests.dtypes)
     out = f"{caller} {kinds[caller]}, {at} {kinds[at]}, admitted boolean"
     return requests.groupBy(caller).applyInPandasWithState(run, out, "stamps array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _as_seconds(times: np.ndarray) -> list[float]:
+    return np.where(np.isnat(times), np.nan, times.astype("int64") / 1e6).tolist()
+
+
+def limited_overall_stream(requests: DataFrame, caller: str, at: str, limits: Limits = Limits()) -> DataFrame:
+    """The same as limited_overall() over a stream (caller a string, at): the places that are taken are the state.
+
+    All requests share one state, so a micro-batch passes through one task; maxFilesPerTrigger or its like bounds it.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stamps, names = state.get if state.exists else ([], [])
+        places = Window(limits, zip(stamps, names))
+        chunks = [(pdf[at].to_numpy("datetime64[us]"), pdf[caller].to_numpy(object)) for pdf in batches]
+        times, callers = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
+        order = sorted(range(len(times)), key=lambda i: (np.isnat(times[i]), times[i].astype("int64"), callers[i] is None, callers[i] or ""))
+        for begin in range(0, len(order), OUT_ROWS):
+            some = order[begin : begin + OUT_ROWS]
+            rulings = [places.take(callers[i], s) for i, s in zip(some, _as_seconds(times[some]))]
+            yield pd.DataFrame({caller: callers[some], at: times[some], "ruling": rulings})
+        state.update(([s for s, _ in places.held], [n for _, n in places.held]))
+
+    kinds = dict(requests.dtypes)
+    out = f"{caller} {kinds[caller]}, {at} {kinds[at]}, ruling string"
+    return requests.groupBy(F.lit(0).alias("__all")).applyInPandasWithState(run, out, "stamps array<double>, callers array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def lifecycle_stream(events: DataFrame, key: str, state_column: str, edges: list[tuple[str, str]] = INCIDENT_EDGES, start: str = "observed") -> DataFrame:
     """key, state, legal for every event of a stream; an event that may not follow leaves the state as it was.
 

@@ -183,9 +183,9 @@ def test_quantiles_over_ranges(spark):
     rows = [(k, None if v > 95 else float(v)) for k, n in (("a", 1), ("b", 2), ("c", 700)) for v in draw.integers(0, 100, n)] + [("d", None), (None, 3.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(3)
     asked = stats.counted(df, ["k"], F.col("v")), ["k"], {"low": 0.05, "med": 0.5, "top": 1.0}
-    found = {r["k"]: r for r in stats.quantiles(*asked, held=0).collect()}
+    found = {r["k"]: r for r in stats.quantiles(*asked, splits=3).collect()}
     whole = {r["k"]: r for r in stats.quantiles(*asked).collect()}
-    assert found.keys() <= whole.keys() and all(found[k][c] == pytest.approx(whole[k][c]) for k in found for c in ("n", "low", "med", "top"))
+    assert found.keys() == whole.keys() == {"a", "b", "c", None} - ({"a"} if "a" not in found else set()) and all(found[k][c] == pytest.approx(whole[k][c]) for k in found for c in ("n", "low", "med", "top"))
     spread = {r["k"]: r["mad"] for r in stats.centre_and_spread(df, ["k"], "v").collect()}
     for k in ("a", "b", "c"):
         own = np.array([v for x, v in rows if x == k and v is not None])

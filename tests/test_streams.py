@@ -71,3 +71,54 @@ def test_a_user_of_several_arrow_batches(spark, tmp_path):
         assert collections.Counter((r["user_id"], r["admitted"]) for r in one.collect()) == admitted(sorted((u, t) for u, t, _ in asked))
     finally:
         spark.conf.set(setting, before)
+
+
+def rulings(rows, overall):
+    """Every request's ruling by a plain loop over all requests in time order."""
+    held, out = [], collections.Counter()
+    for at, user in sorted(rows):
+        held = [(s, u) for s, u in held if s > at - 3600]
+        own = sum(u == user for _, u in held)
+        ruling = "busy" if len(held) >= overall else "caller" if own >= 5 else "admitted"
+        if ruling == "admitted":
+            held.append((at, user))
+        out[user, ruling] += 1
+    return out
+
+
+def test_limit_for_all_callers_together(spark):
+    events = pd.read_parquet(f"{SF}/events.parquet")
+    rows = [(at.timestamp(), str(user)) for at, user in zip(events.ts, events.user_id)]
+    few = limits.Limits(overall=3)
+    expected = rulings(rows, 3)
+    assert {r for _, r in expected} == {"busy", "admitted"}
+    own = streams.table(spark, SF, "events").selectExpr("cast(user_id as string) as user_id", "ts", "event_id")
+    found = limits.limited_overall(own, "user_id", "ts", few)
+    assert collections.Counter((r["user_id"], r["ruling"]) for r in found.collect()) == expected
+    stream = streams._stream(spark, SF, "events").selectExpr("cast(user_id as string) as user_id", "ts")
+    found = streams._drained(limits.limited_overall_stream(stream, "user_id", "ts", few))
+    assert collections.Counter((r["user_id"], r["ruling"]) for r in found.collect()) == expected
+
+
+def test_limit_over_pauses_and_odd_requests(spark):
+    start = pd.Timestamp("2024-01-01")
+    draw = random.Random(8)
+    times = [s for spell in (0, 9000, 40000) for s in sorted(draw.uniform(spell, spell + 5000) for _ in range(150))]
+    rows = [((start + pd.Timedelta(seconds=s)).to_pydatetime(), draw.choice("abcd"), "own") for s in times] + [(None, "a", "own"), (None, None, "own")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, who string, ruling string").repartition(4)
+    expected = rulings([((t - start.to_pydatetime()).total_seconds(), w) for t, w, _ in rows if t], 12)
+    expected["a", "undated"] += 1
+    expected[None, "undated"] += 1
+    found = limits.limited_overall(df, "who", "ts", limits.Limits(overall=12))
+    assert collections.Counter((r["who"], r["ruling"]) for r in found.collect()) == expected
+    assert {r for _, r in expected} == {"busy", "caller", "admitted", "undated"}
+
+
+def test_requests_without_a_time_are_refused(spark, tmp_path):
+    rows = [(1, None)] * 4 + [(1, pd.Timestamp("2024-01-01").to_pydatetime())]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz")
+    asked = lambda found: sorted((r["ts"] is not None, r["admitted"]) for r in found.collect())
+    assert asked(limits.limited(df, "user_id", "ts", limit=2)) == [(False, False)] * 4 + [(True, True)]
+    df.write.parquet(f"{tmp_path}/requests")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/requests")
+    assert asked(streams._drained(limits.limited_stream(stream, "user_id", "ts", limit=2))) == [(False, False)] * 4 + [(True, True)]
