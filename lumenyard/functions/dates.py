@@ -93,5 +93,5 @@ def days_until(deadline: Column, now: Column) -> Column:
 
 def date_agreement(a: Column, b: Column) -> Column:
     """agree or disagree where both texts name a date, else null (compare them as values then)."""
-    x, y = parse_deadline(a), parse_deadline(b)
-    return F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, "agree").otherwise("disagree"))
+    days = F.struct(parse_deadline(a).alias("x"), parse_deadline(b).alias("y"))
+    return let(days, lambda d: F.when(d["x"].isNotNull() & d["y"].isNotNull(), F.when(d["x"] == d["y"], "agree").otherwise("disagree")))

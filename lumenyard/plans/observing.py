@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenyard.operators import gate, markup, observe, paths
 from lumenyard.plans.registry import register
-from lumenyard.sources.tables import table
+from lumenyard.sources.tables import kept, table
 
 
 def _observed(spark, sf):
@@ -86,6 +86,7 @@ def v16_observe(spark, sf):
 def v16_served(spark, sf):
     """What a consumer of every priority and customer gets after all runs."""
     found, rows = _observed(spark, sf)
+    found = kept(found)  # the table of observed runs, which the feed reads several times
     feed = observe.served(found, rows, F.lit("1997-01-01 00:00:00").cast("timestamp"))
     return feed.select("collector_id", "url", "status", "incident_id")
 
@@ -135,7 +136,7 @@ def v02_learned_types(spark, sf):
     "v11_repairs",
     """SELECT o_orderkey AS repair_id, k = 0 AS approved, CASE k WHEN 0 THEN '' WHEN 1 THEN 'incident: wrong price' WHEN 2 THEN 'anchor: followed the decoy: reads a position' WHEN 3 THEN 'anchor: was never run'
     WHEN 4 THEN 'regression: fails structure:required:status|regression: wrong status' WHEN 5 THEN 'incident: fails structure:required:price|incident: protected price is missing|incident: wrong price'
-    WHEN 6 THEN 'incident: fails structure:collector_error|incident: fails structure:required:price|incident: fails structure:required:status|incident: protected price is missing|incident: timeout'
+    WHEN 6 THEN 'incident: fails structure:collector_error|incident: fails structure:required:day|incident: fails structure:required:price|incident: fails structure:required:status|incident: protected price is missing|incident: timeout'
     WHEN 7 THEN 'anchor: did not give the token: not shown to read the label' END AS reasons FROM (SELECT o_orderkey, (o_orderkey // 2) % 8 AS k FROM orders WHERE o_orderkey % 2 = 1)""",
 )
 def v11_repairs(spark, sf):
@@ -196,12 +197,12 @@ def h06_markup(spark, sf):
     k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
     price = F.round(F.col("o_totalprice") + 1000).cast("bigint").cast("string")
     block = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
-    event = F.format_string('{"@type":"Event","name":" An \\\\n event","organizer":{"@type":"Organization","name":"A body"},"startDate":"1990-01-01","endDate":"1991-01-01","registrationDeadline":"%s","offers":{"@type":"Offer","price":"%s","priceCurrency":"USD"}}', day, price)
+    event = F.format_string('{"@type":"Event","name":" An \\n event","organizer":{"@type":"Organization","name":"A body"},"startDate":"1990-01-01","endDate":"1991-01-01","registrationDeadline":"%s","offers":{"@type":"Offer","price":"%s","priceCurrency":"USD"}}', day, price)
     course = F.format_string('{"@graph":[{"@type":"WebPage","mainEntity":{"@type":"Course","headline":"A course","offers":{"@type":"Offer","price":%s,"priceCurrency":"INR"},"validThrough":"%sT10:00:00Z"}}]}', price, day)
     job = F.format_string('[{"@type":["JobPosting","Thing"],"name":"A job","validThrough":"soon","hiringOrganization":{"@type":"Organization","name":"A firm"},"endDate":"%s"}]', day)
     meta = F.lit('<html><head><meta property="og:title" content="By a meta tag"></head><body>no block at all</body></html>')
     html = F.when(k == 0, block(event)).when(k == 1, block(course)).when(k == 2, F.concat(block(F.lit("{ not json }")), block(job))).otherwise(meta)
-    said = F.when(F.col("o_orderkey") % 3 == 0, F.lit("3 March 1989")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.lit("3 March 2003")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
     rows = table(spark, sf, "orders").select("o_orderkey", said.alias("said"), markup.structured_facts(html).alias("f"))
     found = markup.adjudicated(rows, "said", "f")
     return found.select("o_orderkey", "f.deadline", F.col("f.deadline_field").alias("field"), "f.amount", "f.currency", "f.title", "f.provider", F.array_join("f.types", ",").alias("types"), F.col("ruling.verdict").alias("verdict"))

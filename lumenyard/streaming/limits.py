@@ -185,7 +185,7 @@ def limited_overall_stream(requests: DataFrame, caller: str, at: str, limits: Li
 
     kinds = dict(requests.dtypes)
     out = f"{caller} {kinds[caller]}, {at} {kinds[at]}, ruling string"
-    return requests.groupBy(F.lit(0).alias("__all")).applyInPandasWithState(run, out, "stamps array<double>, callers array<string>", "append", GroupStateTimeout.NoTimeout)
+    return requests.select(caller, at, F.lit(0).alias("__all")).groupBy("__all").applyInPandasWithState(run, out, "stamps array<double>, callers array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def lifecycle_stream(events: DataFrame, key: str, state_column: str, edges: list[tuple[str, str]] = INCIDENT_EDGES, start: str = "observed") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from lumenyard.operators import gate, markup, observe, paths, verdict
+from lumenyard.sources.tables import kept
 from pyspark.sql import functions as F
 
 
@@ -46,16 +47,18 @@ def test_leaf_paths(spark):
 AT = datetime.datetime(2026, 5, 1)
 
 
-def observed(spark, runs, healthy, sightings=(), readings=(), invariants="[]", specs='[{"path":"price","required_on_page":false}]', protected=("price",)):
-    """runs and healthy: (run_id, [rows]) of one collector."""
-    table = lambda own: spark.createDataFrame([(r, "c", "u", AT + datetime.timedelta(hours=i)) for i, (r, _) in enumerate(own)], "run_id string, collector_id string, url string, observed_at timestamp")
-    rows = lambda own: spark.createDataFrame([(r, i, json.dumps(x)) for r, many in own for i, x in enumerate(many)], "run_id string, row_no int, j string").select("run_id", "row_no", F.parse_json("j").alias("row"))
-    collectors = spark.createDataFrame([("c", "US", "desktop", list(protected))], "collector_id string, country string, device string, protected array<string>")
-    collectors = collectors.withColumns({"specs": F.from_json(F.lit(specs), observe.SPECS), "invariants": F.from_json(F.lit(invariants), observe.INVARIANTS)})
-    seen = spark.createDataFrame([(r, True, True, "US", "desktop", AT + datetime.timedelta(hours=h)) for r, h in sightings], "run_id string, fetched boolean, same_page boolean, country string, device string, fetched_at timestamp")
-    read = spark.createDataFrame(list(readings), "run_id string, path string, value string, confidence double")
-    contracts = observe.learn(table(healthy), rows(healthy))
-    return collectors, table(runs), rows(runs), seen, read, contracts
+def observed(spark, given):
+    """The tables of several collectors: by id their runs and healthy runs (run_id, [rows]), invariants, specs and protected."""
+    both = {side: [(f"{c}{r}", c, many, i) for c, own in given.items() for i, (r, many) in enumerate(own.get(side, []))] for side in ("runs", "healthy")}
+    table = lambda own: spark.createDataFrame([(r, c, "u", AT + datetime.timedelta(hours=i)) for r, c, _, i in own], "run_id string, collector_id string, url string, observed_at timestamp")
+    rows = lambda own: spark.createDataFrame([(r, i, json.dumps(x)) for r, _, many, _ in own for i, x in enumerate(many)], "run_id string, row_no int, j string").select("run_id", "row_no", F.parse_json("j").alias("row"))
+    setting = [(c, "US", "desktop", own.get("protected", ["price"]), json.dumps(own.get("specs", [{"path": "price"}])), json.dumps(own.get("rules", []))) for c, own in given.items()]
+    collectors = spark.createDataFrame(setting, "collector_id string, country string, device string, protected array<string>, s string, i string")
+    collectors = collectors.withColumns({"specs": F.from_json("s", observe.SPECS), "invariants": F.from_json("i", observe.INVARIANTS)})
+    seen = [(f"{c}{r}", True, True, "US", "desktop", AT + datetime.timedelta(hours=h)) for c, own in given.items() for r, h in own.get("seen", [])]
+    seen = spark.createDataFrame(seen, "run_id string, fetched boolean, same_page boolean, country string, device string, fetched_at timestamp")
+    read = spark.createDataFrame([(f"{c}{r}", *x) for c, own in given.items() for r, *x in own.get("read", [])], "run_id string, path string, value string, confidence double")
+    return collectors, table(both["runs"]), rows(both["runs"]), seen, read, observe.learn(table(both["healthy"]), rows(both["healthy"]))
 
 
 HEALTHY = [(f"h{i}", [{"price": 100 + i, "state": "open", "tags": ["a"]}]) for i in range(8)]
@@ -80,10 +83,11 @@ def test_checks_of_many_runs(spark):
         ("rules", [{"price": 5000, "least": 9000, "state": "odd", "link": "https://b.test/x", "cost": "EUR 5", "id": 1}, {"price": 102, "state": "open", "id": 1}]),
         ("type", [{"price": "about a hundred", "state": "open"}]),
     ]
-    collectors, table, rows, *_, contracts = observed(spark, runs, HEALTHY, invariants=json.dumps(rules))
+    given = {"c-": {"runs": runs, "healthy": HEALTHY, "rules": rules}, "d-": {"runs": [("few", [{"price": 10**6}])], "healthy": HEALTHY[:2]}}
+    collectors, table, rows, *_, contracts = observed(spark, given)
     found = {}
     for r in observe.checks(collectors, table, rows, contracts).collect():
-        found.setdefault(r["run_id"], {}).setdefault((r["check_id"], r["status"]), r["n"])
+        found.setdefault(r["run_id"][2:], {}).setdefault((r["check_id"], r["status"]), r["n"])
     bad = {run: {c for c, s in own if s in ("fail", "warn")} for run, own in found.items()}
     assert bad["ok"] == set() and found["none"] == {("structure:empty_result", "fail"): 1}
     assert bad["error"] == {"structure:collector_error", "structure:required:price", "structure:required:state", "invariant:required:state"}
@@ -91,55 +95,49 @@ def test_checks_of_many_runs(spark):
     assert bad["null"] == {"structure:required:price", "structure:required:state", "invariant:required:state", "learned:enum:state", "learned:shape:state", "invariant:enum:state"}
     assert bad["rules"] == {"invariant:range:price", "invariant:compare:price", "invariant:enum:state", "invariant:host:link", "invariant:currency:cost", "invariant:unique:id", "learned:numeric:price", "learned:enum:state", "learned:shape:state"}
     assert bad["type"] == {"learned:type:price"} and found["ok"]["invariant:unique:id", "unknown"] == 1 and found["rules"]["invariant:compare:price", "unknown"] == 1
-    fields = {r["path"]: r for r in contracts.fields.collect()}
+    # two runs teach too little for learned checks, but tell what is required
+    assert found["few"] == {("structure:required:price", "pass"): 1, ("structure:required:state", "fail"): 1, ("learned:insufficient_baseline", "unknown"): 1, ("learned:row_count", "pass"): 1}
+    fields = {r["path"]: r for r in contracts.fields.filter("collector_id = 'c-'").collect()}
     assert fields["price"]["med"] == 103.5 and fields["price"]["required"] and fields["state"]["required"] and not fields["tags.[]"]["required"] and fields["price"]["kinds"] == {"number": 8}
 
 
-def test_too_few_runs_teach_nothing(spark):
-    collectors, table, rows, *_, contracts = observed(spark, [("r", [{"price": 10**6}])], HEALTHY[:2])
-    found = {r["check_id"]: r["status"] for r in observe.checks(collectors, table, rows, contracts).collect()}
-    assert found == {"structure:required:price": "pass", "structure:required:state": "fail", "learned:insufficient_baseline": "unknown", "learned:row_count": "pass"}
-    header = contracts.headers.first()
-    assert header["runs"] == 2 and header["confidence"] == pytest.approx(1 - 5 / 6)
-
-
-def test_verdicts_without_a_contract(spark):
-    """Nothing is learned: the second reading decides, also where every check passes."""
-    runs = [("same", [{"price": 100}]), ("other", [{"price": 25}]), ("unseen", [{"price": 100}]), ("blank", [{"price": 100}])]
-    given = observed(spark, runs, [], [("same", 0), ("other", 1), ("blank", 3)], [("same", "price", "$100", 0.9), ("other", "price", "$100", 0.9), ("other", "price", "7", 0.2)])
-    found = {r["run_id"]: r for r in observe.observe(*given).collect()}
+def test_verdicts_incidents_and_feed(spark):
+    """a-: nothing is learned, so the second reading decides. b-: it did not read the field that fails. c-: runs that fail and recover."""
+    given = {
+        "a-": {
+            "runs": [("same", [{"price": 100}]), ("other", [{"price": 25}]), ("unseen", [{"price": 100}]), ("blank", [{"price": 100}])],
+            "seen": [("same", 0), ("other", 1), ("blank", 3)],
+            "read": [("same", "price", "$100", 0.9), ("other", "price", "$100", 0.9), ("other", "price", "7", 0.2)],
+        },
+        "b-": {"runs": [("r", [{"price": 101}])], "healthy": HEALTHY, "seen": [("r", 0)], "read": [("r", "price", "101", 0.9)]},
+        "c-": {"runs": [("r1", [{"price": 101, "state": "open"}]), ("r2", []), ("r3", [{"price": 102, "state": "open"}]), ("r4", [])], "healthy": HEALTHY, "seen": [("r2", 1), ("r4", 3)]},
+    }
+    tables = observed(spark, given)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    observed_runs = observe.observe(*tables)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs, "a plan is built without reading anything"
+    observed_runs = kept(observed_runs)
+    found = {r["run_id"]: r for r in observed_runs.collect()}
     assert {k: (r["verdict"], r["publishable"], r["confirmed_by"]) for k, r in found.items()} == {
-        "same": ("healthy", True, "two_sensors"),
-        "other": ("extractor_drift", False, "contract_only"),
-        "unseen": ("inconclusive", False, "contract_only"),
-        "blank": ("healthy", True, "contract_only"),
+        "a-same": ("healthy", True, "two_sensors"),
+        "a-other": ("extractor_drift", False, "contract_only"),
+        "a-unseen": ("inconclusive", False, "contract_only"),
+        "a-blank": ("healthy", True, "contract_only"),
+        "b-r": ("inconclusive", False, "two_sensors"),
+        "c-r1": ("healthy", True, "contract_only"),
+        "c-r2": ("explicit_failure", False, "contract_only"),
+        "c-r3": ("healthy", True, "contract_only"),
+        "c-r4": ("explicit_failure", False, "contract_only"),
     }
-    assert found["other"]["affected"] == ["price"] and found["other"]["verdict_confidence"] == pytest.approx(0.5)
-
-
-def test_a_field_nobody_read_is_not_explained(spark):
-    """The second reading agrees about the price; the state that fails was not read."""
-    given = observed(spark, [("r", [{"price": 101}])], HEALTHY, [("r", 0)], [("r", "price", "101", 0.9)])
-    row = observe.observe(*given).first()
-    assert row["verdict"] == "inconclusive" and row["verdict_confidence"] == 0.35 and row["affected"] == ["state"] and row["worst"][0]["check_id"] == "structure:required:state"
-
-
-def test_feed_after_runs(spark):
-    runs = [("r1", [{"price": 101, "state": "open"}]), ("r2", []), ("r3", [{"price": 102, "state": "open"}]), ("r4", [])]
-    given = observed(spark, runs, HEALTHY, [("r2", 1), ("r4", 3)])
-    found = observe.observe(*given)
-    incidents = {r["incident_id"]: r for r in observe.incidents(found).collect()}
-    assert incidents.keys() == {"r2", "r4"} and incidents["r2"]["resolved_at"] == AT + datetime.timedelta(hours=2) and incidents["r4"]["resolved_at"] is None
-    feed = observe.served(found, given[2], F.lit("2026-05-01 04:00:00").cast("timestamp")).collect()
-    assert [(r["status"], json.loads(r["data"])["price"], r["incident_id"]) for r in feed] == [("quarantined", 102, "r4")]
-
-
-def test_no_action_while_a_plan_is_built(spark):
-    """Observing reads nothing before its result is asked for."""
-    given = observed(spark, [("r", [{"price": 1}])], HEALTHY)
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    observe.served(observe.observe(*given), given[2], F.current_timestamp())
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert found["a-other"]["affected"] == ["price"] and found["a-other"]["verdict_confidence"] == pytest.approx(0.5)
+    about = found["b-r"]
+    assert about["verdict_confidence"] == 0.35 and about["affected"] == ["state"] and about["worst"][0]["check_id"] == "structure:required:state"
+    incidents = {r["incident_id"]: r for r in observe.incidents(observed_runs).collect()}
+    assert incidents["c-r2"]["resolved_at"] == AT + datetime.timedelta(hours=2) and incidents["c-r4"]["resolved_at"] is None and "c-r1" not in incidents
+    feed = {r["collector_id"]: r for r in observe.served(observed_runs, tables[2], F.lit("2026-05-01 04:00:00").cast("timestamp")).collect()}
+    assert {c: (r["status"], r["data"] and json.loads(r["data"])["price"], r["incident_id"]) for c, r in feed.items()} == {
+        "a-": ("verified", 100, None), "b-": ("unavailable", None, "b-r"), "c-": ("quarantined", 102, "c-r4"),
+    }
 
 
 def test_recovered_is_the_next_run_only(spark):
@@ -196,40 +194,39 @@ def test_adjudication(spark):
 DAY = "18 September 2026"
 
 
-def repaired(spark, answers, expected=DAY, shape="date", anchor=True, protected=()):
-    """One repair whose candidate gave these rows by page (incident, anchor)."""
-    cases = [("p", "incident", "incident", "i")] + ([("p", "anchor", "anchor", "a")] if anchor else [])
-    pins = [("p", "incident", "day", expected, None)] + ([("p", "anchor", "day", "TOKEN-1", expected)] if anchor else [])
-    rows = [("p", url, 0, json.dumps(row)) for url, row in answers.items()]
+ISO = "2026-09-18T00:00:00.000Z"
+TOKEN = {"day": "TOKEN-1"}
+#: By name: what the candidate gave on the incident and the anchor page, the shape of the day, protected fields, reasons.
+TRIED = {
+    "right": ({"i": {"day": DAY}, "a": TOKEN}, "date", [], []),
+    "position": ({"i": {"day": DAY}, "a": {"day": DAY}}, "date", [], ["anchor: followed the decoy: reads a position"]),
+    "something": ({"i": {"day": DAY}, "a": {"day": "Applications are open"}}, "date", [], ["anchor: did not give the token: not shown to read the label"]),
+    "never ran": ({"i": {"day": DAY}}, "date", [], ["anchor: was never run"]),
+    "same day": ({"i": {"day": ISO}, "a": TOKEN}, "date", [], []),
+    "no day": ({"i": {"day": ISO}, "a": TOKEN}, None, [], ["incident: wrong day"]),
+    "wrong day": ({"i": {"day": "2026-09-01"}, "a": TOKEN}, "date", [], ["incident: wrong day"]),
+    "nothing": ({"i": {"day": None}, "a": TOKEN}, "date", ["day"], ["incident: protected day is missing", "incident: wrong day"]),
+    "no row": ({"i": None, "a": TOKEN}, "date", ["day"], ["incident: gave no row"]),
+    "error": ({"i": {"error": "blocked"}, "a": TOKEN}, "date", [], ["incident: blocked", "incident: fails structure:collector_error"]),
+}
+
+
+def test_repairs(spark):
+    """An anchor tells a label from a position; dates are days; what never ran, failed or is missing blocks a repair."""
+    cases = [(p, label, label, url) for p in TRIED for label, url in (("incident", "i"), ("anchor", "a"))]
+    pins = [x for p in TRIED for x in ((p, "incident", "day", DAY, None), (p, "anchor", "day", "TOKEN-1", DAY))]
     given = gate.Repairs(
-        spark.createDataFrame([("p", "c")], "repair_id string, collector_id string"),
+        spark.createDataFrame([(p, p) for p in TRIED], "repair_id string, collector_id string"),
         spark.createDataFrame(cases, "repair_id string, label string, kind string, url string"),
         spark.createDataFrame(pins, "repair_id string, label string, path string, value string, decoy string"),
-        spark.createDataFrame([("p", url) for url in answers], "repair_id string, url string"),
-        spark.createDataFrame(rows, "repair_id string, url string, row_no int, j string").select("repair_id", "url", "row_no", F.parse_json("j").alias("row")),
+        spark.createDataFrame([(p, url) for p, (pages, *_) in TRIED.items() for url in pages], "repair_id string, url string"),
+        spark.createDataFrame([(p, url, 0, json.dumps(row)) for p, (pages, *_) in TRIED.items() for url, row in pages.items() if row], "repair_id string, url string, row_no int, j string").select("repair_id", "url", "row_no", F.parse_json("j").alias("row")),
     )
-    collectors, *_, contracts = observed(spark, [], [], specs=json.dumps([{"path": "day", "shape": shape}]), protected=protected)
-    return gate.judge_repairs(given, collectors, contracts).first(), given, collectors
-
-
-def test_anchor_tells_a_label_from_a_position(spark):
-    assert repaired(spark, {"i": {"day": DAY}, "a": {"day": "TOKEN-1"}})[0]["approved"]
-    position, given, collectors = repaired(spark, {"i": {"day": DAY}, "a": {"day": DAY}})
-    assert not position["approved"] and "reads a position" in position["reasons"][0]
-    text = gate.matrix(gate.judge_cases(given, collectors)).first()["text"]
-    assert [line.split()[:2] for line in text.splitlines()] == [["PASS", "incident"], ["FAIL", "anchor"]]
-    other = repaired(spark, {"i": {"day": DAY}, "a": {"day": "Applications are open"}})[0]
-    assert not other["approved"] and "not shown to read" in other["reasons"][0]
-    assert repaired(spark, {"i": {"day": DAY}})[0]["reasons"] == ["anchor: was never run"]
-    assert repaired(spark, {"i": {"day": DAY}}, anchor=False)[0]["approved"]
-
-
-def test_dates_are_days(spark):
-    iso = "2026-09-18T00:00:00.000Z"
-    assert repaired(spark, {"i": {"day": iso}}, anchor=False)[0]["approved"]
-    assert not repaired(spark, {"i": {"day": iso}}, anchor=False, shape=None)[0]["approved"]
-    assert repaired(spark, {"i": {"day": "2026-09-01"}}, anchor=False)[0]["reasons"] == ["incident: wrong day"]
-    assert repaired(spark, {"i": {"day": None}}, anchor=False, protected=["day"])[0]["reasons"] == ["incident: protected day is missing", "incident: wrong day"]
+    collectors, *_, contracts = observed(spark, {p: {"specs": [{"path": "day", "shape": shape}], "protected": protected} for p, (_, shape, protected, _) in TRIED.items()})
+    found = {r["repair_id"]: (r["approved"], r["reasons"]) for r in gate.judge_repairs(given, collectors, contracts).collect()}
+    assert found == {p: (not reasons, reasons) for p, (*_, reasons) in TRIED.items()}
+    texts = {r["repair_id"]: r["text"] for r in gate.matrix(gate.judge_cases(given, collectors)).collect()}
+    assert [line.split()[:2] for line in texts["position"].splitlines()] == [["PASS", "incident"], ["FAIL", "anchor"]]
 
 
 def test_drift_score_of_the_six_readings(spark):
