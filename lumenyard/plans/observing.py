@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenyard.operators import gate, markup, observe, paths
 from lumenyard.plans.registry import register
-from lumenyard.sources.tables import kept, table
+from lumenyard.sources.tables import table
 
 
 def _observed(spark, sf):
@@ -46,7 +46,7 @@ def _observed(spark, sf):
     field = lambda path, value: F.struct(F.lit(path).alias("path"), value.alias("value"), sure.alias("confidence"))
     readings = odd.select("run_id", F.explode(F.array(field("price", seen), field("status", status))).alias("r")).select("run_id", "r.*").filter("value is not null")
     rows = row(odd)
-    return observe.observe(collectors, odd.select(*runs), rows, sightings, readings, contracts), rows
+    return observe.observe(collectors, odd.select(*runs), rows, sightings, readings, contracts)
 
 
 _OBSERVED = """base AS (SELECT o_orderpriority AS c, round(o_totalprice)::BIGINT AS p FROM orders WHERE o_orderkey % 2 = 0),
@@ -70,27 +70,10 @@ _OBSERVED = """base AS (SELECT o_orderpriority AS c, round(o_totalprice)::BIGINT
 )
 def v16_observe(spark, sf):
     """Every odd order as a run: its verdict, what it is about, and the gravest of its failed checks."""
-    found, _ = _observed(spark, sf)
+    found = _observed(spark, sf)
     return found.select("run_id", "verdict", F.col("verdict_confidence").alias("confidence"), "publishable", F.array_join("affected", ",").alias("affected"), F.get("worst.check_id", F.lit(0)).alias("gravest"))
 
 
-@register(
-    "v16_served",
-    f"""WITH {_OBSERVED},
-    keyed AS (SELECT *, max(seen_at) FILTER (publishable) OVER (PARTITION BY c, url) AS last_good FROM observed),
-    good AS (SELECT c, url, last_good FROM keyed GROUP BY ALL),
-    bad AS (SELECT c, url, arg_max(run_id, (seen_at, run_id)) AS incident_id FROM keyed WHERE NOT publishable AND (last_good IS NULL OR last_good <= seen_at) GROUP BY 1, 2)
-    SELECT c AS collector_id, url, CASE WHEN last_good IS NULL THEN 'unavailable' WHEN incident_id IS NOT NULL THEN 'quarantined' WHEN last_good < TIMESTAMP '1997-01-01 00:00:00' - INTERVAL 24 HOUR THEN 'stale' ELSE 'verified' END AS status, incident_id
-    FROM good LEFT JOIN bad USING (c, url)""",
-)
-def v16_served(spark, sf):
-    """What a consumer of every priority and customer gets after all runs."""
-    found, rows = _observed(spark, sf)
-    found = kept(found)  # the table of observed runs, which the feed reads several times
-    feed = observe.served(found, rows, F.lit("1997-01-01 00:00:00").cast("timestamp"))
-    return feed.select("collector_id", "url", "status", "incident_id")
-
-
 @register(
     "p01_leaf_paths",
     """WITH r AS (SELECT event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (props->>'$.k')::BIGINT END AS k, event_id % 3 AS n FROM events)
