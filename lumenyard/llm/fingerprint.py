@@ -3,7 +3,9 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and where none lies below it
 the smallest hash, so only a text without words has an empty one. Both are properties of the set of
 hashes: the sketch of several texts together is found from their sketches (merged), and what two sketches
-share tells how much of either text lies in the other, however unequal they are.
+share tells how much of either text lies in the other, however unequal they are. A hash that was kept for
+being the smallest need not be in the sketch of a text that holds all of this one, so it counts for
+resemblance only: how much of a text without a hash below the fraction lies in another is not known (null).
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenyard.functions.text import let
+from lumenyard.llm.shared import written
 
 SHINGLE = 5  # words
 FRACTION = 4  # one hash in so many is kept
 RANGE_ROWS = 4000  # documents in one range of ids, about
-RANGES = 1 << 14  # at most; larger ranges spill while they are sorted
-LEAST = -(1 << 63)
-CUTOFF = LEAST + (1 << 64) // FRACTION
+RANGES = 1 << 17  # at most, 500 million documents; beyond it ranges hold more rows and spill while they are sorted
+CUTOFF = (1 << 64) // FRACTION - (1 << 63)
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -54,23 +56,29 @@ def merged(*sketches: Column) -> Column:
     return let(F.concat(*sketches), scaled)
 
 
+def told(sk: Column) -> Column:
+    """How many hashes of a sketch lie below the fraction: all but one that is there for being the smallest."""
+    return F.when(F.get(sk, F.lit(0)) < F.lit(CUTOFF), F.size(sk)).otherwise(0)
+
+
 def compared(a: Column, b: Column) -> Column:
     """resemblance (shared among all hashes) and containment (shared among those of the smaller), both 0 to 1.
 
-    Equal sketches give 1, also empty ones; an empty one has nothing in common with any other.
+    Equal sketches give 1, also empty ones; an empty one has nothing in common with any other. Containment of
+    sketches that are not equal is null where one of them has no hash below the fraction.
     """
     one = F.struct(F.lit(1.0).alias("resemblance"), F.lit(1.0).alias("containment"))
 
     def measures(both: Column) -> Column:
-        ratio = lambda d: F.when(d > 0, both / d).otherwise(F.lit(0.0))
-        return F.struct(ratio(F.size(a) + F.size(b) - both).alias("resemblance"), ratio(F.least(F.size(a), F.size(b))).alias("containment"))
+        union = F.size(a) + F.size(b) - both
+        return F.struct(F.when(union > 0, both / union).otherwise(0.0).alias("resemblance"), (both / F.nullif(F.least(told(a), told(b)), F.lit(0))).alias("containment"))
 
     return F.when(a == b, one).otherwise(let(F.size(F.array_intersect(a, b)), measures))
 
 
 def contained(a: Column, b: Column) -> Column:
-    """The share of a's text that lies in b's, by their sketches; null if a's text has no words."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
+    """The share of a's text that lies in b's, by their sketches; null if a's has no hash below the fraction."""
+    return F.size(F.array_intersect(F.filter(a, lambda h: h < F.lit(CUTOFF)), b)) / F.nullif(told(a), F.lit(0))
 
 
 def hexed(sk: Column) -> Column:
@@ -83,68 +91,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fp", sketch(F.col("text")))
 
 
-def _bounds(docs: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]]:
-    """Parts for null ids, and ids that cut the others into ranges of about so many rows, each with how many such
-    ranges the id's own rows would fill."""
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"))
-    sums = ids.agg(F.count("id").alias("own"), F.count_if(F.col("id").isNull()).alias("none")).first()
-    n = min(RANGES, -(-sums["own"] // rows))
-    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] if n > 1 else []
-    parts: dict[int, int] = {}
-    for c in cuts:
-        parts[c] = parts.get(c, 0) + 1
-    return min(RANGES, -(-sums["none"] // rows)), sorted(parts.items())
-
-
-def _range_of(doc_id: Column, tie: Column, none: int, bounds: list[tuple[int, int]]) -> Column:
-    """The number of a row's range. Ranges follow doc_id, null first, and within one id that fills several, the tie."""
-    unit = lambda parts: F.least(parts - 1, F.floor((tie / F.lit(float(1 << 64)) + 0.5) * parts)).cast("int")
-    number, cells = 0, [(LEAST, 1, 0)]  # id, its parts, number of the first of them; what follows the id comes after
-    for c, parts in bounds:
-        number += 1 if cells[-1][1] == 1 else cells[-1][1] + 1
-        cells.append((c, parts, number))
-    step = max(1, int(len(cells) ** 0.5))
-    blocks = [cells[i : i + step] for i in range(0, len(cells), step)]
-    heads = F.array(*(F.lit(b[0][0]).cast("bigint") for b in blocks))
-    nested = F.array(*(F.array(*(F.struct(F.lit(c).cast("bigint").alias("id"), F.lit(p).alias("parts"), F.lit(n).alias("number")) for c, p, n in b)) for b in blocks))
-    last = lambda xs, at: F.element_at(F.filter(xs, lambda x: at(x) <= doc_id), -1)
-    block = F.get(nested, F.size(F.filter(heads, lambda h: h <= doc_id)) - 1)
-
-    def within(x: Column) -> Column:
-        one, own = x["parts"] == 1, doc_id == x["id"]
-        return x["number"] + F.when(one, 0).when(own, unit(x["parts"])).otherwise(x["parts"])
-
-    found = let(last(block, lambda x: x["id"]), within)
-    return F.when(doc_id.isNull(), unit(F.lit(max(1, none))) - max(1, none)).otherwise(found)
+def _place(docs: DataFrame) -> DataFrame:
+    """docs with __place, by which rows are ordered: null ids, then ascending doc_id, then the text's hash."""
+    key = F.col("doc_id").cast("bigint")
+    return docs.withColumn("__place", F.struct(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64("text").alias("tie")))
+
+
+def _firsts(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """One row, written: the places (firsts) at which ranges of about so many rows begin, in order, and their number
+    (ranges). The second result is a bound of that number and at most RANGES."""
+    n = max(1, min(RANGES, -(-docs.count() // rows)))
+    dealt = _place(docs).select("__place").repartitionByRange(n, "__place")
+    least = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min("__place").alias("first"))
+    return written(least.agg(F.array_sort(F.collect_list("first")).alias("firsts")).withColumn("ranges", F.size("firsts"))), n
 
 
 def with_next(docs: DataFrame, columns: list[str], add=lambda rows: rows, rows: int = RANGE_ROWS) -> DataFrame:
     """docs with next_<column> of the row that follows by ascending doc_id; the first follows the last.
 
     Rows are dealt by ranges of ids, and each range also gets the first row of the one after, so no task
-    sees all rows. add() may give the rows further columns once they are dealt, so that these are not
-    shuffled. Null ids come first; rows of one id are ordered by their text's hash. Columns of docs
-    named next_<column> are replaced.
+    sees all rows. Where ranges begin is a table of at most RANGES places that the plan refers to, so the plan
+    grows by one step as they double. add() may give the rows further columns once they are dealt, so that these
+    are not shuffled. Null ids come first; rows of one id are ordered by their text's hash. Columns of docs
+    named next_<column> are replaced; docs has no column named __place, __range, __copy or __at.
     """
-    none, bounds = _bounds(docs, rows)
-    key = F.col("doc_id").cast("bigint")
-    base = docs.withColumn("__tie", F.xxhash64("text"))
-    base = base.withColumn("__range", _range_of(key, F.col("__tie"), none, bounds))
-    place = F.struct(key.isNotNull().alias("known"), key.alias("id"), F.col("__tie").alias("tie"))
-    least = {r["__range"]: r["least"] for r in base.groupBy("__range").agg(F.min(place).alias("least")).collect()}
-    order = sorted(least)
-    if not order:
-        return add(docs).withColumns({f"next_{c}": F.col(c) for c in columns})
-    home = F.struct(F.col("__range").alias("range"), F.lit(0).alias("copy"))
-    before = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, order[i - 1])))
-    heads = F.create_map(*(x for r in order for x in (F.lit(r), F.struct(F.lit(least[r]["known"]).alias("known"), F.lit(least[r]["id"]).cast("bigint").alias("id"), F.lit(least[r]["tie"]).cast("bigint").alias("tie")))))
-    first = place.eqNullSafe(F.try_element_at(heads, F.col("__range")))
-    copy = F.struct(F.try_element_at(before, F.col("__range")).alias("range"), F.when(F.col("__range") == order[0], 2).otherwise(1).alias("copy"))
-    dealt = base.withColumn("__at", F.explode(F.when(first, F.array(home, copy)).otherwise(F.array(home))))
-    dealt = add(dealt.select(*docs.columns, "__tie", F.col("__at.range").alias("__range"), F.col("__at.copy").alias("__copy")).repartition("__range"))
-    window = Window.partitionBy("__range").orderBy("__copy", key.asc_nulls_first(), "__tie")
-    found = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
-    return found.filter("__copy = 0").drop("__range", "__tie", "__copy")
+    table, most = _firsts(docs, rows)
+    firsts, ranges = table.select("firsts").scalar(), table.select("ranges").scalar()
+    begins = lambda at: F.get(firsts, at)
+    number, base = F.col("__at"), _place(docs).withColumn("__at", F.lit(0))
+    for bit in reversed(range((most - 1).bit_length())):  # a binary search for the last range that begins at or before the row
+        base = base.withColumn("__at", number + F.when(begins(number + (1 << bit)) <= F.col("__place"), 1 << bit).otherwise(0))
+    home = F.struct(number.alias("range"), F.lit(0).alias("copy"))
+    before = F.struct(F.when(number == 0, ranges - 1).otherwise(number - 1).alias("range"), F.when(number == 0, 2).otherwise(1).alias("copy"))
+    dealt = base.withColumn("__at", F.explode(F.when(begins(number) == F.col("__place"), F.array(home, before)).otherwise(F.array(home))))
+    dealt = dealt.select(*docs.columns, "__place", F.col("__at.range").alias("__range"), F.col("__at.copy").alias("__copy"))
+    window = Window.partitionBy("__range").orderBy("__copy", "__place")
+    led = add(dealt.repartition("__range")).withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
+    return led.filter("__copy = 0").drop("__range", "__place", "__copy")
 
 
 def edited(text: Column, after: Column) -> Column:

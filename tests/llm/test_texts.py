@@ -244,6 +244,27 @@ def test_merged_sketches_and_containment(spark):
     assert found["within"] == found["pair"]["containment"] == 1 and found["back"] < 0.05 and found["nothing"] is None
 
 
+def test_containment_of_short_texts_is_whole_or_not_known(spark):
+    draw = random.Random(3)
+    words = [f"w{draw.randint(0, 10**6)}" for _ in range(500)]
+    rows = [(n, " ".join(words[at : at + n]), " ".join(words)) for n in range(1, 21) for at in range(0, 480, 24)]
+    df = spark.createDataFrame(rows, "n int, short string, long string")
+    a, b = fingerprint.sketch(F.col("short")), fingerprint.sketch(F.col("long"))
+    found = df.select("n", "short", fingerprint.contained(a, b).alias("within"), fingerprint.compared(a, b)["containment"].alias("pair")).collect()
+    for r in found:
+        below = any(h < fingerprint.CUTOFF for h in sketch(r["short"]))
+        assert r["within"] == r["pair"] == (1.0 if below and r["n"] > 4 else 0.0 if below else None)
+    assert {1.0, None} <= {r["within"] for r in found if r["n"] == 6}
+
+
+def test_plan_grows_by_one_step_as_ranges_double(spark):
+    df = spark.range(640).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    steps = [fingerprint.with_next(df, ["text"], rows=n)._jdf.queryExecution().analyzed().toString().count("\n") for n in (320, 160, 10)]
+    assert steps[1] - steps[0] == 1 and steps[2] - steps[0] == 5
+    found = fingerprint.with_next(df, ["text"], rows=10).select("doc_id", F.col("next_text").cast("bigint").alias("n"))
+    assert found.filter("n = (doc_id + 1) % 640").count() == found.count() == 640
+
+
 def test_next_documents_where_one_id_fills_many_ranges(spark):
     draw = random.Random(4)
     rows = [(draw.choice([None, 7, 7, i]), f"text {draw.randint(0, 60)}") for i in range(400)]
