@@ -1,9 +1,9 @@
 """Every query of the library; importing this module registers them."""
 
-from lumenyard.plans import analytics, observing, opportunities, streams, texts, verification
+from lumenyard.plans import analytics, observing, opportunities, projecting, streams, texts, verification
 from lumenyard.plans.registry import ORACLES, QUERIES
 
-MODULES = [analytics, observing, opportunities, streams, texts, verification]
+MODULES = [analytics, observing, opportunities, projecting, streams, texts, verification]
 
 
 def queries():
