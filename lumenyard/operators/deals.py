@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenyard.functions import numbers
-from lumenyard.operators.paths import leaves
+from lumenyard.operators.paths import value_at
 
 # What fields are called that hold a price, and a name.
 PRICE, TITLE = "(?i)price|cost|amount", "(?i)title|name|product"
@@ -30,13 +30,13 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     A path with [] reads the first item. A title must be a text; a price may be one.
     """
-    at = lambda path: F.get(F.filter("__leaves", lambda x: x["path"] == path), F.lit(0))
-    out = rows.withColumn("__leaves", leaves(F.col("row"))).withColumns({"__price": at(F.col("price_path")), "__title": at(F.col("title_path"))})
-    money = numbers.money(F.col("__price.text"))
-    price = F.coalesce(F.col("__price.number"), F.when(F.col("__price.kind") == "string", money["value"]))
-    currency = F.coalesce(F.when(F.col("__price.kind") == "string", money["currency"]), F.upper("hint"))
-    out = out.withColumns({"title": F.when(F.col("__title.kind") == "string", F.col("__title.text")), "price": price, "currency": F.when(price.isNotNull(), currency)})
-    return out.drop("__leaves", "__price", "__title")
+    out = rows.withColumns({"__price": value_at(F.col("row"), F.col("price_path")), "__title": value_at(F.col("row"), F.col("title_path"))})
+    text = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+    number = F.when(~F.schema_of_variant("__price").isin("STRING", "BOOLEAN"), F.try_variant_get("__price", "$", "double"))
+    out = out.withColumns({"title": text(F.col("__title")), "__number": number, "__text": text(F.col("__price"))}).withColumn("__money", numbers.money(F.col("__text")))
+    price = F.coalesce("__number", F.col("__money.value"))
+    out = out.withColumns({"price": price, "currency": F.when(price.isNotNull(), F.coalesce(F.col("__money.currency"), F.upper("hint")))})
+    return out.drop("__price", "__title", "__number", "__text", "__money")
 
 
 def compare_deals(raw: DataFrame, stood_for: DataFrame, group: str, key: str) -> DataFrame:
@@ -46,9 +46,8 @@ def compare_deals(raw: DataFrame, stood_for: DataFrame, group: str, key: str) ->
     naive is the least number of raw, whatever its currency. verified is the cheapest of stood_for if all are
     in one currency (unknown counts as one), else null: there is no rate to compare by. Equal prices: least key.
     """
-    offers = lambda df, side: df.filter("price > 0").select(group, key, "title", "price", "currency", F.lit(side).alias("side"))
-    groups = [df.select(group, *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in (key, "title", "price", "currency")), F.lit("none").alias("side")).distinct() for df in (raw, stood_for)]
-    rows = offers(raw, "raw").unionByName(offers(stood_for, "stood")).unionByName(groups[0]).unionByName(groups[1])
+    of_side = lambda df, side: df.select(group, key, "title", "price", "currency", F.when(F.col("price") > 0, side).alias("side"))
+    rows = of_side(raw, "raw").unionByName(of_side(stood_for, "stood"))
     of = lambda side, c: F.when(F.col("side") == side, c)
     cheapest = lambda side: F.min_by(F.struct(key, "title", "price", "currency"), of(side, F.struct("price", key)))
     some = lambda side: F.count_if(F.col("side") == side) > 0

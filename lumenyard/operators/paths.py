@@ -44,6 +44,12 @@ def _leaf(entry: Column) -> Column:
     return F.struct(deep.alias("path"), kind.alias("kind"), text.alias("text"), F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"))
 
 
+def value_at(row: Column, path: Column) -> Column:
+    """The value at a dotted path, which may differ from row to row; of an array ([]) the first item; null if there is none."""
+    step = lambda v, name: F.when(name == "[]", F.get(_items(v), F.lit(0))).otherwise(F.try_element_at(_members(v), name))
+    return F.aggregate(F.split(path, "[.]"), row, step)
+
+
 def leaves(row: Column, depth: int = DEPTH) -> Column:
     """array<struct<path, kind, text, number>> of a variant: kind is string, number, boolean, null or array.
 

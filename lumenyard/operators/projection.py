@@ -56,7 +56,7 @@ def _string(row: Column, name: str) -> Column:
 
 def text_of(row: Column, *names: str) -> Column:
     """The first of a variant's members that is a text and not blank; wrongly decoded text is mended."""
-    return unscrambled(F.coalesce(*(_string(row, n) for n in names)))
+    return let(F.coalesce(*(_string(row, n) for n in names)), unscrambled)
 
 
 def number_of(row: Column, *names: str) -> Column:
@@ -83,9 +83,9 @@ def list_of(row: Column, *names: str) -> Column:
     return F.coalesce(*(c for n in names for c in (items(n), as_list(_string(row, n)))), _empty())
 
 
-def address_of(row: Column, *names: str) -> Column:
-    """The first filled member if it is an absolute address, else null."""
-    return let(text_of(row, *names), lambda t: F.when(F.rlike(t, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#\\s]+|[^/\\s])\\S*$")), t))
+def address(text: Column) -> Column:
+    """A text that is an absolute address, else null."""
+    return F.when(F.rlike(text, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#\\s]+|[^/\\s])\\S*$")), text)
 
 
 def is_fixture(collector_id: Column, name: Column, domain: Column, lab: str | None = None) -> Column:
@@ -129,12 +129,13 @@ def from_snapshots(snapshots: DataFrame, collectors: DataFrame, incidents: DataF
     rows = first_open(rows, incidents, ["verdict", "fields"]).withColumn("row", F.explode("data"))
     get = lambda read, name: read(F.col("row"), *NAMES[name])
     inner = F.try_variant_get("row", "$.funding", "variant")
-    nested = lambda read, name: read(F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner), name)
-    rows = rows.withColumns({"title": get(text_of, "title"), "provider": get(text_of, "provider"), "given": get(text_of, "type")})
-    rows = rows.withColumn("type", type_of(F.col("given"), F.col("title"))).filter("title is not null and provider is not null and type is not null")
-    rows = rows.withColumns({"summary": F.coalesce(get(text_of, "summary"), F.lit("")), "coverage": F.array_union(get(list_of, "coverage"), nested(list_of, "coverage")), "deadline": parse_deadline(get(text_of, "deadline")), "deadline_raw": get(text_of, "deadline_raw")})
+    texts = {n: get(text_of, n) for n in ("title", "provider", "apply", "type", "currency", "deadline", "deadline_raw", "state", "summary")}
+    rows = rows.withColumns(texts | {"level": text_of(F.col("row"), "funding_level"), "inner": F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner)})
+    rows = rows.withColumn("type", type_of(F.col("type"), F.col("title"))).filter("title is not null and provider is not null and type is not null")
+    nested = lambda read, name: read(F.col("inner"), name)
+    rows = rows.withColumns({"summary": F.coalesce("summary", F.lit("")), "coverage": F.array_union(get(list_of, "coverage"), nested(list_of, "coverage")), "dates": F.transform(F.array("deadline", F.coalesce("deadline_raw", "deadline")), parse_deadline)})
     held = F.col("incident_id").isNotNull()
-    prose = F.concat_ws(" ", text_of(F.col("row"), "funding_level"), F.array_join("coverage", " "), F.col("summary"))
+    prose = F.concat_ws(" ", "level", F.array_join("coverage", " "), "summary")
     return rows.select(
         F.left(F.sha2(F.concat_ws(":", "collector_id", "url", "title", "provider"), 256), F.lit(18)).alias("id"),
         F.col("collector_id").cast("string").alias("source_id"),
@@ -146,16 +147,16 @@ def from_snapshots(snapshots: DataFrame, collectors: DataFrame, incidents: DataF
         get(list_of, "eligibility").alias("eligibility"),
         get(list_of, "interests").alias("interests"),
         F.coalesce(get(number_of, "amount"), nested(number_of, "amount")).alias("amount"),
-        F.upper(F.coalesce(get(text_of, "currency"), nested(text_of, "currency"))).alias("currency"),
+        F.upper(F.coalesce("currency", nested(text_of, "currency"))).alias("currency"),
         "coverage",
         opportunity.funding_level(prose, F.col("coverage")).alias("funding"),
-        "deadline",
+        F.col("dates")[0].alias("deadline"),
         "deadline_raw",
-        opportunity.lifecycle(get(text_of, "state"), _none(), F.coalesce("deadline_raw", F.col("deadline").cast("string")), _none(), now).alias("status"),
+        opportunity.lifecycle(F.col("state"), _none(), F.coalesce("deadline_raw", "deadline"), _none(), now, F.col("dates")[1]).alias("status"),
         get(list_of, "locations").alias("locations"),
         get(flag_of, "remote").alias("remote"),
         get(list_of, "documents").alias("documents"),
-        F.coalesce(get(address_of, "apply"), F.col("url")).alias("application_url"),
+        F.coalesce(address(F.col("apply")), F.col("url")).alias("application_url"),
         trust_of(held, F.col("verified_at"), F.col("fresh_minutes"), F.col("confirmed_by"), now).alias("trust"),
         "confirmed_by",
         F.to_timestamp("verified_at").alias("verified_at"),
@@ -178,6 +179,7 @@ def from_drafts(drafts: DataFrame, now: Column) -> DataFrame:
     one that they contradict the deadline is disputed. A type that is none counts as a scholarship.
     """
     rows = drafts.filter(publishable(F.col("title"), F.col("source_url"))).withColumn("deadline_raw", F.coalesce("deadline_raw", scan_for_deadline(F.col("summary"))))
+    rows = rows.withColumn("due", parse_deadline(F.col("deadline_raw")))
     money = numbers.funding_amount(F.col("funding"))
     missing = F.coalesce("missing", _empty())
     return rows.select(
@@ -194,9 +196,9 @@ def from_drafts(drafts: DataFrame, now: Column) -> DataFrame:
         money["currency"].alias("currency"),
         _empty().alias("coverage"),
         opportunity.funding_level(F.col("funding"), _empty()).alias("funding"),
-        parse_deadline(F.col("deadline_raw")).alias("deadline"),
+        F.col("due").alias("deadline"),
         "deadline_raw",
-        opportunity.lifecycle(_none(), F.col("summary"), F.col("deadline_raw"), F.col("status"), now).alias("status"),
+        opportunity.lifecycle(_none(), F.col("summary"), F.col("deadline_raw"), F.col("status"), now, F.col("due")).alias("status"),
         _empty().alias("locations"),
         F.lit(None).cast("boolean").alias("remote"),
         _empty().alias("documents"),
