@@ -13,6 +13,7 @@ from lumenyard.functions.numbers import loose_number, money
 from lumenyard.functions.text import agreement
 from lumenyard.operators import paths
 from lumenyard.operators.observe import Contracts, checks, first_rows
+from lumenyard.operators.stats import merged
 
 
 def evaluate(expected: DataFrame, rows: DataFrame) -> DataFrame:
@@ -93,21 +94,22 @@ def judge_cases(given: Repairs, collectors: DataFrame) -> DataFrame:
     compared is wrong; a case that expects nothing does not pass. Dates are compared as days where the
     collector's specs say so.
     """
-    cases = given.cases.join(given.repairs, "repair_id")
+    cases = merged(given.cases, given.repairs, "repair_id")
     shapes = collectors.select("collector_id", F.explode("specs").alias("s")).select("collector_id", "s.path", "s.shape")
-    own = cases.select("repair_id", "label", "url").join(given.rows, ["repair_id", "url"]).select(F.struct("repair_id", "label").alias("run_id"), "row_no", "row")
+    own = merged(cases.select("repair_id", "label", "url"), given.rows, ["repair_id", "url"]).select(F.struct("repair_id", "label").alias("run_id"), "row_no", "row")
     wrong_row = F.try_variant_get("row", "$.error", "variant").isNotNull()
     sizes = own.groupBy("run_id").agg(F.count("*").alias("size"), F.min_by(F.when(wrong_row, F.coalesce(F.try_variant_get("row", "$.error", "string"), F.to_json(F.try_variant_get("row", "$.error", "variant")))), F.when(wrong_row, F.col("row_no"))).alias("said"))
     got = paths.cells(first_rows(own), "row", ["run_id"]).groupBy("run_id", "path").agg(F.min("text").alias("observed"))
-    wanted = given.expected.join(cases.select("repair_id", "label", "collector_id"), ["repair_id", "label"]).join(shapes, ["collector_id", "path"], "left")
-    wanted = wanted.select(F.struct("repair_id", "label").alias("run_id"), "path", "value", "decoy", "shape").join(got, ["run_id", "path"], "left")
+    wanted = merged(given.expected, cases.select("repair_id", "label", "collector_id"), ["repair_id", "label"]).join(shapes, ["collector_id", "path"], "left")
+    wanted = merged(wanted.select(F.struct("repair_id", "label").alias("run_id"), "path", "value", "decoy", "shape"), got, ["run_id", "path"], "left")
     day = lambda v: F.when(F.col("shape") == "date", F.coalesce(date_agreement(F.col("observed"), v), agreement(F.col("observed"), v))).otherwise(agreement(F.col("observed"), v))
     fields = wanted.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("value").isNull() | (day(F.col("value")) != "agree"), F.col("path")))).alias("wrong"),
         F.coalesce(F.bool_or(agreement(F.col("observed"), F.col("decoy")) == "agree"), F.lit(False)).alias("followed"),
     )
     ran = given.executed.select("repair_id", "url").distinct().withColumn("ran", F.lit(True))
-    found = cases.withColumn("run_id", F.struct("repair_id", "label")).join(ran, ["repair_id", "url"], "left").join(sizes, "run_id", "left").join(fields, "run_id", "left")
+    found = merged(cases.withColumn("run_id", F.struct("repair_id", "label")), ran, ["repair_id", "url"], "left")
+    found = merged(merged(found, sizes, "run_id", "left"), fields, "run_id", "left")
     error = F.when(F.col("ran").isNull(), "was never run").when(F.col("said").isNotNull(), F.col("said")).when(F.coalesce("size", F.lit(0)) == 0, "gave no row").when(F.col("wrong").isNull(), "nothing is expected")
     found = found.withColumn("error", error)
     wrong = F.when(F.col("error").isNull(), F.col("wrong")).otherwise(F.array().cast("array<string>"))
@@ -125,16 +127,16 @@ def judge_repairs(given: Repairs, collectors: DataFrame, contracts: Contracts) -
     mistake = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("followed"), "followed the decoy: reads a position").otherwise("did not give the token: not shown to read the label")
     failed = judged.filter("not passed").select("repair_id", F.concat(F.col("label"), F.lit(": "), F.when(F.col("kind") == "anchor", mistake).otherwise(what)).alias("reason"))
     real = judged.filter("kind <> 'anchor'").select("repair_id", "label", "url", "collector_id")
-    rows = real.join(given.rows, ["repair_id", "url"]).select(F.struct("repair_id", "label").alias("run_id"), "collector_id", "row_no", "row")
+    rows = merged(real, given.rows, ["repair_id", "url"]).select(F.struct("repair_id", "label").alias("run_id"), "collector_id", "row_no", "row")
     got = paths.cells(first_rows(rows), "row", ["run_id"]).filter("kind <> 'null' and (kind <> 'string' or text <> '')").select("run_id", "path")
     runs = rows.select("run_id", "collector_id").distinct()
     needed = runs.join(collectors.select("collector_id", F.explode("protected").alias("path")), "collector_id")
-    empty = needed.join(got, ["run_id", "path"], "left_anti").select("run_id.repair_id", F.concat("run_id.label", F.lit(": protected "), "path", F.lit(" is missing")).alias("reason"))
+    empty = merged(needed, got, ["run_id", "path"], "left_anti").select("run_id.repair_id", F.concat("run_id.label", F.lit(": protected "), "path", F.lit(" is missing")).alias("reason"))
     broken = checks(collectors, runs, rows.select("run_id", "row_no", "row"), contracts).filter("status = 'fail' and check_id not like 'learned:%'")
     broken = broken.select("run_id.repair_id", F.concat("run_id.label", F.lit(": fails "), "check_id").alias("reason"))
     reasons = failed.unionByName(empty).unionByName(broken).groupBy("repair_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     none = F.array().cast("array<string>")
-    return given.repairs.join(reasons, "repair_id", "left").select("repair_id", "collector_id", F.col("reasons").isNull().alias("approved"), F.coalesce("reasons", none).alias("reasons"))
+    return merged(given.repairs, reasons, "repair_id", "left").select("repair_id", "collector_id", F.col("reasons").isNull().alias("approved"), F.coalesce("reasons", none).alias("reasons"))
 
 
 def matrix(judged: DataFrame) -> DataFrame:

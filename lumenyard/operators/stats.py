@@ -26,6 +26,12 @@ def beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, same).drop(*(f"__{k}" for k in keys))
 
 
+def merged(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with others where both grow with the input: sorted and merged, never broadcast. What Spark takes a
+    filtered, exploded or aggregated table for before it has run is far below what the driver would have to hold."""
+    return rows.join(others.hint("merge"), on, how)
+
+
 def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], splits: int = SPLITS) -> DataFrame:
     """keys, n and exact quantiles (with linear interpolation, by name) of values that are counted (keys, x, c).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenyard.operators import gate, markup, observe, paths
+from lumenyard.operators.stats import merged
 from lumenyard.plans.registry import register
 from lumenyard.sources.tables import table
 
@@ -112,7 +113,7 @@ def v02_learned_types(spark, sf):
     even, odd = orders.filter("run_id % 2 = 0"), orders.filter("run_id % 2 = 1")
     collectors = orders.select("collector_id").distinct().withColumn("invariants", F.array().cast(observe.INVARIANTS))
     found = observe.checks(collectors, odd, rows(odd), observe.learn(even, rows(even))).filter("check_id like 'learned:type:%'")
-    return found.join(odd, "run_id").groupBy("collector_id", "check_id").agg(F.sum("n").alias("n"))
+    return merged(found, odd, "run_id").groupBy("collector_id", "check_id").agg(F.sum("n").alias("n"))
 
 
 @register(

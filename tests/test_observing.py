@@ -246,3 +246,20 @@ def test_safeguards(spark):
     assert all(found[0].values()) and [k for k, ok in found[1].items() if not ok] == ["range", "schema"]
     assert [k for k, ok in found[2].items() if not ok] == ["not_null", "type", "range", "schema"]
     assert not found[3]["filled"] and not found[3]["present"] and not found[4]["valid"]
+
+
+def test_tables_that_grow_with_the_runs_are_not_broadcast(spark):
+    """However small they look to the planner: exploded and filtered tables are far larger than it takes them for."""
+    of = lambda rows, schema: kept(spark.createDataFrame(rows, schema))
+    given = gate.Repairs(
+        of([("x", "c")], "repair_id string, collector_id string"),
+        of([("x", "incident", "incident", "i")], "repair_id string, label string, kind string, url string"),
+        of([("x", "incident", "day", DAY, None)], "repair_id string, label string, path string, value string, decoy string"),
+        of([("x", "i")], "repair_id string, url string"),
+        of([("x", "i", n, json.dumps({"day": day})) for n, day in ((1, "no day"), (0, DAY))], "repair_id string, url string, row_no int, j string").select("repair_id", "url", "row_no", F.parse_json("j").alias("row")),
+    )
+    collectors = spark.createDataFrame([("c", [("day", "date", False)])], f"collector_id string, specs {observe.SPECS}")
+    judged = gate.judge_cases(given, collectors)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [repair_id" in line or "BroadcastHashJoin [run_id" in line]
+    assert [r["passed"] for r in judged.collect()] == [True]  # by its first row
