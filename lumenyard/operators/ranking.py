@@ -41,21 +41,23 @@ def round_robin(entries: DataFrame, host: str, per_host: int, limit: int, *order
     return entries.withColumn("turn", place).filter(F.col("turn") <= per_host).orderBy("turn", host, *order).limit(limit)
 
 
-def merge_results(results: DataFrame, limit: int = 12, per_host: int = 2, per_official: int = 5) -> DataFrame:
-    """One list of several searches' results (batch, pos, url, host, official): by position, then batch.
+def merge_results(results: DataFrame, limit: int = 12, per_host: int = 2, per_official: int = 5, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One list of several searches' results (batch, pos, url, host, official): by position, then batch, then ties.
 
     A url counts once, a host as often as it may; official hosts get the first 60 % of places, others the
-    next, and official ones any that are left.
+    next, and official ones any that are left. One that is not known to be official is not.
     """
-    once = keep_first(results, [F.col("url")], F.col("pos"), F.col("batch"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("pos", "batch"))
+    order = ["pos", "batch", *ties]
+    results = results.withColumn("official", F.coalesce("official", F.lit(False)))
+    once = keep_first(results, [F.col("url")], *map(F.col, order))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(*order))
     once = once.withColumn("of_host", rank).filter(F.col("of_host") <= F.when(F.col("official"), per_official).otherwise(per_host))
     slots = -(-limit * 6 // 10)
     # at most limit rows of either kind can be taken; these few are ranked in one place
-    few = lambda official: once.filter(F.col("official") == official).orderBy("pos", "batch").limit(limit)
-    ranked = few(True).unionByName(few(False)).withColumn("nth", F.row_number().over(Window.partitionBy("official").orderBy("pos", "batch")))
+    few = lambda official: once.filter(F.col("official") == official).orderBy(*order).limit(limit)
+    ranked = few(True).unionByName(few(False)).withColumn("nth", F.row_number().over(Window.partitionBy("official").orderBy(*order)))
     turn = F.when(F.col("official") & (F.col("nth") <= slots), 0).when(~F.col("official"), 1).otherwise(2)
-    return ranked.withColumn("turn", turn).orderBy("turn", "pos", "batch").limit(limit)
+    return ranked.withColumn("turn", turn).orderBy("turn", *order).limit(limit)
 
 
 def mentions(haystack: Column, interest: str) -> Column:

@@ -291,9 +291,10 @@ def w02(spark, sf):
     SELECT url, host, official FROM (SELECT *, row_number() OVER (ORDER BY turn, pos, batch) z FROM t) WHERE z <= 12""",
 )
 def w04(spark, sf):
-    own = host(F.col("url"))
-    rows = table(spark, sf, "pages").filter("url is not null").select((F.col("page_id") % 4).alias("batch"), F.round(F.col("page_id") / 4).cast("bigint").alias("pos"), "url", own.alias("host"), F.endswith(own, F.lit(".example.org")).alias("official"))
-    return ranking.merge_results(rows).select("url", "host", "official")
+    """Positions are rounded half to even, as DuckDB casts, so two of a batch may share one; the smaller page_id goes first."""
+    own = F.coalesce(host(F.col("url")), F.lit(""))
+    rows = table(spark, sf, "pages").filter("url is not null").select("page_id", (F.col("page_id") % 4).alias("batch"), F.bround(F.col("page_id") / 4).cast("bigint").alias("pos"), "url", own.alias("host"), F.endswith(own, F.lit(".example.org")).alias("official"))
+    return ranking.merge_results(rows, ties=("page_id",)).select("url", "host", "official")
 
 
 @register("w05_last_n", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r <= 5")

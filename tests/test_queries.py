@@ -40,6 +40,18 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(str(tuple(plain(r[c]) for c in sorted(names))) for r in df.collect()) == expected
 
 
+def test_merged_results_with_shared_positions_and_odd_urls(spark, tmp_path):
+    """Half positions are rounded to even, pages of one batch then share one, and a text that is no address has no host."""
+    name = "w04_merge_results"
+    urls = [f"http://h{k % 5}.example.{'org' if k % 3 else 'net'}/{k // 2}" for k in range(40)] + ["no address", "ftp://x.test/1", None]
+    order = [2, 6, 10, 14, 18, 22, 40, 41, 42, *(k for k in range(60) if k % 4 != 2 or k > 42)][: len(urls)]
+    spark.createDataFrame(list(zip(order, urls[::-1])), "page_id bigint, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = sorted(c.execute(catalog.oracles()[name]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select("url", "host", "official").collect()) == expected
+
+
 def test_library_without_its_optional_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for name in ("lumenyard", "__spark_entry__.py"):
