@@ -46,7 +46,8 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], spli
     dealt = beside(counts, edges, keys).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
     low, high = F.try_element_at("edges", F.col("part")), F.get("edges", F.col("part"))
     low = F.when(F.col("part") > 0, low)
-    sums = dealt.groupBy(*keys, "part").agg(F.sum("c").alias("size"), F.first("edges").alias("edges")).select(*keys, "part", "size", low.alias("low"), high.alias("high"))
+    # the bounds are keys and not an array to carry along, for which Spark would sort all values before it sums
+    sums = dealt.groupBy(*keys, "part", low.alias("low"), high.alias("high")).agg(F.sum("c").alias("size"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # as many rows as splits in a group
     sums = sums.withColumns({"before": F.sum("size").over(own.orderBy("part")) - F.col("size"), "n": F.sum("size").over(own)})
     place = {name: (F.col("n") - 1) * min(1.0, max(0.0, q)) for name, q in wanted.items()}

@@ -328,3 +328,12 @@ def test_scans_and_detectors(spark):
     found = df.select("i", drafts.is_index(F.col("t"), F.lit("x"), F.lit("https://a.test/x")).alias("a"), drafts.is_furniture(F.col("t")).alias("b")).orderBy("i").collect()
     assert [r["a"] for r in found] == [True] + [False] * 7
     assert [r["b"] for r in found] == [False, False, True, True, True, False, True, True]
+
+
+def test_counted_values_are_summed_without_being_sorted(spark):
+    """Neither quantiles nor profiles may sort all values of a group to add them up."""
+    rows = spark.range(1000).selectExpr("id % 3 AS g", "id % 101 + 0.5D AS v", "concat('w', id % 7) AS w")
+    asked = [stats.quantiles(stats.counted(rows, ["g"], F.col("v")), ["g"], {"med": 0.5}), contract.profile(rows)]
+    for found in asked:
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["kind"], r["distinct"]) for r in asked[1].collect()} == {("g", "number", 3), ("v", "number", 101), ("w", "string", 7)}
