@@ -105,8 +105,8 @@ def profile(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
     cells = cells.withColumn("x", number)
     there = F.col("text").isNotNull()
     size = F.when(F.col("kind") == "string", F.length("text"))
-    first = cells.groupBy("path").agg(
-        F.first("kind").alias("kind"),
+    # a path has one kind, which is a key since Spark sorts all rows for the first of several strings
+    first = cells.groupBy("path", "kind").agg(
         F.sum("c").alias("n"),
         F.coalesce(F.sum(F.when(there, F.col("c"))), F.lit(0)).alias("present"),
         F.coalesce(F.sum(F.when(there & (F.col("text") == ""), F.col("c"))), F.lit(0)).alias("blank"),
@@ -118,8 +118,8 @@ def profile(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
         F.max(size).alias("longest"),
     )
     counts = cells.filter("x is not null").groupBy("path", "x").agg(F.sum("c").alias("c"))
-    middle = stats.quantiles(counts, ["path"], {"med": 0.5, "p05": 0.05, "p95": 0.95})
-    spread = stats.deviations(counts, ["path"], middle)
+    middle = stats.quantiles(counts, ["path"], {"med": 0.5, "p05": 0.05, "p95": 0.95}, few=True)  # as many as columns
+    spread = stats.deviations(counts, ["path"], middle, few=True)
     out = first.join(middle.drop("n"), "path", "left").join(spread, "path", "left").withColumn("null_rate", 1 - F.col("present") / F.col("n"))
     return out.withColumns({c: F.when(F.col("numbers") >= 2, F.col(c)) for c in ("med", "mad", "p05", "p95", "low", "high")})
 
@@ -196,7 +196,8 @@ def check_learned(rows: DataFrame, fields: DataFrame, words: DataFrame | None =
     """check_id, path, offenders and the first offending value: numbers out of range, and unseen values, shapes, currencies.
 
     A baseline whose values were all alike warns about any other value. fields and words come from
-    profile() and vocabularies() of healthy rows; both are small, Spark broadcasts them by measured size.
+    profile() and vocabularies() of healthy rows; fields has a row for each column and is broadcast, words is small and
+    Spark broadcasts it by measured size.
     """
     cells = long_form(rows).withColumn("x", F.coalesce("number", loose_number(F.when(F.col("kind") == "string", F.col("text")))))
     known = fields.filter("med is not null").select("path", "med", "mad", "p05", "p95")
@@ -205,7 +206,7 @@ def check_learned(rows: DataFrame, fields: DataFrame, words: DataFrame | None =
     spread = F.get(F.array_sort(F.transform(own, lambda v: F.abs(v - middle))), F.lit(1)) * MAD_SCALE
     z = F.when(F.col("mad") > 0, F.abs(F.col("x") - F.col("med")) / F.col("mad")).otherwise(F.abs(F.col("x") - middle) / F.nullif(spread, F.lit(0.0)))
     far = F.coalesce(z > thresholds.z, F.col("x") != F.col("med"))
-    odd = cells.join(known, "path").filter("x is not null").filter(far)
+    odd = cells.join(F.broadcast(known), "path").filter("x is not null").filter(far)
     out = odd.groupBy("path").agg(F.count("*").alias("offenders"), F.min("text").alias("example")).withColumn("check_id", F.concat(F.lit("learned:numeric:"), "path"))
     if words is not None:
         strings = cells.filter("kind = 'string' and text is not null")

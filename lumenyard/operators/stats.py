@@ -17,13 +17,17 @@ def counted(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.select(*keys, value.cast("double").alias("x")).filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
 
 
-def beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of their group, of which groups has one row; a null key is a group, no keys are one."""
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """rows with the columns of their group, of which groups has one row; a null key is a group, no keys are one.
+
+    few: there are no more groups than a driver can hold, so that rows need not be shuffled by them, which would
+    leave as many tasks as there are groups.
+    """
     if not keys:
         return rows.crossJoin(F.broadcast(groups))  # one row
     renamed = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
-    return rows.join(renamed, same).drop(*(f"__{k}" for k in keys))
+    return rows.join(F.broadcast(renamed) if few else renamed, same).drop(*(f"__{k}" for k in keys))
 
 
 def merged(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -32,18 +36,18 @@ def merged(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "
     return rows.join(others.hint("merge"), on, how)
 
 
-def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], splits: int = SPLITS) -> DataFrame:
+def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], splits: int = SPLITS, few: bool = False) -> DataFrame:
     """keys, n and exact quantiles (with linear interpolation, by name) of values that are counted (keys, x, c).
 
     A group's values are dealt to ranges at approximate quantiles, which only have to be near enough to share
     the work. The ranges' exact sums tell which of them hold the wanted ranks, and only their values are put
     in order, one task for a range. What lies below a range is taken from the same sums as its bounds, so a
-    plan that is run again in part stays right.
+    plan that is run again in part stays right. few: see beside().
     """
     counts = counts.select(*keys, "x", "c")
     cuts = [k / splits for k in range(1, splits)]
     edges = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", cuts, F.lit(20 * splits))).alias("edges"))
-    dealt = beside(counts, edges, keys).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
+    dealt = beside(counts, edges, keys, few).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
     low, high = F.try_element_at("edges", F.col("part")), F.get("edges", F.col("part"))
     low = F.when(F.col("part") > 0, low)
     # the bounds are keys and not an array to carry along, for which Spark would sort all values before it sums
@@ -56,7 +60,7 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float], spli
     # two ranges for each quantile of a group at most
     asked = sums.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.collect_list(F.struct("part", "low", "high", "before", "ranks", "n")).alias("asked"))
     holds = lambda r: (r["low"].isNull() | (r["low"] <= F.col("x"))) & (r["high"].isNull() | (F.col("x") < r["high"]))
-    inside = beside(counts, asked, keys).select(*keys, "x", "c", F.explode(F.filter("asked", holds)).alias("r")).select(*keys, "x", "c", "r.*")
+    inside = beside(counts, asked, keys, few).select(*keys, "x", "c", F.explode(F.filter("asked", holds)).alias("r")).select(*keys, "x", "c", "r.*")
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x"))
     inside = inside.withColumn("upto", upto).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))))
     at = inside.filter(F.size("ranks") > 0).groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform("ranks", lambda r: F.struct(r, F.col("x"))))))).alias("at"))
@@ -74,17 +78,17 @@ def sample_confidence(n: Column) -> Column:
     return F.when(n <= 1, 0.0).otherwise(F.least(F.lit(0.95), 1 - 5 / (n + 4)))
 
 
-def deviations(counts: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
+def deviations(counts: DataFrame, keys: list[str], centres: DataFrame, few: bool = False) -> DataFrame:
     """keys and mad: the scaled median distance of counted values (keys, x, c) from their group's med."""
-    away = beside(counts, centres.select(*keys, "med"), keys).groupBy(*keys, F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("c").alias("c"))
-    return quantiles(away, keys, {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE).drop("n")
+    away = beside(counts, centres.select(*keys, "med"), keys, few).groupBy(*keys, F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("c").alias("c"))
+    return quantiles(away, keys, {"mad": 0.5}, few=few).withColumn("mad", F.col("mad") * MAD_SCALE).drop("n")
 
 
-def centre_and_spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def centre_and_spread(rows: DataFrame, keys: list[str], value: str, few: bool = False) -> DataFrame:
     """keys, n, med and mad (scaled median absolute deviation) of a numeric column; nulls do not count."""
     counts = counted(rows, keys, F.col(value))
-    centre = quantiles(counts, keys, {"med": 0.5})
-    mad = deviations(counts, keys, centre)
+    centre = quantiles(counts, keys, {"med": 0.5}, few=few)
+    mad = deviations(counts, keys, centre, few)
     return beside(centre, mad, keys).select(*keys, "n", "med", "mad")
 
 
@@ -96,9 +100,9 @@ def robust_z(value: Column, med: Column, mad: Column) -> Column:
 def departures(rows: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
     """The rows whose value lies over threshold robust deviations from the median of their group, with z.
 
-    Groups are few (one row each after aggregation), so Spark may broadcast them by their measured size.
+    Groups are few (one row each after aggregation) and broadcast.
     """
-    learned = centre_and_spread(rows, keys, value)
+    learned = F.broadcast(centre_and_spread(rows, keys, value, few=True))
     z = robust_z(F.col(value), F.col("med"), F.col("mad"))
     return rows.join(learned, keys).withColumn("z", z).filter(F.col("z") > threshold)
 
