@@ -169,18 +169,28 @@ def limited_overall_stream(requests: DataFrame, caller: str, at: str, limits: Li
     """The same as limited_overall() over a stream (caller a string, at): the places that are taken are the state.
 
     All requests share one state, so a micro-batch passes through one task; maxFilesPerTrigger or its like bounds it.
+    Of each request a time, a number for its caller and a place in the order are held there, and each caller's name once.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stamps, names = state.get if state.exists else ([], [])
         places = Window(limits, zip(stamps, names))
-        chunks = [(pdf[at].to_numpy("datetime64[us]"), pdf[caller].to_numpy(object)) for pdf in batches]
-        times, callers = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
-        order = sorted(range(len(times)), key=lambda i: (np.isnat(times[i]), times[i].astype("int64"), callers[i] is None, callers[i] or ""))
+        numbers: dict[str | None, int] = {}
+        times, codes = [], []
+        for pdf in batches:
+            times.append(pdf[at].to_numpy("datetime64[us]"))
+            own, found = pd.factorize(pdf[caller].astype(object), use_na_sentinel=False)
+            codes.append(np.array([numbers.setdefault(None if pd.isna(n) else n, len(numbers)) for n in found], dtype=np.int32)[own])
+        times, codes = np.concatenate(times), np.concatenate(codes)
+        names = np.array(list(numbers), dtype=object)
+        rank = np.empty(len(names), dtype=np.int32)
+        rank[sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))] = np.arange(len(names), dtype=np.int32)
+        order = np.lexsort((rank[codes], times))  # those without a time last
         for begin in range(0, len(order), OUT_ROWS):
             some = order[begin : begin + OUT_ROWS]
-            rulings = [places.take(callers[i], s) for i, s in zip(some, _as_seconds(times[some]))]
-            yield pd.DataFrame({caller: callers[some], at: times[some], "ruling": rulings})
+            callers = names[codes[some]]
+            rulings = [places.take(name, s) for name, s in zip(callers, _as_seconds(times[some]))]
+            yield pd.DataFrame({caller: callers, at: times[some], "ruling": rulings})
         state.update(([s for s, _ in places.held], [n for _, n in places.held]))
 
     kinds = dict(requests.dtypes)

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import pandas as pd
 from lumenyard.plans import streams
@@ -122,3 +123,34 @@ def test_requests_without_a_time_are_refused(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/requests")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/requests")
     assert asked(streams._drained(limits.limited_stream(stream, "user_id", "ts", limit=2))) == [(False, False)] * 4 + [(True, True)]
+
+
+def test_a_micro_batch_for_all_callers_holds_little_of_each_request(spark):
+    """A time, a number and a place of each request: no objects, which would take hundreds of bytes."""
+    n, size = 200_000, 10_000
+
+    class Stream:
+        dtypes = [("who", "string"), ("ts", "timestamp")]
+        select = groupBy = lambda self, *_: self
+        applyInPandasWithState = lambda self, run, *_: run
+
+    class State:
+        exists, kept = False, None
+        update = lambda self, value: setattr(self, "kept", value)
+
+    def batches():
+        for at in range(0, n, size):
+            ks = range(at, at + size)
+            yield pd.DataFrame({"who": [None if k % 97 == 0 else f"caller {k % 50}" for k in ks], "ts": pd.to_datetime([(k * 7919 % n) * 1000 for k in ks], unit="ms")})
+
+    state, run = State(), limits.limited_overall_stream(Stream(), "who", "ts", limits.Limits(overall=20))
+    tracemalloc.start()
+    out = collections.Counter()
+    for found in run((0,), batches(), state):
+        out.update(found["ruling"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * n
+    places = limits.Window(limits.Limits(overall=20))
+    asked = sorted(((k * 7919 % n) * 1.0, k % 97 == 0, "" if k % 97 == 0 else f"caller {k % 50}") for k in range(n))
+    assert out == collections.Counter(places.take(None if none else who, at) for at, none, who in asked)
