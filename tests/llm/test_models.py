@@ -302,3 +302,18 @@ def test_pipeline_stages_filter_as_their_operators_judge(spark, texts):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == kept["benchmark_decontamination"]
     check_packing(packed, 4096, slack=1)
+
+
+def test_every_window_of_every_text_trains_the_model():
+    """Over the rounds, each at least once; and windows that are built as they are needed train as those built before."""
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 2000, n).astype("<u2") for n in (0, 1, 16, 17, 40, 333, 1000)]
+    starts = draw.integers(0, 1 << 32, len(texts))
+    rounds, share = len(lm_scoring.RATES), lm_scoring.SHARE
+    taken = [attention.share_of(texts, starts + number * (share // rounds), share) for number in range(rounds)]
+    assert set(np.concatenate(taken).tolist()) == set(range(sum(-(-len(t) // attention.STRIDE) for t in texts)))
+    counts = np.bincount(np.concatenate(texts), minlength=2001)
+    vocabulary = attention.Vocabulary.of(counts)
+    params = attention.initial(vocabulary, counts)
+    built = attention.windows(texts, vocabulary, taken[0])[:2]
+    assert attention.packed(attention.train_texts(params, vocabulary, texts, taken[0], 0.01)[0]) == attention.packed(attention.train(params, vocabulary, *built, 0.01)[0])
