@@ -13,8 +13,12 @@ BLANK = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{2
 
 
 def let(value: Column, use) -> Column:
-    """use(value), with value computed once a row."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with value computed once a row.
+
+    It is what an aggregate over nothing starts with. An item taken from a transformed array would have Spark
+    find the type of all that is within use again for each row.
+    """
+    return F.aggregate(F.array(), value, lambda own, _: own, use)
 
 
 def normal_text(text: Column) -> Column:

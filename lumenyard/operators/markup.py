@@ -16,23 +16,35 @@ DEADLINE_FIELDS = ["registrationDeadline", "applicationDeadline", "applicationDe
 PROVIDER_FIELDS = ["provider", "organizer", "hiringOrganization"]
 DECLARED = 0.95
 BLOCK = "(?is)<script[^>]*type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
-ENTRY = "array<struct<at:array<int>,v:variant,raw:string>>"
+ENTRY = "array<struct<v:variant,raw:string>>"
 
 
-def _entry(at: Column, value: Column, raw: Column) -> Column:
-    return F.struct(at.alias("at"), value.alias("v"), raw.alias("raw"))
+def _entry(value: Column, raw: Column) -> Column:
+    return F.struct(value.alias("v"), raw.alias("raw"))
 
 
-def _children(entry: Column) -> Column:
-    """Members of an object in the order of its text, or items of an array; else none."""
+def _open(raw: Column) -> Column:
+    """Whether a JSON text may be an object or an array; what a string holds may look so too."""
+    return F.startswith(raw, F.lit("{")) | F.startswith(raw, F.lit("["))
+
+
+def _opened(entry: Column) -> Column:
+    """An object and the objects and arrays among its members, in the order of its text, or those among an array's items.
+
+    What has been opened has no text any more and stays as it is.
+    """
+    value, raw = entry["v"], entry["raw"]
+    members, items = F.try_variant_get(value, "$", "map<string,variant>"), F.try_variant_get(value, "$", "array<variant>")
+    none = F.array().cast(ENTRY)
     # a map of strings keeps the order of the text, which a variant does not
-    raw = F.from_json(F.when(F.startswith(entry["raw"], F.lit("{")), entry["raw"]), "map<string,string>")
-    members = F.try_variant_get(entry["v"], "$", "map<string,variant>")
-    place = lambda i: F.concat(entry["at"], F.array(i))
-    own = F.transform(F.map_keys(raw), lambda k, i: _entry(place(i), F.try_element_at(members, k), F.try_element_at(raw, k)))
-    texts = F.from_json(F.when(F.startswith(entry["raw"], F.lit("[")), entry["raw"]), "array<string>")
-    many = F.transform(F.try_variant_get(entry["v"], "$", "array<variant>"), lambda v, i: _entry(place(i), v, F.get(texts, i)))
-    return F.coalesce(F.when(members.isNotNull(), own), many, F.array().cast(ENTRY))
+    texts = F.filter(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: _open(e["value"]))
+    own = F.transform(texts, lambda e: _entry(F.try_element_at(members, e["key"]), e["value"]))
+    many = F.zip_with(items, F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>")), _entry)
+    deeper = (F.locate("{", raw, 2) > 0) | (F.locate("[", raw, 2) > 0)
+    this = F.array(_entry(value, F.lit(None).cast("string")))
+    below = F.coalesce(F.filter(many, lambda e: e["v"].isNotNull() & F.coalesce(_open(e["raw"]), F.lit(True))), none)
+    whole = F.when(deeper, F.concat(this, F.coalesce(own, none))).otherwise(this)
+    return F.when(raw.isNull(), F.array(entry)).when(F.startswith(raw, F.lit("{")), F.when(members.isNotNull(), whole).otherwise(none)).otherwise(below)
 
 
 def objects(html: Column, depth: int = DEPTH) -> Column:
@@ -40,24 +52,18 @@ def objects(html: Column, depth: int = DEPTH) -> Column:
 
     Blocks that are no JSON are passed over; what lies deeper than depth levels too.
     """
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1)), lambda b, i: _entry(F.array(i), F.try_parse_json(F.trim(b)), F.btrim(b, F.lit(" \t\r\n"))))
-    level = F.filter(blocks, lambda e: e["v"].isNotNull())
-
-    def walk(found: Column, k: int) -> Column:
-        if k == 0:
-            return found
-        return let(found, lambda own: F.concat(own, walk(F.flatten(F.transform(own, _children)), k - 1)))
-
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1)), lambda b: _entry(F.try_parse_json(F.trim(b)), F.btrim(b, F.lit(" \t\r\n"))))
+    found = F.filter(blocks, lambda e: e["v"].isNotNull())
+    for _ in range(depth):
+        found = F.flatten(F.transform(found, _opened))
     is_object = lambda e: F.try_variant_get(e["v"], "$", "map<string,variant>").isNotNull()
-    # arrays are compared member by member, so an object comes right before what is within it
-    ordered = F.array_sort(F.transform(F.filter(walk(level, depth), is_object), lambda e: F.struct(e["at"].alias("at"), F.to_json(e["v"]).alias("json"))))
-    return F.transform(ordered, lambda e: F.parse_json(e["json"]))
+    return F.transform(F.filter(found, is_object), lambda e: e["v"])
 
 
 def _string(value: Column) -> Column:
     """A JSON string without needless blanks; null for anything else and for an empty one."""
     plain = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.nullif(F.trim(F.regexp_replace(plain, "\\s+", " ")), F.lit(""))
+    return let(F.trim(F.regexp_replace(plain, "\\s+", " ")), lambda t: F.when(t != "", t))
 
 
 def _at(value: Column, path: str) -> Column:
@@ -66,14 +72,18 @@ def _at(value: Column, path: str) -> Column:
 
 def _named(value: Column) -> Column:
     """A text, or the name of an object, or that of the first of several."""
-    first = _at(value, "$[0]")
-    return F.coalesce(_string(value), _string(_at(value, "$.name")), _string(first), _string(_at(first, "$.name")), _string(_at(value, "$.name.name")))
+
+    def read(v: Column) -> Column:
+        several = let(_at(v, "$[0]"), lambda first: F.coalesce(_string(first), _string(_at(first, "$.name"))))
+        return F.when(v.isNotNull(), F.coalesce(_string(v), _string(_at(v, "$.name")), several, _string(_at(v, "$.name.name"))))
+
+    return let(value, read)
 
 
 def _day(value: Column) -> Column:
     """The day that an ISO date begins with, of the years 1990 to 2100; null if there is no such day."""
-    day = F.regexp_extract(_string(value), "^(\\d{4}-\\d{2}-\\d{2})", 1).try_cast("date")
-    return F.when(F.year(day).between(1990, 2100), day)
+    day = F.when(value.isNotNull(), F.regexp_extract(_string(value), "^(\\d{4}-\\d{2}-\\d{2})", 1).try_cast("date"))
+    return let(day, lambda d: F.when(F.year(d).between(1990, 2100), d))
 
 
 def _first(found: Column, of: Callable[[Column], Column]) -> Column:
@@ -92,31 +102,33 @@ def structured_facts(html: Column) -> Column:
     """
 
     def facts(found: Column) -> Column:
-        days = lambda o: F.array_compact(F.array(*(F.when(_day(_at(o, f"$.{f}")).isNotNull(), F.struct(_day(_at(o, f"$.{f}")).alias("day"), F.lit(f).alias("field"))) for f in DEADLINE_FIELDS)))
-        closing = _first(found, lambda o: F.get(days(o), F.lit(0)))
-        place = lambda o: F.when(F.try_variant_get(o, "$.offers", "map<string,variant>").isNotNull(), _at(o, "$.offers")).otherwise(o)
+        dated = lambda o, f: let(_day(_at(o, f"$.{f}")), lambda d: F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(f).alias("field"))))
+        offer = lambda o: let(_at(o, "$.offers"), lambda x: F.when(F.try_variant_get(x, "$", "map<string,variant>").isNotNull(), x).otherwise(o))
 
-        def amount(o: Column) -> Column:
-            raw = F.coalesce(*(_at(place(o), f"$.{n}") for n in ("amount", "value", "price")))
-            number = F.coalesce(F.when(F.rlike(F.schema_of_variant(raw), F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.try_variant_get(raw, "$", "double")), _string(raw).try_cast("double"))
-            return F.when(number > 0, number)
+        def amount(place: Column) -> Column:
+            raw = F.coalesce(*(_at(place, f"$.{n}") for n in ("amount", "value", "price")))
+            plain = lambda v: F.when(F.rlike(F.schema_of_variant(v), F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.try_variant_get(v, "$", "double"))
+            number = let(raw, lambda v: F.coalesce(plain(v), _string(v).try_cast("double")))
+            return let(number, lambda n: F.when(n > 0, n))
 
-        def code(o: Column) -> Column:
-            name = _named(F.coalesce(_at(place(o), "$.currency"), _at(place(o), "$.priceCurrency")))
-            return F.when(F.rlike(name, F.lit("^[A-Z]{3}$")), name)
+        def code(place: Column) -> Column:
+            name = _named(F.coalesce(_at(place, "$.currency"), _at(place, "$.priceCurrency")))
+            return let(name, lambda n: F.when(F.rlike(n, F.lit("^[A-Z]{3}$")), n))
 
         kinds = lambda o: F.coalesce(F.array_compact(F.array(_string(_at(o, "$['@type']")))), F.array().cast("array<string>"))
         many = lambda o: F.array_compact(F.transform(F.coalesce(F.try_variant_get(o, "$['@type']", "array<variant>"), F.array().cast("array<variant>")), _string))
-        return F.struct(
+        of_places = lambda places, closing: F.struct(
             F.array_distinct(F.flatten(F.transform(found, lambda o: F.concat(kinds(o), many(o))))).alias("types"),
             F.coalesce(_first(found, lambda o: F.coalesce(_named(_at(o, "$.name")), _named(_at(o, "$.headline")))), _meta(html, "og:title"), _meta(html, "twitter:title")).alias("title"),
             _first(found, lambda o: F.coalesce(*(_named(_at(o, f"$.{f}")) for f in PROVIDER_FIELDS))).alias("provider"),
             _first(found, lambda o: _day(_at(o, "$.startDate"))).alias("start"),
             closing["day"].alias("deadline"),
             closing["field"].alias("deadline_field"),
-            _first(found, amount).alias("amount"),
-            _first(found, code).alias("currency"),
+            _first(places, amount).alias("amount"),
+            _first(places, code).alias("currency"),
         )
+        closing = _first(found, lambda o: F.coalesce(*(dated(o, f) for f in DEADLINE_FIELDS)))
+        return let(F.transform(found, offer), lambda places: let(closing, lambda c: of_places(places, c)))
 
     return let(F.coalesce(objects(html), F.array().cast("array<variant>")), facts)
 

@@ -144,3 +144,11 @@ def test_addresses(spark):
     assert over(spark, ["https://a.test/x?utm_source=news&id=7", "https://a.test/?ref=1#t", "https://a.test/?a=1&fbclid=2&b=3"], urls.without_tracking) == ["https://a.test/x?id=7", "https://a.test/#t", "https://a.test/?a=1&b=3"]
     assert over(spark, ["http://localhost/x", "http://10.0.0.1/", "https://a.test/", "no"], urls.is_public) == [False, False, True, False]
     assert over(spark, ["mit.edu", "sub.x.ac.uk", "shop.com", None], urls.looks_official) == [True, True, False, False]
+
+
+def test_let_finds_no_type_a_row_and_computes_its_value_once(spark):
+    """An item of a transformed array asks for the type of all within it at every row."""
+    rows = spark.range(3).select(text.let(F.col("id") * 2, lambda v: F.when(v > 0, v * v)).alias("x"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "transform(" not in plan and plan.count("* cast(2") + plan.count("* 2") <= 1
+    assert [r["x"] for r in rows.collect()] == [None, 4, 16]
