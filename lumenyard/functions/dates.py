@@ -17,6 +17,8 @@ LONGEST_MONTH = 9  # letters
 
 #: Digits, letters or one other sign, with the blanks before it.
 TOKEN = "\\s*(?:[0-9]+|[A-Za-z]+|[^0-9A-Za-z\\s])"
+#: A text that is an ISO date and nothing else is read without cutting it into tokens.
+ISO = "^(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\\z"
 #: Token sequences up to a year, and where they hold month and last day: small numbers n, month names m, dashes -.
 NAMED = [("m n - n y", -4, -1), ("n - n m y", -1, -2), ("n m y", -1, -2), ("m n y", -2, -1)]
 
@@ -29,18 +31,25 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 
 def _token(text: Column, before: Column) -> Column:
     """struct<kind, value, glued> of a token and the one before it; kind is empty for what a date may leave out."""
-    plain, last = F.ltrim(text, F.lit(" \t\r\n\f\x0b")), F.coalesce(F.ltrim(before, F.lit(" \t\r\n\f\x0b")), F.lit(""))
-    glued = before.isNotNull() & (plain == text)
-    is_word = lambda t: F.substring(F.lower(t), 1, 1).between("a", "z")
-    is_number = lambda t: F.substring(t, 1, 1).between("0", "9")
+    bare = lambda t: F.ltrim(t, F.lit(" \t\r\n\f\x0b"))
+    first = lambda t: F.substring(F.lower(t), 1, 1)
+    side = lambda p: F.struct(p["plain"].alias("plain"), p["glued"].alias("glued"), first(p["plain"]).alias("own"), first(p["last"]).alias("last"))
+    parts = F.struct(bare(text).alias("plain"), F.coalesce(bare(before), F.lit("")).alias("last"), (before.isNotNull() & (bare(text) == text)).alias("glued"))
+    return let(let(parts, side), lambda p: _typed(p["plain"], p["own"], p["last"], p["glued"]))
+
+
+def _typed(plain: Column, own: Column, last: Column, glued: Column) -> Column:
+    """The same of a token without blanks, its first letter, that of the one before ("": none), and whether nothing stands between."""
+    is_word = lambda c: c.between("a", "z")
+    is_number = lambda c: c.between("0", "9")
     size, number = F.length(plain), plain.try_cast("int")
     table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
     month = F.when(size.between(3, LONGEST_MONTH), F.try_element_at(table, F.lower(F.substring(plain, 1, 3))))
     digits = F.when(glued & is_word(last), "other").when(size <= 2, "n").when((size == 4) & number.between(1900, 2099), "y").otherwise("other")
     letters = F.when(glued & is_number(last), F.when(F.lower(plain).isin(ORDINALS), "").otherwise("other")).when(month.isNotNull(), "m").otherwise("other")
     sign = F.when(plain.isin("-", "\u2013", "\u2014"), "-").when(plain == "/", "/").when(plain == ",", "").when(plain == ".", F.when(is_word(last), "").otherwise(".")).otherwise("other")
-    kind = F.when(is_number(plain), digits).when(is_word(plain), letters).otherwise(sign)
-    return F.struct(kind.alias("kind"), F.when(is_word(plain), month).otherwise(number).alias("value"), glued.alias("glued"), (plain == "-").alias("hyphen"))
+    kind = F.when(is_number(own), digits).when(is_word(own), letters).otherwise(sign)
+    return F.struct(kind.alias("kind"), F.when(is_word(own), month).otherwise(number).alias("value"), glued.alias("glued"), (plain == "-").alias("hyphen"))
 
 
 def _dates(tokens: Column, day_first: bool) -> Column:
@@ -74,11 +83,17 @@ def parse_deadline(raw: Column, slash_order: str = "month_first") -> Column:
     orders, a range of days (its end counts), or numbers. In numbers with strokes the first is the month unless
     it exceeds 12; slash_order="day_first" reads it as the day.
     """
-    dated = F.when(F.rlike(raw, F.lit("(?:19|20)[0-9]{2}")), raw)  # no year, no date
+    return let(raw, lambda text: _parsed(text, slash_order == "day_first"))
+
+
+def _parsed(text: Column, day_first: bool) -> Column:
+    dated = F.when(F.rlike(text, F.lit("(?:19|20)[0-9]{2}")), text)  # no year, no date
     parts = F.regexp_extract_all(dated, F.lit(TOKEN), F.lit(0))
     typed = let(parts, lambda own: F.transform(own, lambda t, i: _token(t, F.get(own, i - 1))))
     tokens = F.filter(typed, lambda t: t["kind"] != "")
-    return F.when(dated.isNotNull(), let(tokens, lambda own: F.array_max(F.when(F.size(own) > 0, _dates(own, slash_order == "day_first")))))
+    read = let(tokens, lambda own: F.array_max(F.when(F.size(own) > 0, _dates(own, day_first))))
+    day = let(text.try_cast("date"), lambda d: F.when(F.year(d).between(*YEARS), d))
+    return F.when(F.rlike(text, F.lit(ISO)), day).when(F.rlike(text, F.lit("(?:19|20)[0-9]{2}")), read)
 
 
 def has_passed(deadline: Column, now: Column) -> Column:
