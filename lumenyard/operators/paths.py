@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenyard.functions.text import let
+
 DEPTH = 8  # levels below the row; what lies deeper is left out
-ENTRY = "array<struct<path:string,v:variant>>"
+
+
+def _entry(path: Column, value: Column, leaf: bool = False) -> Column:
+    return F.struct(path.alias("path"), value.alias("v"), F.lit(leaf).alias("leaf"))
 
 
 def _members(value: Column) -> Column:
@@ -24,24 +29,32 @@ def _below(path: Column, name: Column) -> Column:
 
 
 def _opened(entry: Column) -> Column:
-    """An entry's members or items, each with its path; an entry that has none is itself."""
-    path, value = entry["path"], entry["v"]
-    own = F.transform(F.map_entries(_members(value)), lambda m: F.struct(_below(path, m["key"]).alias("path"), m["value"].alias("v")))
-    # an array is one field: its items share a path, and one without a member in it is a leaf
-    bare = lambda x: F.coalesce(F.size(_members(x)) == 0, F.lit(False))
-    items = F.filter(_items(value), lambda x: ~bare(x))
-    below = _below(path, F.lit("[]"))
-    many = F.when(F.size(items) > 0, F.transform(items, lambda x: F.struct(below.alias("path"), x.alias("v")))).otherwise(F.array(F.struct(below.alias("path"), F.parse_json(F.lit("null")).alias("v"))))
-    return F.when(_members(value).isNotNull(), own).when(_items(value).isNotNull(), many).otherwise(F.array(entry))
+    """An entry's members or items, each with its path; an entry that has none is a leaf, and stays as it is."""
+    path = entry["path"]
+
+    def parts(own: Column) -> Column:
+        members, items, value = own["members"], own["items"], own["v"]
+        of_object = F.transform(F.map_entries(members), lambda m: _entry(_below(path, m["key"]), m["value"]))
+        # an array is one field: its items share a path, and one without a member in it is a leaf
+        bare = lambda x: F.coalesce(F.size(_members(x)) == 0, F.lit(False))
+        below = _below(path, F.lit("[]"))
+        many = lambda xs: F.when(F.size(xs) > 0, F.transform(xs, lambda x: _entry(below, x))).otherwise(F.array(_entry(below, F.parse_json(F.lit("null")))))
+        return F.when(members.isNotNull(), of_object).when(items.isNotNull(), let(F.filter(items, lambda x: ~bare(x)), many)).otherwise(F.array(_entry(path, value, True)))
+
+    value = entry["v"]
+    return F.when(entry["leaf"], F.array(entry)).otherwise(let(F.struct(_members(value).alias("members"), _items(value).alias("items"), value.alias("v")), parts))
 
 
 def _leaf(entry: Column) -> Column:
     path, value = entry["path"], entry["v"]
-    name = F.schema_of_variant(value)
-    kind = F.when(name == "VOID", "null").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(F.startswith(name, F.lit("ARRAY")), "array").when(F.rlike(name, F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")), "number").otherwise("string")
-    deep = F.when(kind == "array", _below(path, F.lit("[]"))).otherwise(path)
-    text = F.when(~kind.isin("null", "array"), F.try_variant_get(value, "$", "string"))
-    return F.struct(deep.alias("path"), kind.alias("kind"), text.alias("text"), F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"))
+    kind = lambda name: F.when(name == "VOID", "null").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(F.startswith(name, F.lit("ARRAY")), "array").when(F.rlike(name, F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")), "number").otherwise("string")
+
+    def typed(kind: Column) -> Column:
+        deep = F.when(kind == "array", _below(path, F.lit("[]"))).otherwise(path)
+        text = F.when(~kind.isin("null", "array"), F.try_variant_get(value, "$", "string"))
+        return F.struct(deep.alias("path"), kind.alias("kind"), text.alias("text"), F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"))
+
+    return let(let(F.schema_of_variant(value), kind), typed)
 
 
 def value_at(row: Column, path: Column) -> Column:
@@ -57,10 +70,10 @@ def leaves(row: Column, depth: int = DEPTH) -> Column:
     path with [] in it; an empty array is a null leaf there. Objects without members give nothing. A row
     that is a plain value, or null, has no fields.
     """
-    entries = F.array(F.struct(F.lit("").alias("path"), row.alias("v")))
+    entries = F.array(_entry(F.lit(""), row))
     for _ in range(depth):
         entries = F.flatten(F.transform(entries, _opened))
-    ends = F.filter(entries, lambda e: (e["path"] != "") & _members(e["v"]).isNull())
+    ends = F.filter(entries, lambda e: (e["path"] != "") & (e["leaf"] | _members(e["v"]).isNull()))
     return F.coalesce(F.transform(ends, _leaf), F.array().cast("array<struct<path:string,kind:string,text:string,number:double>>"))
 
 

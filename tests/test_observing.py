@@ -263,3 +263,14 @@ def test_tables_that_grow_with_the_runs_are_not_broadcast(spark):
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin [repair_id" in line or "BroadcastHashJoin [run_id" in line]
     assert [r["passed"] for r in judged.collect()] == [True]  # by its first row
+
+
+def test_walks_read_a_text_or_member_once(spark):
+    """Objects are put in order without being written and parsed again; a leaf is not opened at every level."""
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "to_json" not in plan(markup.objects(F.lit("")))
+    assert "leaf" in plan(paths.leaves(F.parse_json(F.lit("{}"))))
+    page = '<script type="application/ld+json">{"z":{"n":"{","a":[{"n":"1"},5,"[",{"m":{"n":"2"}}]},"b":{"n":"3"}}</script>'
+    found = spark.range(1).select(F.transform(markup.objects(F.lit(page)), lambda o: F.to_json(o)).alias("x")).first()["x"]
+    names = [json.loads(x) for x in found]
+    assert [sorted(o) for o in names] == [["b", "z"], ["a", "n"], ["n"], ["m"], ["n"], ["n"]] and [o["n"] for o in names[1:] if "n" in o] == ["{", "1", "2", "3"]
