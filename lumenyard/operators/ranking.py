@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,8 +66,10 @@ def mentions(haystack: Column, interest: str) -> Column:
     """Whether lower-case text names an interest, or one of its other words as a whole word."""
     term = interest.strip().lower()
     out = F.contains(haystack, F.lit(term)) if term else F.lit(False)
-    for alias in ALIASES.get(term, []):
-        out = out | F.rlike(haystack, F.lit(f"(?:^|[^A-Za-z0-9_]){alias}(?:$|[^A-Za-z0-9_])"))
+    if aliases := ALIASES.get(term, []):
+        # one pass for all, and none where no text holds any
+        holds = reduce(Column.__or__, (F.contains(haystack, F.lit(a)) for a in aliases))
+        out = out | F.when(holds, F.rlike(haystack, F.lit(f"(?:^|[^A-Za-z0-9_])(?:{'|'.join(aliases)})(?:$|[^A-Za-z0-9_])"))).otherwise(F.when(haystack.isNotNull(), False))
     return out
 
 

@@ -337,3 +337,13 @@ def test_counted_values_are_summed_without_being_sorted(spark):
     for found in asked:
         assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["path"], r["kind"], r["distinct"]) for r in asked[1].collect()} == {("g", "number", 3), ("v", "number", 101), ("w", "string", 7)}
+
+
+def test_match_searches_a_text_once(spark):
+    """Other words of an interest are looked for together, and both figures take the hits from one search."""
+    low = F.col("t")
+    plan = spark.createDataFrame([("x",)], "t string").select(ranking.mentions(low, "machine learning").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("rlike") == 1
+    texts = [("an ml course", True), ("html", False), ("by artificial intelligence", True), ("(ai)", True), ("said", False), (None, None), ("machine learning", True)]
+    found = spark.createDataFrame(texts, "t string, y boolean").select("y", ranking.mentions(low, "machine learning").alias("x")).collect()
+    assert all(r["x"] == r["y"] for r in found)
