@@ -35,6 +35,7 @@ NAMES = {
     "remote": ("remote", "is_remote"),
     "documents": ("required_documents", "documents"),
 }
+INNER = ("amount", "currency", "coverage")  # what stands in a funding object
 
 
 def _none() -> Column:
@@ -45,42 +46,43 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def _kind(row: Column, name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(row, f"$.{name}", "variant"))
+def members(row: Column, *names: str) -> Column:
+    """struct of a variant's members, each a variant or null, all found in one pass; null if it is no object."""
+    return F.try_variant_get(row, "$", f"struct<{', '.join(f'`{n}`: variant' for n in dict.fromkeys(names))}>")
 
 
-def _string(row: Column, name: str) -> Column:
+def _string(member: Column) -> Column:
     """A member that is a string and not blank, trimmed."""
-    return F.when(_kind(row, name) == "STRING", F.nullif(F.trim(F.try_variant_get(row, f"$.{name}", "string")), F.lit("")))
+    return F.when(F.schema_of_variant(member) == "STRING", F.nullif(F.trim(F.try_variant_get(member, "$", "string")), F.lit("")))
 
 
 def text_of(row: Column, *names: str) -> Column:
-    """The first of a variant's members that is a text and not blank; wrongly decoded text is mended."""
-    return let(F.coalesce(*(_string(row, n) for n in names)), unscrambled)
+    """The first of a row's members (see members) that is a text and not blank, as it was read."""
+    return F.coalesce(*(_string(row[n]) for n in names))
 
 
 def number_of(row: Column, *names: str) -> Column:
     """The first member that is a number, or a text that is one but for other signs around it."""
-    number = lambda n: F.when(_kind(row, n).isin("STRING", "BOOLEAN"), F.lit(None).cast("double")).otherwise(F.try_variant_get(row, f"$.{n}", "double"))
-    read = lambda n: F.regexp_replace(_string(row, n), "[^0-9.-]", "").try_cast("double")
-    return F.coalesce(*(c for n in names for c in (number(n), read(n))))
+    number = lambda m: F.when(~F.schema_of_variant(m).isin("STRING", "BOOLEAN"), F.try_variant_get(m, "$", "double"))
+    read = lambda m: F.regexp_replace(_string(m), "[^0-9.-]", "").try_cast("double")
+    return F.coalesce(*(c for n in names for c in (number(row[n]), read(row[n]))))
 
 
 def flag_of(row: Column, *names: str) -> Column:
     """The first member that is true or false, or a word for it."""
-    plain = lambda n: F.when(_kind(row, n) == "BOOLEAN", F.try_variant_get(row, f"$.{n}", "boolean"))
-    return F.coalesce(*(c for n in names for c in (plain(n), as_flag(_string(row, n)))))
+    plain = lambda m: F.when(F.schema_of_variant(m) == "BOOLEAN", F.try_variant_get(m, "$", "boolean"))
+    return F.coalesce(*(c for n in names for c in (plain(row[n]), as_flag(_string(row[n])))))
 
 
 def list_of(row: Column, *names: str) -> Column:
     """Distinct trimmed texts of the first member that is an array (other items are left out) or a listing text; else empty."""
 
-    def items(n: str) -> Column:
-        own = F.try_variant_get(row, f"$.{n}", "array<variant>")
+    def items(m: Column) -> Column:
+        own = F.try_variant_get(m, "$", "array<variant>")
         texts = F.transform(F.filter(own, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
         return F.array_distinct(F.filter(texts, lambda t: t != ""))
 
-    return F.coalesce(*(c for n in names for c in (items(n), as_list(_string(row, n)))), _empty())
+    return F.coalesce(*(c for n in names for c in (items(row[n]), as_list(_string(row[n])))), _empty())
 
 
 def address(text: Column) -> Column:
@@ -110,7 +112,7 @@ def trust_of(held: Column, verified_at: Column, fresh_minutes: Column, confirmed
 def type_of(given: Column, title: Column) -> Column:
     """The type that is given if it is one, else what the title and it speak of; null if that is none."""
     low = F.lower(F.coalesce(given, F.lit("")))
-    return F.when(low.isin(*TYPES), low).otherwise(opportunity.kind_of(F.concat_ws(" ", title, low)))
+    return F.when(low.isin(*TYPES), low).otherwise(opportunity.kind_of(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), low)))
 
 
 def from_snapshots(snapshots: DataFrame, collectors: DataFrame, incidents: DataFrame, now: Column, lab: str | None = None, include_fixtures: bool = False) -> DataFrame:
@@ -126,12 +128,15 @@ def from_snapshots(snapshots: DataFrame, collectors: DataFrame, incidents: DataF
     rows = snapshots.select("collector_id", "url", "data", "verified_at", F.coalesce("confirmed_by", F.lit("contract_only")).alias("confirmed_by")).join(owners, "collector_id")
     if not include_fixtures:
         rows = rows.filter(~F.col("fixture"))
-    rows = first_open(rows, incidents, ["verdict", "fields"]).withColumn("row", F.explode("data"))
+    # a row is taken apart before it is exploded: filters that Spark moves down then read its members and not the whole of it again
+    own = F.transform("data", lambda x: members(x, "funding", "funding_level", *(n for names in NAMES.values() for n in names)))
+    rows = first_open(rows, incidents, ["verdict", "fields"]).withColumn("row", F.explode(own))
     get = lambda read, name: read(F.col("row"), *NAMES[name])
-    inner = F.try_variant_get("row", "$.funding", "variant")
     texts = {n: get(text_of, n) for n in ("title", "provider", "apply", "type", "currency", "deadline", "deadline_raw", "state", "summary")}
-    rows = rows.withColumns(texts | {"level": text_of(F.col("row"), "funding_level"), "inner": F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner)})
-    rows = rows.withColumn("type", type_of(F.col("type"), F.col("title"))).filter("title is not null and provider is not null and type is not null")
+    texts["level"] = text_of(F.col("row"), "funding_level")
+    rows = rows.withColumns(texts | {"inner": members(F.col("row.funding"), *INNER)}).filter("title is not null and provider is not null")
+    rows = rows.withColumns({n: unscrambled(F.col(n)) for n in texts})  # wrongly decoded text is mended
+    rows = rows.withColumn("type", type_of(F.col("type"), F.col("title"))).filter("type is not null")
     nested = lambda read, name: read(F.col("inner"), name)
     rows = rows.withColumns({"summary": F.coalesce("summary", F.lit("")), "coverage": F.array_union(get(list_of, "coverage"), nested(list_of, "coverage")), "dates": F.transform(F.array("deadline", F.coalesce("deadline_raw", "deadline")), parse_deadline)})
     held = F.col("incident_id").isNotNull()
@@ -147,7 +152,7 @@ def from_snapshots(snapshots: DataFrame, collectors: DataFrame, incidents: DataF
         get(list_of, "eligibility").alias("eligibility"),
         get(list_of, "interests").alias("interests"),
         F.coalesce(get(number_of, "amount"), nested(number_of, "amount")).alias("amount"),
-        F.upper(F.coalesce("currency", nested(text_of, "currency"))).alias("currency"),
+        F.upper(F.coalesce("currency", unscrambled(nested(text_of, "currency")))).alias("currency"),
         "coverage",
         opportunity.funding_level(prose, F.col("coverage")).alias("funding"),
         F.col("dates")[0].alias("deadline"),

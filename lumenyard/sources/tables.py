@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenyard.functions.text import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,9 +48,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 def variants(text: Column) -> Column:
     """Rows of a JSON text as an array of variants: an array's members, or a single object as the one row; null if unreadable."""
-    parsed = F.try_parse_json(text)
-    many = F.try_variant_get(parsed, "$", "array<variant>")
-    return F.when(parsed.isNotNull(), F.coalesce(many, F.array(parsed)))
+    many = lambda parsed: F.try_variant_get(parsed, "$", "array<variant>")
+    return let(F.try_parse_json(text), lambda parsed: F.when(parsed.isNotNull(), F.coalesce(many(parsed), F.array(parsed))))
 
 
 def salvaged(text: Column) -> Column:

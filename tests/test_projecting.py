@@ -49,6 +49,26 @@ def test_rows_and_drafts_as_opportunities(spark):
     assert projection.combined(everything, made, made).count() == 7
 
 
+def test_a_row_is_parsed_and_taken_apart_once(spark):
+    """Filters that Spark moves down must not read the whole of a row again."""
+    rows = spark.createDataFrame([("c1", "https://a.test/1", '{"title": "Grant one", "provider": "P"}', None, None)], "collector_id string, url string, json string, verified_at string, confirmed_by string")
+    snapshots = rows.withColumn("data", variants(F.col("json")))
+    collectors = spark.createDataFrame([("c1", "one", "a.test", None)], "collector_id string, name string, domain string, fresh_minutes int")
+    incidents = spark.createDataFrame([], "incident_id string, collector_id string, url string, created_at string, resolved_at string, quarantined boolean, verdict string, fields array<string>")
+    found = projection.combined(projection.from_snapshots(snapshots, collectors, incidents, now()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+    assert plan.count("StructField(opportunity_title,") == 1 and "$.title" not in plan
+    assert [(r["title"], r["type"], r["trust"]) for r in found.collect()] == [("Grant one", "grant", "partially_verified")]
+
+
+def test_members_of_what_is_no_object_or_holds_nulls(spark):
+    texts = ['{"amount": null, "title": null, "name": "N"}', '{"title": {"title": "x"}, "amount": "about 5"}', '["title"]', '"title"', "7", "null"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("own", projection.members(F.try_parse_json("t"), "title", "name", "amount", "title"))
+    found = rows.select("i", projection.text_of(F.col("own"), "title", "name").alias("text"), projection.number_of(F.col("own"), "amount").alias("n"), F.col("own").isNull().alias("none"), projection.list_of(F.col("own"), "name").alias("list")).orderBy("i").collect()
+    assert [(r["text"], r["n"], r["none"], r["list"]) for r in found] == [("N", None, False, ["N"]), (None, 5.0, False, []), *[(None, None, True, [])] * 4]
+
+
 def test_first_named_item(spark):
     draw = random.Random(7)
     word = lambda n: "".join(draw.choice("abC ") for _ in range(n))
