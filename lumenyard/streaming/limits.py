@@ -10,6 +10,7 @@ from math import isnan
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +20,9 @@ from lumenyard.operators.serving import INCIDENT_EDGES, merge_indexes
 
 PER_CALLER, OVERALL, WINDOW_SECONDS = 5, 120, 3600
 OUT_ROWS = 10_000  # events that are given back at once
+CELLS = 16  # parts of a window in which requests are counted
+CHUNK = 100_000  # requests that are put in order together
+PIECE = 512  # requests that are packed together
 
 
 def admit(stamps: list[float], asked: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
@@ -104,40 +108,104 @@ def limited(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER,
     return requests.repartition(caller).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def _chunks(requests: DataFrame, at: str, window: float) -> DataFrame:
+    """requests with __run and __chunk, which part them by time; null where there is no time.
+
+    A run begins after a whole window without a request, so none of what was before counts in it. Its chunks follow
+    each other and hold CHUNK requests or little more, unless more are made in one cell, a small part of a window.
+    """
+    cell = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1e6 / (window / CELLS)).alias("__cell")
+    # as many rows as cells in which anything was asked
+    cells = requests.filter(F.col(at).isNotNull()).groupBy(cell).agg(F.count("*").alias("n"))
+    order = SqlWindow.partitionBy(F.lit(0)).orderBy("__cell")
+    upto = order.rowsBetween(SqlWindow.unboundedPreceding, 0)
+    begins = F.coalesce(F.col("__cell") - F.lag("__cell").over(order) > CELLS + 1, F.lit(True))
+    cells = cells.select("__cell", begins.alias("begins"), (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    begun = F.max(F.when(F.col("begins"), F.col("before"))).over(upto)
+    # short spells share a run and its first chunk; only the last spell of a run can go beyond it
+    cells = cells.select("__cell", F.floor(begun / CHUNK).alias("__run"), F.floor((F.col("before") - begun) / CHUNK).alias("__chunk"))
+    return requests.withColumn("__cell", cell).join(cells, "__cell", "left").select(*requests.columns, "__run", "__chunk")
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def limited_overall(requests: DataFrame, caller: str, at: str, limits: Limits = Limits()) -> DataFrame:
     """A batch of requests with ruling (see Window.take), by a limit for each caller and one for all together.
 
     A request is admitted or refused in time order (ties by caller, then by all columns), and a place is taken
-    only by what is admitted. After a whole window without a request nothing is left of what was before, so the
-    busy spells between such pauses are dealt to tasks; within a spell requests depend on each other and pass
-    through one task, which holds no more than the places that are taken. Requests without a time are refused.
-    Columns named ruling and __spell are replaced.
+    only by what is admitted, so requests depend on those before. They are put in order in chunks of time, each in one
+    task. Callers and times alone, packed, then pass through one task for each run of chunks (see _chunks), which finds the
+    places that are taken where a chunk begins; while none is free it goes on to the next that is given back. From
+    there the chunks are ruled on apart from each other. Requests without a time are refused.
+    Columns named ruling, __cell, __run, __chunk and __held are replaced.
     """
-    requests = requests.drop("ruling", "__spell")
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    bucket = F.floor(seconds / limits.window)
-    # as many rows as windows of time in which anything was asked
-    buckets = requests.filter(F.col(at).isNotNull()).select(bucket.alias("__bucket")).distinct()
-    order = SqlWindow.partitionBy(F.lit(0)).orderBy("__bucket")
-    begins = F.coalesce(F.col("__bucket") - F.lag("__bucket").over(order) > 1, F.lit(True))
-    spells = buckets.withColumn("begins", begins.cast("bigint")).select("__bucket", F.sum("begins").over(order).alias("__spell"))
-    rows = requests.withColumn("__bucket", bucket).join(spells, "__bucket", "left").drop("__bucket")
-    rows = rows.select(*requests.columns, F.coalesce("__spell", F.lit(0)).alias("__spell"))
-    schema = ", ".join(f"{n} {t}" for n, t in requests.dtypes) + ", ruling string"
+    requests = requests.drop("ruling", "__cell", "__run", "__chunk", "__held")
+    rows = _chunks(requests, at, limits.window)
+    kinds = dict(requests.dtypes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell, places = None, Window(limits)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = 0
+        for batch in batches:
+            run, chunk = batch.column("__run").to_numpy(), batch.column("__chunk").to_numpy()
+            cuts = np.flatnonzero((np.diff(run) != 0) | (np.diff(chunk) != 0)) + 1
+            cuts = np.union1d(np.append(cuts, len(run)), np.arange(0, len(run), PIECE)).tolist()
+            asked = pa.RecordBatch.from_arrays([batch.column(caller), batch.column(at)], names=["caller", "at"])
+            out = [(run[i], chunk[i], pieces + k, _packed(asked.slice(i, z - i))) for k, (i, z) in enumerate(zip(cuts, cuts[1:]))]
+            pieces += len(out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["__run", "__chunk", "piece", "data"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, places = None, Window(limits)
+        for batch in batches:
+            found = []
+            for run, chunk, data in zip(batch.column("__run").to_pylist(), batch.column("__chunk").to_pylist(), batch.column("data")):
+                asked = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+                callers = asked.column("caller")
+                if now is None or now[0] != run:
+                    places = Window(limits)
+                if now != (run, chunk):
+                    now = (run, chunk)
+                    held = [pa.array([s for s, _ in places.held], pa.float64()), pa.array([n for _, n in places.held], callers.type)]
+                    found.append((run, chunk, _packed(pa.RecordBatch.from_arrays(held, names=["stamps", "callers"]))))
+                times = np.array(_seconds(asked.column("at")))
+                before, i = times - limits.window, 0
+                while i < len(times):
+                    if places.held and len(places.held) >= limits.overall:  # all are refused until the first place is given back
+                        i = max(i, int(np.searchsorted(before, places.held[0][0])))
+                        if i == len(times):
+                            break
+                    places.take(callers[i].as_py(), float(times[i]))
+                    i += 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["__run", "__chunk", "__held"])
+
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Window(limits)
         for batch in batches:
-            rulings = []
-            for own, name, when in zip(batch.column("__spell").to_pylist(), batch.column(caller).to_pylist(), _seconds(batch.column(at))):
-                if own != spell:
-                    spell, places = own, Window(limits)
-                rulings.append(places.take(name, when))
-            kept = [n for n in batch.schema.names if n != "__spell"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rulings, pa.string())], names=[*kept, "ruling"])
-
-    order = [F.col("__spell"), F.col(at).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in (caller, *(c for c in requests.columns if c not in (caller, at))))]
-    return rows.repartition("__spell").sortWithinPartitions(*order).mapInArrow(run, schema)
+            begins, rulings = batch.column("__held").is_valid(), []
+            for held, name, when in zip(batch.column("__held"), batch.column(caller).to_pylist(), _seconds(batch.column(at))):
+                if held.is_valid:  # a chunk begins
+                    kept = pa.ipc.open_stream(held.as_buffer()).read_next_batch()
+                    places = Window(limits, zip(kept.column("stamps").to_pylist(), kept.column("callers").to_pylist()))
+                rulings.append(None if held.is_valid else places.take(name, when))
+            out = pa.RecordBatch.from_arrays([*(batch.column(n) for n in kinds), pa.array(rulings, pa.string())], names=[*kinds, "ruling"])
+            yield out.filter(pc.invert(begins))
+
+    in_time = [F.col(at).asc_nulls_last(), F.col(caller).asc_nulls_last()]
+    dated = rows.filter(F.col("__run").isNotNull()).select("__run", "__chunk", caller, at)
+    packed = dated.repartition("__run", "__chunk").sortWithinPartitions("__run", "__chunk", *in_time).mapInArrow(pack, "__run bigint, __chunk bigint, piece bigint, data binary")
+    begun = packed.repartition("__run").sortWithinPartitions("__run", "__chunk", "piece").mapInArrow(walk, "__run bigint, __chunk bigint, __held binary")
+    # those without a time, which nothing depends on, are dealt by caller
+    dealt = rows.withColumns({"__chunk": F.coalesce("__chunk", F.pmod(F.xxhash64(caller), F.lit(CELLS))), "__held": F.lit(None).cast("binary")})
+    others = [F.col(c).asc_nulls_last() for c in requests.columns if c not in (caller, at)]
+    parts = dealt.unionByName(begun, allowMissingColumns=True).repartition("__run", "__chunk").sortWithinPartitions("__run", "__chunk", F.col("__held").isNull(), *in_time, *others)
+    return parts.mapInArrow(rule, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", ruling string")
 
 
 def limited_stream(requests: DataFrame, caller: str, at: str, limit: int = PER_CALLER, window: float = WINDOW_SECONDS) -> DataFrame:

@@ -115,6 +115,27 @@ def test_limit_over_pauses_and_odd_requests(spark):
     assert {r for _, r in expected} == {"busy", "caller", "admitted", "undated"}
 
 
+def test_limit_for_all_over_many_chunks(spark, monkeypatch):
+    """A busy spell is put in order in many tasks; one sees no more of it than packed callers and times."""
+    monkeypatch.setattr(limits, "CHUNK", 100)
+    monkeypatch.setattr(limits, "PIECE", 16)
+    start, draw = pd.Timestamp("2024-01-01"), random.Random(9)
+    times = [draw.randrange(60_000) for _ in range(1500)] + [100_000 + draw.randrange(20) for _ in range(300)] + [200_000 + 9000 * k for k in range(5)]
+    rows = [((start + pd.Timedelta(seconds=s)).to_pydatetime(), draw.choice(["a", "b", "c", "d", None]), i) for i, s in enumerate(times)] + [(None, draw.choice("ab"), -i) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, who string, i bigint").repartition(3)
+    places, expected = limits.Window(limits.Limits(per_caller=4, overall=11)), {}
+    for t, who, i in sorted(rows, key=lambda r: (r[0] is None, r[0] or start, r[1] is None, r[1] or "", r[2])):
+        expected[i] = places.take(who, float("nan") if t is None else pd.Timestamp(t).timestamp())
+    for given in (df, df.withColumn("ts", limits.F.col("ts").cast("timestamp"))):
+        found = limits.limited_overall(given, "who", "ts", places.limits)
+        assert found.columns == ["ts", "who", "i", "ruling"]
+        assert sorted((r["i"], r["ruling"]) for r in found.collect()) == sorted(expected.items())
+    assert set(expected.values()) == {"busy", "caller", "admitted", "undated"}
+    parts = limits._chunks(df, "ts", 3600.0).filter("__run is not null").groupBy("__run", "__chunk").count().collect()
+    assert len(parts) > 15 and sorted(r["count"] for r in parts)[-2] < 300  # 300 requests stand in one cell
+    assert limits.limited_overall(df.limit(0), "who", "ts").count() == 0
+
+
 def test_requests_without_a_time_are_refused(spark, tmp_path):
     rows = [(1, None)] * 4 + [(1, pd.Timestamp("2024-01-01").to_pydatetime())]
     df = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz")
