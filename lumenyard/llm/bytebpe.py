@@ -14,17 +14,18 @@ import os
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import map_batches, starts_of
+from .shared import map_batches, replaced_batches, starts_of
 from .subwords import BYTE_CHARS, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-KNOWN = 1_000_000  # pieces kept in one worker, about
+KNOWN = 250_000  # pieces kept in one worker, at most (some 100 MB)
 LONG = 64  # characters; longer pieces are not kept
 TOGETHER = 1000  # words handed to the library as one text
 
@@ -120,12 +121,13 @@ class ByteBpe:
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Of each of different pieces its ids; those of short ones are kept for other texts."""
         known = self.known
-        if len(known) > KNOWN:
-            known.clear()
         new = [p for p in pieces if p not in known]
         learned = self.learn(new)
-        known.update(learned if max(map(len, new), default=0) <= LONG else {p: x for p, x in learned.items() if len(p) <= LONG})
-        return [learned[p] if p in learned else known[p] for p in pieces]
+        found = [learned[p] if p in learned else known[p] for p in pieces]
+        if len(known) + len(learned) > KNOWN:
+            known.clear()
+        known.update(islice(learned.items() if max(map(len, new), default=0) <= LONG else ((p, x) for p, x in learned.items() if len(p) <= LONG), KNOWN))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin (and the last one's end)."""
@@ -227,6 +229,22 @@ def decode(rows: DataFrame, ids: str = "bpe_ids", vocabulary: str | None = None,
     return map_batches(rows, [("bpe_bytes", "binary"), ("bpe_text", "string"), *more], compute)
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """docs with bpe_ids, as encode() gives them, and bpe_bytes, as decode() gives them for those ids, without the text.
+
+    Both steps share one task's worker and its vocabulary; between them are only the ids.
+    """
+    path = vocabulary or vocabulary_path(VOCABULARY)
+
+    def compute(batch: pa.RecordBatch) -> list:
+        coder = byte_bpe(path)
+        ids, begin = coder.encode(texts_of(batch))
+        data = [coder.decode(ids[a:z].tolist()) for a, z in zip(begin, begin[1:])]
+        return [listed(ids, begin, pa.int32()), pa.array(data, pa.binary())]
+
+    return replaced_batches(docs, [("bpe_ids", "array<int>"), ("bpe_bytes", "binary")], compute, without=["text"])
+
+
 def added(bytes_of: Callable[[list[int]], bytes], ids: list[int]) -> list[str]:
     """What each id adds to a text that is decoded from left to right."""
     import codecs

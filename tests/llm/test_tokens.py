@@ -156,3 +156,24 @@ def test_head_keeps_what_fits(spark):
     pairs = spark.createDataFrame([(i, 0, n) for i, n in enumerate([1, 1, 1, 2, 3, 4, 9])], "a int, b int, n bigint").withColumn("best", F.lit(False))
     sizes = {most: sorted(r["n"] for r in alignment.head_of(pairs, most).collect()) for most in (0, 1, 2, 3, 4, 6, 7)}
     assert sizes == {0: [], 1: [9], 2: [4, 9], 3: [4, 9], 4: [2, 3, 4, 9], 6: [2, 3, 4, 9], 7: [1, 1, 1, 2, 3, 4, 9]}
+
+
+def test_a_worker_holds_a_bounded_number_of_pieces(ranked, texts, monkeypatch):
+    monkeypatch.setattr(bytebpe, "KNOWN", 50)
+    coder = bytebpe.ByteBpe(public_tokenizers.path(bytebpe.VOCABULARY))
+    for at in range(0, len(texts), 20):
+        some = texts.text[at : at + 20].tolist()
+        ids, begin = coder.encode(pa.array(some, pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(begin, begin[1:])] == [ranked.encode_ordinary(t) for t in some]
+        assert 0 < len(coder.known) <= 50
+
+
+def test_a_round_trip_takes_one_worker_a_task(spark, odd):
+    query = QUERIES["op13_byte_bpe"](spark, odd)
+    assert query._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text")
+    apart = bytebpe.decode(bytebpe.encode(docs))
+    key = lambda r: (str(r["doc_id"]), r["bpe_ids"], bytes(r["bpe_bytes"]))
+    together = bytebpe.round_trip(docs)
+    assert together.columns == ["doc_id", "bpe_ids", "bpe_bytes"]
+    assert sorted(map(key, together.collect())) == sorted(map(key, apart.collect()))
