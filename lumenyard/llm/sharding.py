@@ -4,7 +4,9 @@ Rows of equal text form a group; a group larger than a small share of a shard is
 groups are dealt into cells, each cell packs its own into as many bins as there are shards (largest
 first, each to the bin whose residual capacity has the highest dot product with it), and the bins of all
 cells are packed the same way, level by level, until one cell is left. Places in a shard add up from the
-offsets of the levels, so no shard is ever sorted as a whole.
+offsets of the levels, so no shard is ever sorted as a whole. Between levels a file is written for each
+partition that holds a cell, not for each shuffle partition as a checkpoint does: to create a file can
+cost a local or shared file system a process of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import checkpointed, written
+from .shared import written
 
 SHARDS = 24
 CELL = 20_000  # groups in one cell, about
@@ -108,7 +110,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, pieces: int =
             F.monotonically_increasing_id().alias("row"),  # written, so a row keeps its number
         )
     )
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    texts = F.approx_count_distinct(F.xxhash64("xx", "text_crc32", "size"))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), texts.alias("groups")).first()
     most_bytes, most_rows = max(1, total["bytes"] // (shards * pieces)), max(1, total["rows"] // (shards * pieces))
     groups = rows.groupBy("xx", "text_crc32", "size").agg(F.count("*").alias("n"))
     cuts = F.greatest(F.ceil(F.col("n") * F.col("size") / most_bytes), F.ceil(F.col("n") / most_rows))
@@ -117,16 +120,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, pieces: int =
     salt = F.pmod(F.xxhash64("row"), F.coalesce("cuts", F.lit(1)))
     rows = rows.join(F.broadcast(large), ["xx", "text_crc32", "size"], "left").withColumn("salt", salt).drop("cuts")
     atoms = rows.groupBy(*GROUP_KEY).agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    atoms = checkpointed(atoms)
-    n = max(1, -(-atoms.count() // cell))
-    packed = checkpointed(_pack_cells(atoms.withColumn("cell", F.pmod(F.xxhash64("xx", "salt"), F.lit(n))), GROUP_KEY, shards))
+    n = max(1, -(-total["groups"] // cell))
+    packed = written(_pack_cells(atoms.withColumn("cell", F.pmod(F.xxhash64("xx", "salt"), F.lit(n))), GROUP_KEY, shards))
     placed = packed.select(*GROUP_KEY, F.col("cell").alias("up_cell"), F.col("bin").alias("up_bin"), "offset")
     level = packed
     while n > 1:
         bins = level.groupBy("cell", "bin").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
         n = max(1, -(-n * shards // cell))
         bins = bins.select(F.col("cell").alias("from_cell"), F.col("bin").alias("from_bin"), F.pmod(F.xxhash64("cell"), F.lit(n)).alias("cell"), "bytes", "tokens", "rows")
-        level = checkpointed(_pack_cells(bins, ["from_cell", "from_bin"], shards))
+        level = written(_pack_cells(bins, ["from_cell", "from_bin"], shards))
         step = level.select(F.col("from_cell").alias("up_cell"), F.col("from_bin").alias("up_bin"), F.col("cell").alias("to_cell"), F.col("bin").alias("to_bin"), F.col("offset").alias("more"))
         placed = placed.join(step, ["up_cell", "up_bin"]).select(*GROUP_KEY, F.col("to_cell").alias("up_cell"), F.col("to_bin").alias("up_bin"), (F.col("offset") + F.col("more")).alias("offset"))
     placed = placed.select(*GROUP_KEY, F.col("up_bin").cast("int").alias("shard"), "offset")

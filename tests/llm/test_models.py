@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import zlib
 
 import corpus_pipeline
@@ -9,6 +10,8 @@ import numpy as np
 import pandas as pd
 from lumenyard.llm import attention, lm_scoring, packing, sharding, subwords, urlfilter
 from lumenyard.llm.queries import QUERIES
+from lumenyard.llm.shared import shared_folder
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .conftest import SF
@@ -317,3 +320,20 @@ def test_every_window_of_every_text_trains_the_model():
     params = attention.initial(vocabulary, counts)
     built = attention.windows(texts, vocabulary, taken[0])[:2]
     assert attention.packed(attention.train_texts(params, vocabulary, texts, taken[0], 0.01)[0]) == attention.packed(attention.train(params, vocabulary, *built, 0.01)[0])
+
+
+def test_sharding_writes_few_files(spark):
+    """One for each partition of the input, and between levels one for each cell and not for each shuffle partition."""
+    files = lambda: {f for f in pathlib.Path(shared_folder(spark).removeprefix("file://")).rglob("part-*")}
+    docs = spark.range(2000, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id") % 1500).alias("text"))
+    dealt = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept, before = {k: spark.conf.get(k) for k in dealt}, files()
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        rows = sharding.shard(docs, cell=500).toPandas()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(rows.doc_id) == list(range(2000)) and all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard").slot)
+    assert 0 < len(files() - before) <= 14
