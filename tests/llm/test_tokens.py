@@ -166,6 +166,10 @@ def test_a_worker_holds_a_bounded_number_of_pieces(ranked, texts, monkeypatch):
         ids, begin = coder.encode(pa.array(some, pa.string()))
         assert [ids[a:z].tolist() for a, z in zip(begin, begin[1:])] == [ranked.encode_ordinary(t) for t in some]
         assert 0 < len(coder.known) <= 50
+    pieces = [f" piece{i}" for i in range(200)]
+    for some in (pieces, pieces[:30], pieces[150:], pieces):  # many at once, and some that are kept
+        assert [list(memoryview(x).cast("I")) for x in coder.ids_of(some)] == [ranked.encode_ordinary(p) for p in some]
+        assert 0 < len(coder.known) <= 50
 
 
 def test_a_round_trip_takes_one_worker_a_task(spark, odd):
