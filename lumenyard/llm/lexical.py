@@ -29,11 +29,11 @@ STEP = 3922  # of an impact without its term's weight, which is below 1,000,000,
 TOP = 10
 BLOCK_DOCS = 4096
 BLOCK_POSTINGS = 1_000_000  # a block is closed when it has so many
-BLOCKS_AT_ONCE = 4  # rows of the index in one batch
+BLOCKS_AT_ONCE = 1  # rows of the index in one batch, and in one row group of its files
 ITEM_TERMS = 1_000_000  # terms of items that are searched for in one pass
 INDEX = (
     "doc_ids array<bigint>, norms array<bigint>, lengths array<bigint>, terms array<binary>, starts array<bigint>, "
-    "docs array<int>, tfs array<int>, impacts binary"
+    "docs binary, tfs binary, impacts binary"  # of each posting: a document's place and count, 32 bits each, and a byte
 )
 
 
@@ -103,7 +103,7 @@ class _Block:
         starts = starts_of(np.bincount(term, minlength=len(names)))
         return {
             "doc_ids": self.ids, "norms": norms, "lengths": self.lengths, "terms": names, "starts": starts,
-            "docs": doc[order].astype(np.int32), "tfs": tfs.astype(np.int32), "impacts": impacts.astype(np.uint8).tobytes(),
+            "docs": doc[order].astype("<i4").tobytes(), "tfs": tfs.astype("<i4").tobytes(), "impacts": impacts.astype(np.uint8).tobytes(),
         }
 
 
@@ -111,7 +111,8 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
     """Blocks of the documents that have a term, one a row, and the corpus they are of.
 
     doc_id is an integer and may be null. Null texts and texts without a term are left out; repeated rows are
-    documents each; other columns are ignored. The blocks are written to the shared folder.
+    documents each; other columns are ignored. The blocks are written to the shared folder, each as a row group:
+    by itself, Parquet's writer first looks at its size after 100 rows, and would hold so many blocks of a task.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     corpus = corpus_of(rows)
@@ -132,7 +133,8 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
         if block.ids:
             yield pa.RecordBatch.from_pylist([block.row(corpus)], schema=schema)
 
-    return written(rows.mapInArrow(run, INDEX)), corpus
+    with small_batches(docs.sparkSession):
+        return written(rows.mapInArrow(run, INDEX), **{"parquet.block.row.count.limit": BLOCKS_AT_ONCE}), corpus
 
 
 def weights(blocks: DataFrame, corpus: Corpus, terms: DataFrame) -> DataFrame:
@@ -185,8 +187,8 @@ class _Best:
 
 
 def _search_block(block: dict, items: _Items, best: list[_Best]) -> None:
-    docs, tfs, norms = block["docs"], block["tfs"], block["norms"]
-    starts, impacts, ids = block["starts"], np.frombuffer(block["impacts"], np.uint8), block["doc_ids"]
+    norms, starts, ids = block["norms"], block["starts"], block["doc_ids"]
+    docs, tfs, impacts = (np.frombuffer(block[n], kind) for n, kind in (("docs", "<i4"), ("tfs", "<i4"), ("impacts", np.uint8)))
     # of the items' terms: their places in the block
     own = np.full(len(items.weights), -1, np.int64)
     get = items.place.get
@@ -226,8 +228,8 @@ def _searched(blocks: DataFrame, items: _Items, top: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                block = {n: row.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("norms", "starts", "docs", "tfs")}
-                block |= {n: row.column(n)[0].as_py() for n in ("terms", "impacts", "doc_ids")}
+                block = {n: row.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("norms", "starts")}
+                block |= {n: row.column(n)[0].as_py() for n in ("terms", "docs", "tfs", "impacts", "doc_ids")}
                 _search_block(block, items, best)
         rows = [(number, None if none else own, -score) for number, found in zip(items.numbers, best) for score, none, own in found.rows]
         for at in range(0, len(rows), 10_000):
@@ -251,10 +253,10 @@ def search(blocks: DataFrame, corpus: Corpus, items: DataFrame, top: int = TOP,
     wanted = items.select("__item", F.explode(terms).alias("term")).withColumn("term", F.col("term").cast("binary"))
     wanted = written(wanted.join(weights(blocks, corpus, wanted.select("term").distinct()), "term"))
     found: DataFrame | None = None
-    with small_batches(spark, BLOCKS_AT_ONCE):
-        for some in _passes(wanted, item_terms):
+    for some in _passes(wanted, item_terms):
+        with small_batches(spark, BLOCKS_AT_ONCE):
             rows = written(_searched(blocks, some, top))
-            found = rows if found is None else found.unionByName(rows)
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = spark.createDataFrame([], "__item bigint, doc_id bigint, score bigint")
     order = Window.partitionBy("__item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

@@ -27,11 +27,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
         return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: cuts the lineage, and any executor can read it."""
+def written(df: DataFrame, **options: str | int) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder: cuts the lineage, and any executor can read it.
+
+    options are those of Spark's Parquet writer.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/lumenyard-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     atexit.register(_delete, spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -89,3 +89,12 @@ def test_nothing_to_search(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
     assert lexical.search(*lexical.index(docs), items.limit(0)).collect() == []
     assert [tuple(r) for r in lexical.search(*lexical.index(docs), items).select("item_id", "rank", "doc_id").collect()] == [(1, 1, 1)]
+
+
+def test_a_task_writes_and_reads_one_block_at_a_time(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, f"common w{k}") for k in range(12)], "doc_id bigint, text string").coalesce(1)
+    blocks, _ = lexical.index(docs, block_docs=3)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1, 1, 1, 1]
